@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_of_id, table
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +29,45 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op6_mixing": op6_mixing, "op8_sharding": op8_sharding}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return detect(docs, train(docs)).drop("all")
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, sample, training_rows
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), sample(training_rows(docs)))
+    return found.select("doc_id", (crc_of_id(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_turns, read_back, to_turns
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)
+    records = rows.select("conv_id", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    return digests(read_back(format_turns(to_turns(records))))
+
+
+QUERIES = {
+    "op2_pii": op2_pii,
+    "op3_pieces": op3_pieces,
+    "op4_simhash": op4_simhash,
+    "op5_language": op5_language,
+    "op6_mixing": op6_mixing,
+    "op8_sharding": op8_sharding,
+    "op9_chat": op9_chat,
+}
 ORACLE_SQL: dict[str, str] = {}

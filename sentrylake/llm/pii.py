@@ -59,6 +59,12 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def shapes(text: str) -> list[Span]:
+    """What the model learns to find: the patterns' matches before their tests of digits, which no tagger could learn; `plausible` repeats those tests."""
+    out = list(_emails(text)) + [(m.start(), m.end(), "ip") for m in _IP.finditer(text)] + [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 9 <= len(_DIGIT.findall(m[0])) <= 15]
+    return sorted(out + [(m.start(), m.end(), "card") for m in _CARD.finditer(text) if 12 <= len(_DIGIT.findall(m[0])) <= 19])
+
+
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
@@ -183,7 +189,7 @@ class Tagger:
         self._lstm_grad(xt, "b", kept["b"], dboth[:, :, self.h :], grad)
         return float((z - score).mean()), grad
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 260, batch: int = 64, rate: float = 0.02, seed: int = 2) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 48, rate: float = 0.025, seed: int = 2) -> Tagger:
         r, m, v = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
         for n in range(1, steps + 1):
             pick = r.integers(0, len(x), min(batch, len(x)))
@@ -191,9 +197,9 @@ class Tagger:
             norm = max(1.0, float(np.sqrt(sum((a * a).sum() for a in g.values()))) / 5)
             for k in self.p:
                 a = g[k] / norm
-                m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.99 * v[k] + 0.01 * a * a
+                m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.999 * v[k] + 0.001 * a * a
                 lr = rate * (1 - n / (steps + 1))
-                self.p[k] = (self.p[k] - lr * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
+                self.p[k] = (self.p[k] - lr * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
         return self
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
@@ -211,6 +217,15 @@ class Tagger:
         return path
 
 
+    def odds(self, e: np.ndarray, tags: np.ndarray, start: int, end: int) -> float:
+        """Probability of the path `tags` against the one that has no span from start to end, in an otherwise fixed path."""
+        other = tags.copy()
+        other[start:end] = 0
+        a, b = max(0, start - 1), min(len(tags), end + 1)
+        score = lambda p: e[np.arange(a, b), p[a:b]].sum() + self.p["t"][p[a : b - 1], p[a + 1 : b]].sum()
+        return float(_sigmoid(np.float64(score(tags) - score(other))))
+
+
 WINDOW, STRIDE = 96, 48
 
 
@@ -266,17 +281,14 @@ def decode(tagger: Tagger, texts: list[str], sure: float = 0.9, at_once: int = 5
         total /= np.maximum(share, 1e-6)
         total[:, :, 0] += np.where(share[:, :, 0] > 0, 0, 50)
         path = tagger.viterbi(total)
-        odds = np.exp(total - total.max(axis=2, keepdims=True))
-        odds /= odds.sum(axis=2, keepdims=True)
         for g, (n, start, _) in enumerate(group):
             tags = path[:, g]
             for s in np.flatnonzero(tags % 2 == 1).tolist():
                 kind, e = (int(tags[s]) - 1) // 2, s + 1
                 while e < steps and tags[e] == 2 + 2 * kind:
                     e += 1
-                prob = odds[np.arange(s, e), g][:, [1 + 2 * kind, 2 + 2 * kind]].sum(axis=1).mean()
                 text = texts[n][start + s : start + e]
-                if prob >= sure and plausible(KINDS[kind], text):
+                if tagger.odds(total[:, g], tags, s, e) >= sure and plausible(KINDS[kind], text):
                     out[n].append((start + s, start + e, KINDS[kind]))
     return [sorted(x) for x in out]
 
@@ -289,44 +301,46 @@ def find(tagger: Tagger | None, texts: list[str]) -> tuple[list[list[Span]], lis
     return base, [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in every]
 
 
-def train(docs: DataFrame, rows: int = 1500, seed: int = 2) -> Tagger | None:
-    """A tagger fitted on a bounded sample: windows of at most `rows` documents that hold a digit or @, those with the smallest text hashes.
+def surroundings(text: str, reach: int = 70) -> list[str]:
+    return [text[max(0, m.start() - reach) : m.end() + reach] for m in re.finditer(r"[0-9@](?:.{0,20}?[0-9@])*", text)]
 
-    Labels are the spans of the fixed patterns. Half of the windows with a phone number are repeated with the number's country
-    code cut off, so that the model also learns numbers that the pattern misses. None if no document has a label.
-    """
-    first = F.regexp_instr("text", F.lit("[0-9@]"))
-    picked = docs.where(first > 0).select(F.xxhash64("text").alias("h"), F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 70), 400)").alias("w"))
-    got = [w[max(0, m.start() - 70) : m.end() + 70] for r in picked.orderBy("h", "w").limit(rows).collect() for w in [r.w] for m in re.finditer(r"[0-9@](?:.{0,20}?[0-9@])*", w)]
+
+def examples(got: list[str], seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of character classes and their tags, from texts of a trigger and what surrounds it."""
     r, xs, ys = np.random.default_rng(seed), [], []
     for text in sorted(set(got)):
-        spans = base_spans(text)
-        kinds = {k for _, _, k in spans}
-        for again in range(1 + (2 if "phone" in kinds else 0)):
-            t, s = text, spans
-            if again:
-                a, b, _ = next(x for x in spans if x[2] == "phone")
-                if not (m := re.match(r"\+[0-9]{1,2}[ .-]?", t[a:b])) or any(x[0] < b and a < x[1] and x[2] != "phone" for x in spans):
-                    continue
-                t = t[:a] + t[a + m.end() :]
-                if again == 2:
-                    t = t[:a] + re.sub(r"[()]", "", t[a : b - m.end()]) + t[b - m.end() :]
-                new = b - m.end() - (2 if again == 2 and "(" in text[a:b] else 0)
-                s = [(a, new, "phone")] + [x for x in base_spans(t) if x[0] >= new or x[1] <= a]
+        versions = [(text, shapes(text))]
+        for a, b, kind in versions[0][1]:
+            if kind == "phone" and (m := re.match(r"\+[0-9]{1,2}[ .-]?", text[a:b])):
+                for number in (text[a + m.end() : b], re.sub(r"[()]", "", text[a + m.end() : b])):
+                    t = text[:a] + number + text[b:]
+                    others = [x for x in shapes(t) if x[1] <= a or x[0] >= a + len(number)]
+                    versions.append((t, [*others, (a, a + len(number), "phone")]))
+                break
+        for t, spans in versions:
             shift = int(r.integers(0, 40))
-            codes, tags = encode(t), tags_of(s, len(t))
-            codes, tags = codes[shift : shift + WINDOW], tags[shift : shift + WINDOW]
-            if len(tags) and tags[0] and tags[0] % 2 == 0:  # begins inside a span
-                tags = tags.copy()
-                k = int(np.argmax(tags != tags[0])) or len(tags)
-                tags[:k] = 0 if k < 3 else tags[:k]
+            codes, tags = encode(t)[shift : shift + WINDOW], tags_of(spans, len(t))[shift : shift + WINDOW]
+            if len(tags) and tags[0] and tags[0] % 2 == 0:  # a span that the window cuts is no example
+                cut_at = int(np.argmin(tags == tags[0])) or len(tags)
+                codes, tags = codes[cut_at:], tags[cut_at:]
             x, y = np.full(WINDOW, 98, np.uint8), np.zeros(WINDOW, np.int64)
             x[: len(codes)], y[: len(tags)] = codes, tags
             xs.append(x)
             ys.append(y)
-    if not xs or not any(y.any() for y in ys):
-        return None
-    return Tagger(seed=seed).fit(np.array(xs), np.array(ys), seed=seed)
+    return np.array(xs, np.uint8).reshape(-1, WINDOW), np.array(ys, np.int64).reshape(-1, WINDOW)
+
+
+def train(docs: DataFrame, rows: int = 1500, seed: int = 2) -> Tagger | None:
+    """A tagger fitted on a bounded sample: windows of at most `rows` documents that hold a digit or @, those with the smallest text hashes.
+
+    Labels are the patterns' matches (`shapes`). Windows with a phone number are repeated with its country code, and with its
+    brackets, cut off, so that the model also learns numbers that the pattern misses. None if no document has a label.
+    """
+    first = F.regexp_instr("text", F.lit("[0-9@]"))
+    picked = docs.where(first > 0).select(F.xxhash64("text").alias("h"), F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 70), 400)").alias("w"))
+    got = [x for row in picked.orderBy("h", "w").limit(rows).collect() for x in surroundings(row.w)]
+    x, y = examples(got, seed)
+    return Tagger(seed=seed).fit(x, y, seed=seed) if y.any() else None
 
 
 def detect(docs: DataFrame, tagger: Tagger | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

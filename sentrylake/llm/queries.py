@@ -29,6 +29,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import detect, train
 
@@ -62,6 +68,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op2_pii": op2_pii,
     "op3_pieces": op3_pieces,
     "op4_simhash": op4_simhash,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, written as Parquet in the shared folder and read again: for what is too large to keep as a checkpoint's rows."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = shared or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """Marks a small table for broadcast if it has at most `most_rows` rows; a larger one is joined as Spark plans."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

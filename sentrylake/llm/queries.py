@@ -22,6 +22,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
+    "op7_lm": op7_lm,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
 }

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import crc_of_id
 
@@ -186,7 +187,6 @@ def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> Data
     given = tuple(sorted(texts.items()))
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text)
-    fields = docs.schema.simpleString()[7:-1]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(given)
@@ -194,8 +194,6 @@ def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> Data
             langs, scores = model.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
@@ -206,4 +204,6 @@ def training_rows(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFra
 
 def keep_known(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     """The documents in a learned language, with the columns of `docs`; those without a letter go."""
-    return identify(docs.withColumn("__lang", F.col("lang")) if "lang_pred" in docs.columns else docs, texts).where("lang_pred <> 'und'").select(docs.columns)
+    prefixed = docs.select([F.col(f"`{c}`").alias(f"own_{c}") for c in docs.columns])
+    kept = identify(prefixed, texts, "own_text").where("lang_pred <> 'und'")
+    return kept.select([F.col(f"`own_{c}`").alias(c) for c in docs.columns])

@@ -73,6 +73,13 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_back(format_turns(to_turns(records))))
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs, docs.where("doc_id % 50 = 0"))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_pii": op2_pii,
@@ -83,5 +90,36 @@ QUERIES = {
     "op7_lm": op7_lm,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
+    "op10_search": op10_search,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5('6:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint::double as u,
+    case when length(text) > 0 then greatest(0.05, 1 - len(regexp_extract_all(text, '[0-9|%*&#@+=<>{}\[\]\\^~_$/]')) / length(text)) else 0.05 end as rate
+  from documents),
+k as (select *, -ln((u + 0.5) / 281474976710656.0) / rate as k from d),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) as nth from k group by source),
+w as (select *, ((nth - 1) % 3 + 1)::double as w, source_size * 3.0 as most from s),
+x as (
+  select *, (sum(source_size) over () - coalesce(sum(most) over o, 0)) / (sum(w) over () - coalesce(sum(w) over o, 0)) as x
+  from w window o as (order by most / w, w, source is null, source rows between unbounded preceding and 1 preceding)),
+y as (select *, (select arg_min(x, (most / w, nth)) from x where x * w <= most) as level from x),
+t as (select source, source_size, round(coalesce(least(most, level * w), most), 6) as target from y),
+g as (select *, case when source_size > 0 then floor(target / source_size) else 1 end as whole from t),
+p as (
+  select k.doc_id, k.size, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size as rest,
+    sum(k.size) over (partition by k.source order by k.k, coalesce(k.doc_id, -1), k.size rows unbounded preceding) as upto
+  from k join g on k.source is not distinct from g.source)
+select doc_id, size, source_size, target, (size * (whole + case when rest > 0 and upto - size < rest and upto - size / 2 <= rest then 1 else 0 end))::bigint as taken from p""",
+    "op9_chat": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(17 + length(regexp_replace(role, '([\\>])', '\\\1', 'g')) + length(regexp_replace(text, '(\\|</?turn)', '\\\1', 'g')))::bigint as formatted_chars
+from c group by conv_id""",
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -51,7 +51,7 @@ def _ball(bits: int, radius: int) -> list[int]:
     for _ in range(radius):
         shell = sorted({m | 1 << b for m in shell for b in range(bits) if not m >> b & 1} - set(out))
         out += shell
-    return out
+    return [m - (1 << 64) if m >> 63 else m for m in out]  # as a signed long
 
 
 def _forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

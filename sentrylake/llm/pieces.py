@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of new units that are indexed at a time, and units that a worker remembers.
-INDEX_CHARS, KNOWN_UNITS = 1 << 20, 400_000
+INDEX_CHARS, KNOWN_UNITS = 1 << 18, 200_000
 #: Longest piece that can be matched.
 WIDTH = 16
 #: Stand for U+2581 in the text, and for a cut between units; neither occurs in UTF-8.
@@ -81,7 +81,7 @@ class Vocabulary:
     def apart(self, a: int, b: int) -> bool:
         """Whether BPE of the two pieces' text gives these two pieces: no merge across the border comes before the merges on either side that close it."""
         if (known := self._apart.get(a << 20 | b)) is None:
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > 400_000:
                 self._apart.clear()
             known = self._apart[a << 20 | b] = self._stays(a, b)
         return known
@@ -296,7 +296,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _slices(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
+def _slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -318,14 +318,17 @@ def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in it:
-            at = 0
-            for texts in _slices([x or "" for x in batch.column(1).to_pylist()]):
-                ids = enc.encode(texts)
-                back = [(enc.decode(i) if len(i) else "") == t for i, t in zip(ids, texts)]
-                offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-                arrays = [batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))), pa.array(np.diff(offsets).astype(np.int64)), pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids]), pa.array(back)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_tokens", "ids_sha256", "round_trip"])
-                at += len(texts)
+            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                at = 0
+                for texts in _slices([x or "" for x in part.column(1).to_pylist()]):
+                    ids = enc.encode(texts)
+                    back = [(enc.decode(i) if len(i) else "") == t for i, t in zip(ids, texts)]
+                    offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+                    digests = pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids])
+                    arrays = [part.column(0).slice(at, len(texts)), lists, pa.array(np.diff(offsets).astype(np.int64)), digests, pa.array(back)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_tokens", "ids_sha256", "round_trip"])
+                    at += len(texts)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, round_trip boolean")
 

@@ -15,63 +15,75 @@ from .common import cut, utf8, written
 
 K1, B = 1.2, 0.75
 #: A shard takes documents until it has so many, or so many bytes of text.
-SHARD_DOCS, SHARD_BYTES = 8192, 24 << 20
+SHARD_DOCS, SHARD_BYTES = 4096, 8 << 20
 #: Documents of a block, and queries that are scored together.
-BLOCK, QUERIES = 512, 256
+BLOCK, QUERIES = 256, 256
 #: A term in at least this share of a shard's documents is scored by matrix products over blocks, under block maxima.
 DENSE = 1 / 16
 #: Query terms that travel with the tasks at a time.
-BLOCK_TERMS = 1_000_000
+BLOCK_TERMS = 500_000
 _NO_ID = np.iinfo(np.int64).max
 
 _INDEX = "tokens binary, token_ends binary, starts binary, docs binary, tfs binary, ids binary, lengths binary, n long, total long"
 
 
-def _shard(ids: list[int], found: list[Counter[bytes]], lengths: list[int]) -> tuple:
-    """One row of the index. Documents by falling length, so that blocks hold documents of like length; terms in byte order, each with its documents and counts."""
-    order = np.argsort(-np.array(lengths), kind="stable")
-    names: dict[bytes, int] = {}
-    term, tf = [], []
-    for d in order.tolist():
-        term.append([names.setdefault(t, len(names)) for t in found[d]])
-        tf.append(list(found[d].values()))
-    size = np.array([len(t) for t in term])
-    flat = np.array([t for x in term for t in x], np.int64)
-    counts = np.array([t for x in tf for t in x], np.int32)
-    doc = np.repeat(np.arange(len(order)), size)
-    tokens = list(names)
-    by_name = sorted(range(len(tokens)), key=tokens.__getitem__)
-    rank = np.empty(len(tokens), np.int64)
-    rank[by_name] = np.arange(len(tokens))
-    by = np.argsort(rank[flat], kind="stable")
-    starts = np.searchsorted(rank[flat][by], np.arange(len(tokens) + 1))
-    ordered = [tokens[k] for k in by_name]
-    as_bytes = lambda x, kind: np.asarray(x, kind).tobytes()
-    return (b"".join(ordered), as_bytes(np.cumsum([len(t) for t in ordered]), np.int64), as_bytes(starts, np.int64), as_bytes(doc[by], np.uint16), as_bytes(counts[by], np.int32), as_bytes(np.array(ids, np.int64)[order], np.int64), as_bytes(np.array(lengths)[order], np.int64), len(order), int(sum(lengths)))
+class _Shard:
+    """A shard while it grows: postings as numbers, document by document."""
+
+    def __init__(self) -> None:
+        self.names: dict[bytes, int] = {}
+        self.ids: list[int] = []
+        self.lengths: list[int] = []
+        self.terms: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc_id: int, raw: bytes) -> None:
+        words = raw.lower().split()
+        found, names = Counter(words), self.names
+        self.ids.append(doc_id)
+        self.lengths.append(len(words))
+        self.terms.append(np.fromiter((names.setdefault(t, len(names)) for t in found), np.int32, len(found)))
+        self.counts.append(np.fromiter(found.values(), np.int32, len(found)))
+        self.size += len(raw)
+
+    def full(self) -> bool:
+        return len(self.ids) == SHARD_DOCS or self.size > SHARD_BYTES
+
+    def row(self) -> tuple:
+        """One row of the index. Documents by falling length, so that blocks hold documents of like length; terms in byte order, each with its documents and counts."""
+        order = np.argsort(-np.array(self.lengths), kind="stable")
+        terms, counts = (np.concatenate([x[d] for d in order.tolist()]) for x in (self.terms, self.counts))
+        doc = np.repeat(np.arange(len(order), dtype=np.uint16), [len(self.terms[d]) for d in order.tolist()])
+        ordered = sorted(self.names)
+        rank = np.empty(len(ordered), np.int32)
+        rank[np.fromiter(map(self.names.__getitem__, ordered), np.int64, len(ordered))] = np.arange(len(ordered))
+        terms = rank[terms]
+        by = np.argsort(terms, kind="stable")
+        starts = np.searchsorted(terms[by], np.arange(len(ordered) + 1))
+        as_bytes = lambda x, kind: np.asarray(x, kind).tobytes()
+        return (b"".join(ordered), as_bytes(np.cumsum([len(t) for t in ordered]), np.int64), as_bytes(starts, np.int64), doc[by].tobytes(), counts[by].tobytes(), as_bytes(np.array(self.ids, np.int64)[order], np.int64), as_bytes(np.array(self.lengths)[order], np.int64), len(order), int(sum(self.lengths)))
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Inverted index of the whole texts, written to the shared folder: one row a shard of neighbouring documents (`_INDEX`). Words are lower-cased (A-Z); texts are not shuffled."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found, lengths, size = [], [], [], 0
         names = [f.split()[0] for f in _INDEX.split(", ")]
+        shard = _Shard()
 
         def out() -> pa.RecordBatch:
-            row = _shard(ids, found, lengths)
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in shard.row()], names=names)
 
         for batch in it:
-            for i, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                words = raw.lower().split()
-                ids.append(_NO_ID if i is None else i)
-                found.append(Counter(words))
-                lengths.append(len(words))
-                size += len(raw)
-                if len(ids) == SHARD_DOCS or size > SHARD_BYTES:
-                    yield out()
-                    ids, found, lengths, size = [], [], [], 0
-        if ids:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for i, raw in zip(part.column(0).to_pylist(), utf8(part.column(1))):
+                    shard.add(_NO_ID if i is None else i, raw)
+                    if shard.full():
+                        yield out()
+                        shard = _Shard()
+        if shard.ids:
             yield out()
 
     return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _INDEX))
@@ -178,7 +190,7 @@ def search_shard(row: dict, queries: Queries, mean: float, k: int) -> Iterator[t
         edge = np.concatenate(([0], np.cumsum(size)))
         a = 0
         while a < len(t):  # some millions of postings at a time
-            b = max(a + 1, int(np.searchsorted(edge, edge[a] + (1 << 21), side="right")) - 1)
+            b = max(a + 1, int(np.searchsorted(edge, edge[a] + (1 << 19), side="right")) - 1)
             m = size[a:b]
             post = np.repeat(starts[t[a:b]] - (edge[a:b] - edge[a]), m) + np.arange(edge[b] - edge[a])
             score += np.bincount(np.repeat(q[a:b] * n, m) + doc[post], np.repeat(w[a:b], m) * impact[post], minlength=len(score))
@@ -234,11 +246,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_
 def _searcher(given, mean: float, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = given.value
-        for batch in it:
-            for row in batch.to_pylist():
-                for places, docs, scores in search_shard(row, queries, mean, k) if len(queries.ids) else ():
-                    cols = [[int(places[0]) // QUERIES], [queries.ids[places].tobytes()], [docs.tobytes()], [scores.tobytes()]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if j else pa.int32()) for j, c in enumerate(cols)], names=["part", "q", "doc", "score"])
+        for row in (r for batch in it for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+            for places, docs, scores in search_shard(row, queries, mean, k) if len(queries.ids) else ():
+                cols = [[int(places[0]) // QUERIES], [queries.ids[places].tobytes()], [docs.tobytes()], [scores.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if j else pa.int32()) for j, c in enumerate(cols)], names=["part", "q", "doc", "score"])
 
     return run
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..lineage import cut
 from . import rules
 from .rules import OTHER_RULES
 
@@ -83,26 +84,35 @@ def linkage(a: str, b: str) -> Column:
     return sum((F.when(c, v).otherwise(0) for c, v in points), F.lit(0))
 
 
-_FACTS = ("finding_id", "path", "line", "context", "source_kind", "reference_example", "segment_type", "segment_id")
-
-
-def chain_candidates(found: DataFrame) -> DataFrame:
-    """(skill_id, flag, part): findings per flag, of those alike in all that linkage reads only the two smallest ids, so that a large bundle makes few pairs and the best one stays."""
-    flags = [f for c in CHAINS for f in c[3:]]
-    rows = found.select("skill_id", F.explode(F.array_distinct(F.filter(F.split("flags", ","), lambda f: f.isin(*flags)))).alias("flag"), *_FACTS)
-    alike = Window.partitionBy("skill_id", "flag", *[c for c in _FACTS if c != "finding_id"]).orderBy("finding_id")
-    rows = rows.withColumn("n", F.row_number().over(alike)).where("n <= 2")
-    return rows.select("skill_id", "flag", F.struct(*_FACTS).alias("part"))
+_FACTS = ("finding_id", "path", "line", "context", "source_kind", "reference_example", "segment_type")
 
 
 def chain_pairs(found: DataFrame) -> DataFrame:
-    """(chain, rule_id, category, skill_id, a, b, score): pairs of a bundle's findings with a chain's two flags, by file first: only pairs of one file or of neighbouring lines score enough to matter, and the others are compared through each file's best."""
-    spark = found.sparkSession
-    policy = spark.createDataFrame(CHAINS, "chain string, rule_id string, category string, flag_a string, flag_b string")
-    parts = chain_candidates(found)
-    a, b = parts.select("skill_id", F.col("flag").alias("flag_a"), F.col("part").alias("a")), parts.select("skill_id", F.col("flag").alias("flag_b"), F.col("part").alias("b"))
-    near = a.join(F.broadcast(policy), "flag_a").join(b.withColumn("same", F.col("b.path")), (a.skill_id == b.skill_id) & (F.col("a.path") == F.col("same")) & (policy.flag_b == b.flag_b)).drop(b.skill_id).drop(b.flag_b).drop("same")
-    return near.where("a.finding_id <> b.finding_id").withColumn("score", linkage("a", "b")).select("chain", "rule_id", "category", "skill_id", "a", "b", "score")
+    """(chain, rule_id, category, skill_id, a, b, score): pairs of a bundle's findings with a chain's two flags, without those that others outdo.
+
+    Of findings alike in all that linkage reads, the two smallest ids stand for all (two, since the parts must differ). Within a file those
+    are findings of one line; across files the file and line don't count, so a few findings a flag and bundle are left. A large bundle makes few pairs.
+    """
+    flags = [f for c in CHAINS for f in c[3:]]
+    hint = F.lower("path").rlike("references/|readme|license")
+    rows = found.select("skill_id", F.explode(F.array_distinct(F.filter(F.split("flags", ","), lambda f: f.isin(*flags)))).alias("flag"), *_FACTS).withColumn("hint", hint)
+    policy = F.broadcast(found.sparkSession.createDataFrame(CHAINS, "chain string, rule_id string, category string, flag_a string, flag_b string"))
+    facts = ["context", "source_kind", "reference_example", "segment_type", "hint"]
+    first = lambda *by: F.row_number().over(Window.partitionBy("skill_id", "flag", *by).orderBy("finding_id"))
+    near = rows.withColumn("n", first("path", "line", *facts)).where("n <= 2")
+    far = rows.withColumn("n", first("path", *facts)).where("n = 1").withColumn("n", first(*facts)).where("n <= 2")
+
+    def pairs(parts: DataFrame, same: bool) -> DataFrame:
+        part = F.struct(*_FACTS)
+        a = parts.select("skill_id", F.col("path").alias("path_a"), F.col("flag").alias("flag_a"), part.alias("a")).join(policy, "flag_a")
+        b = parts.select("skill_id", F.col("path").alias("path_b"), F.col("flag").alias("flag_b"), part.alias("b"))
+        if same:
+            joined = a.withColumnRenamed("path_a", "path").join(b.withColumnRenamed("path_b", "path"), ["skill_id", "path", "flag_b"])
+        else:
+            joined = a.join(b, ["skill_id", "flag_b"]).where("path_a <> path_b")
+        return joined.where("a.finding_id <> b.finding_id").select("chain", "rule_id", "category", "skill_id", "a", "b")
+
+    return pairs(near, True).unionByName(pairs(far, False)).withColumn("score", linkage("a", "b"))
 
 
 def chains(found: DataFrame, least: int = 2) -> DataFrame:
@@ -120,10 +130,12 @@ def all_findings(segments: DataFrame) -> DataFrame:
     """Findings of the text rules, of normalisation, of hidden content and of chains, with references (absorbed parts) and layer."""
     none = F.array().cast("array<string>").alias("references")
     first = rules.evaluate(segments)
+    # findings hold no texts; they are kept once, and what follows joins them
     for extra in (mixed_script_words(segments), split_keywords(segments), normalisation_changes(segments)):
         first = first.unionByName(extra.drop("content", "self_limiting"), allowMissingColumns=True)
+    first = cut(first)
     hidden = hidden_content(segments, first)
-    found = first.select(*_COLUMNS, none).unionByName(hidden.select(*_COLUMNS, "references"))
+    found = cut(first.select(*_COLUMNS, none).unionByName(hidden.select(*_COLUMNS, "references")))
     linked = chains(found)
     anchor = linked.select(
         F.md5(F.concat_ws("::", "skill_id", "rule_id").cast("binary")).alias("finding_id"), "skill_id", F.concat("skill_id", F.lit("/SKILL.md")).alias("path"), F.lit(None).cast("string").alias("segment_id"), F.lit("original").alias("segment_type"), "rule_id", "severity", "category",

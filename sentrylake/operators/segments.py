@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..lineage import cut
 
 FENCE = r"(?s)```([^\n`]*)\n(.*?)\n```"
 _FENCE0 = r"```[^\n`]*\n.*?\n```"
@@ -69,7 +70,7 @@ def expand(artifacts: DataFrame, depth: int = 3, most: int = MOST_SEGMENTS) -> D
     first = original(artifacts)
     level, below = first, None
     for _ in range(depth):
-        level = children(level)
+        level = cut(children(level))  # the derived parts, so that no text is taken apart again for the next generation
         below = level if below is None else below.unionByName(level)
     if below is None:
         return first

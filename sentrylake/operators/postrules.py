@@ -36,7 +36,7 @@ def split_keywords(segments: DataFrame) -> DataFrame:
     out = segments.where("segment_type = 'original'").withColumn("now", text.fold_look_alikes(text.remove_invisible(F.col("content"))))
     logs, now = [], F.col("now")
     for word in fixed.SPLIT_KEYWORDS:
-        logs.append(F.transform(F.regexp_extract_all(now, F.lit(text.split_keyword(word)), F.lit(0)), lambda m, w=word: F.concat(F.lit(w), F.lit(" "), m)))
+        logs.append(F.transform(F.regexp_extract_all(now, F.lit(text.split_keyword(word)), F.lit(0)), (lambda w: lambda m: F.concat(F.lit(f"{w} "), m))(word)))
         for _ in range(3 if word[0] == word[-1] else 1):
             now = F.regexp_replace(now, text.split_keyword(word), word)
     # the last letter of any split keyword follows a separator: without one the text needs no second look

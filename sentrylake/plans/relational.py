@@ -41,9 +41,9 @@ points as (select *, {_WEIGHT} * coalesce(confidence, 1.0) * power({fixed.DECAY}
     * (case when active = 1 and not flags like '%,SUPPRESSION_PRESENT,%' then {fixed.SUPPRESSION_FACTOR} else 1.0 end) as off from ranked),
 per as (select skill_id, sum(off) as off, min({_SEV}) as worst, count(*) as effective, sum(case when soft_status = 'confirmed' then 1 else 0 end) as confirmed from points group by skill_id),
 alls as (select f.skill_id, count(*) as n, sum(case when soft and soft_status <> 'confirmed' then 1 else 0 end) as rejected, sum(case when a.finding_id is not null then 1 else 0 end) as absorbed from f left join absorbed a on f.finding_id = a.finding_id group by f.skill_id),
-raw as (select b.skill_id, cast(coalesce(greatest(0, least(100, {d.bankers('100.0 - off')})), 100) as int) as raw_score, coalesce(off, 0) as off, coalesce(worst, 5) as worst, coalesce(effective, 0) as effective, coalesce(confirmed, 0) as confirmed, coalesce(rejected, 0) as rejected, coalesce(absorbed, 0) as absorbed, coalesce(n, 0) as n
+rawscores as (select b.skill_id, cast(coalesce(greatest(0, least(100, {d.bankers('100.0 - off')})), 100) as int) as raw_score, coalesce(off, 0) as off, coalesce(worst, 5) as worst, coalesce(effective, 0) as effective, coalesce(confirmed, 0) as confirmed, coalesce(rejected, 0) as rejected, coalesce(absorbed, 0) as absorbed, coalesce(n, 0) as n
     from bundles b left join per on b.skill_id = per.skill_id left join alls on b.skill_id = alls.skill_id),
-scored as (select *, least(raw_score, case worst when 0 then {fixed.SCORE_CAPS['critical']} when 1 then {fixed.SCORE_CAPS['high']} else 100 end) as score from raw),
+scored as (select *, least(raw_score, case worst when 0 then {fixed.SCORE_CAPS['critical']} when 1 then {fixed.SCORE_CAPS['high']} else 100 end) as score from rawscores),
 results as (select *, case when score >= 80 then 'SAFE' when score >= 60 then 'LOW RISK' when score >= 40 then 'MEDIUM RISK' when score >= 20 then 'HIGH RISK' else 'CRITICAL' end as verdict from scored)"""
 
 
@@ -80,7 +80,7 @@ ladder as (select *, case when (sure_theft = 1 and sure_exfiltration = 1) or n_c
       when critical_active = 1 or n_chains > 0 or high_sub >= 2 or promoted_theft = 1 or high_obfuscation >= 2 or promoted = 1 or (injection = 1 and suppression = 1) or explicit_rule = 1 or (encoded = 1 and executes = 1 and remote = 1) then 2
       when high_sub > 0 or boot = 1 or medium_dangerous = 1 or n_sub >= 2 then 1 else 0 end as base,
     case when sure_theft = 1 and sure_exfiltration = 1 then 3 when n_chains > 0 and guarded = 1 then 2 else 0 end as floor_rank from facts),
-labels as (select b.skill_id, coalesce(base, 0) as base_rank, coalesce(floor_rank, 0) as floor_rank,
+risk as (select b.skill_id, coalesce(base, 0) as base_rank, coalesce(floor_rank, 0) as floor_rank,
     coalesce(greatest(base, floor_rank, case when base < 3 and (suppression = 1 or (cross_agent = 1 and acting = 1)) then 2 else 0 end), 0) as rank from bundles b left join ladder on b.skill_id = ladder.skill_id)"""
 
 
@@ -138,11 +138,11 @@ def _q_evidence(d):
 
 
 def _q_labels(d):
-    return ["base", _labels(d)], f"select skill_id, {_LABEL.format('base_rank')} as base_label, {_LABEL.format('rank')} as risk_label, case when rank >= 2 then 'MALICIOUS' else 'SAFE' end as binary_label from labels"
+    return ["base", _labels(d)], f"select skill_id, {_LABEL.format('base_rank')} as base_label, {_LABEL.format('rank')} as risk_label, case when rank >= 2 then 'MALICIOUS' else 'SAFE' end as binary_label from risk"
 
 
 def _q_floor(d):
-    return ["base", _labels(d)], f"select skill_id, {_LABEL.format('floor_rank')} as floor_label from labels"
+    return ["base", _labels(d)], f"select skill_id, {_LABEL.format('floor_rank')} as floor_label from risk"
 
 
 def _q_decisive(d):
@@ -180,11 +180,11 @@ j as (select skill_id, path, target, category, count(*) as n, 'hard' as kind fro
 
 #: Three votes on each soft finding, from its id.
 _VOTES = """votes as (select finding_id, skill_id, category, m.model, case when substr(finding_id, m.model, 1) < '9' then 'confirm' when substr(finding_id, m.model, 1) < 'd' then 'dispute' else 'informational' end as disposition,
-    (case when substr(finding_id, m.model + 4, 1) < '8' then 0.6 else 0.9 end) as confidence, case when substr(finding_id, m.model + 8, 1) < '5' then 'HIGH' when substr(finding_id, m.model + 8, 1) < 'b' then 'MEDIUM' else 'LOW' end as label from f cross join (select 1 as model union all select 2 union all select 3) m where soft)"""
+    (case when substr(finding_id, m.model + 4, 1) < '8' then 0.6e0 else 0.9e0 end) as confidence, case when substr(finding_id, m.model + 8, 1) < '5' then 'HIGH' when substr(finding_id, m.model + 8, 1) < 'b' then 'MEDIUM' else 'LOW' end as label from f cross join (select 1 as model union all select 2 union all select 3) m where soft)"""
 
 
 def _q_consensus(d):
-    return ["base", _VOTES], f"select finding_id, round(avg(case when disposition = 'confirm' then 1.0 else 0.0 end), 6) as share, case when avg(case when disposition = 'confirm' then 1.0 else 0.0 end) >= {fixed.CONSENSUS} then 'confirmed' else 'rejected' end as status from votes group by finding_id"
+    return ["base", _VOTES], f"select finding_id, round(avg(case when disposition = 'confirm' then 1.0e0 else 0.0e0 end), 6) as share, case when avg(case when disposition = 'confirm' then 1.0e0 else 0.0e0 end) >= {fixed.CONSENSUS} then 'confirmed' else 'rejected' end as status from votes group by finding_id"
 
 
 def _q_mode(d):
@@ -193,7 +193,7 @@ def _q_mode(d):
 
 def _q_majority(d):
     rank = "case label when 'LOW' then 0 when 'MEDIUM' then 1 when 'HIGH' then 2 else 3 end"
-    return ["base", _VOTES, _labels(d), f"c as (select skill_id, label, {rank} as vote_rank, count(*) as n, round(avg(confidence), 6) as mean from votes group by skill_id, label), r as (select *, row_number() over (partition by skill_id order by n desc, mean desc, vote_rank desc) as k from c)"], f"select r.skill_id, label as majority, n, mean, {_LABEL.format('greatest(vote_rank, floor_rank)')} as final_label from r join labels on r.skill_id = labels.skill_id where k = 1"
+    return ["base", _VOTES, _labels(d), f"c as (select skill_id, label, {rank} as vote_rank, count(*) as n, round(avg(confidence), 6) as mean from votes group by skill_id, label), r as (select *, row_number() over (partition by skill_id order by n desc, mean desc, vote_rank desc) as k from c)"], f"select r.skill_id, label as majority, n, mean, {_LABEL.format('greatest(vote_rank, floor_rank)')} as final_label from r join risk on r.skill_id = risk.skill_id where k = 1"
 
 
 #: Scores of three models for each document's text, from its length.
@@ -209,7 +209,7 @@ def _q_ml(d):
     return [_SCORES], "select doc_id, case when round(score, 9) >= 0.75 then 'high' else 'medium' end as severity, case when round(score, 9) < 0.85 then 1 else 0 end as soft from ens where round(score, 9) >= 0.5"
 
 
-_EVAL = lambda d: ["base", _labels(d), "labels_ as (select * from labels)", _TRUTH, _outcomes(d)]
+_EVAL = lambda d: ["base", _labels(d), "labels_ as (select * from risk)", _TRUTH, _outcomes(d)]
 
 
 def _q_confusion(d):
@@ -218,7 +218,7 @@ def _q_confusion(d):
 
 def _q_recall(d):
     expected = "e as (select skill_id, 'prompt_injection' as category from truth where verdict = 'MALICIOUS' union all select skill_id, 'credential_theft' from truth where verdict = 'MALICIOUS' union all select skill_id, 'supply_chain' from truth where verdict = 'MALICIOUS')"
-    return ["base", _TRUTH, expected, "h as (select distinct skill_id, category from f)"], "select e.category, count(*) as expected, sum(case when h.skill_id is not null then 1 else 0 end) as found_in, round(sum(case when h.skill_id is not null then 1.0 else 0.0 end) / count(*), 6) as recall_ from e left join h on e.skill_id = h.skill_id and e.category = h.category group by e.category"
+    return ["base", _TRUTH, expected, "h as (select distinct skill_id, category from f)"], "select e.category, count(*) as expected, sum(case when h.skill_id is not null then 1 else 0 end) as found_in, round(sum(case when h.skill_id is not null then 1.0e0 else 0.0e0 end) / count(*), 6) as recall_ from e left join h on e.skill_id = h.skill_id and e.category = h.category group by e.category"
 
 
 def _q_coverage(d):
@@ -229,7 +229,7 @@ def _q_coverage(d):
 def _q_severity(d):
     worst = f"w as (select skill_id, min({_SEV}) as worst from f group by skill_id)"
     diff = f"(worst - {_case('true_severity', _RANK)})"
-    return [*_EVAL(d), worst], f"select count(*) as n, round(avg(cast(abs({diff}) as double)), 6) as mean_error, round(avg(case when {diff} > 0 then 1.0 else 0.0 end), 6) as under, round(avg(case when {diff} < 0 then 1.0 else 0.0 end), 6) as over_ from outcomes o join w on o.skill_id = w.skill_id where outcome = 'TP'"
+    return [*_EVAL(d), worst], f"select count(*) as n, round(avg(cast(abs({diff}) as double)), 6) as mean_error, round(avg(case when {diff} > 0 then 1.0e0 else 0.0e0 end), 6) as under, round(avg(case when {diff} < 0 then 1.0e0 else 0.0e0 end), 6) as over_ from outcomes o join w on o.skill_id = w.skill_id where outcome = 'TP'"
 
 
 def _q_latency(d):
@@ -237,7 +237,7 @@ def _q_latency(d):
     return [], f"select event_type as layer, count(*) as n, {p(0.5)} as p50, {p(0.95)} as p95, {p(0.99)} as p99, round(count(*) / sum(value), 6) as throughput from events where value is not null group by event_type"
 
 
-_TWO = lambda d: ["base", _labels(d), "labels_ as (select * from labels)", _TRUTH, _outcomes(d, name="run_a", cutoff=3), _outcomes(d, name="run_b", cutoff=2)]
+_TWO = lambda d: ["base", _labels(d), "labels_ as (select * from risk)", _TRUTH, _outcomes(d, name="run_a", cutoff=3), _outcomes(d, name="run_b", cutoff=2)]
 
 
 def _q_regression(d):

@@ -106,7 +106,7 @@ def _outcomes(d, rank: str = "rank", name: str = "outcomes", cutoff: int = 2) ->
 
 
 _METRICS = """select {0} count(*) as n, sum(case when outcome = 'TP' then 1 else 0 end) as tp, sum(case when outcome = 'FP' then 1 else 0 end) as fp, sum(case when outcome = 'TN' then 1 else 0 end) as tn, sum(case when outcome = 'FN' then 1 else 0 end) as fn"""
-_RATIOS = """tp, fp, tn, fn, round(coalesce(tp / cast(nullif(tp + fp, 0) as double), 0), 6) as precision_, round(coalesce(tp / cast(nullif(tp + fn, 0) as double), 0), 6) as recall_, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, round(coalesce(fp / cast(nullif(fp + tn, 0) as double), 0), 6) as fpr, round(coalesce((tp + tn) / cast(nullif(tp + fp + tn + fn, 0) as double), 0), 6) as accuracy"""
+_RATIOS = """tp, fp, tn, fn, round(coalesce(tp / cast(nullif(tp + fp, 0) as double), 0), 6) as precision_, round(coalesce(tp / cast(nullif(tp + fn, 0) as double), 0), 6) as recall_, round(coalesce(2.0e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, round(coalesce(fp / cast(nullif(fp + tn, 0) as double), 0), 6) as fpr, round(coalesce((tp + tn) / cast(nullif(tp + fp + tn + fn, 0) as double), 0), 6) as accuracy"""
 
 
 def _q_score(d):

@@ -154,3 +154,31 @@ ORACLE_SQL = {
     "behaviour_chains": twins.scan() + "select skill_id, chain, rule_id, category, score, severity, part_a, part_b, path_a, path_b from linked",
     "chain_linkage": twins.scan() + "select skill_id, chain, max(score) as best from pairs group by all",
 } | {k: _rule_hits(*v)[1] for k, v in _HITS.items()}
+
+
+def _findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import findings_json
+
+    return findings_json(kept(spark, sf_dir, "findings"))
+
+
+def _sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import sarif
+
+    return sarif(kept(spark, sf_dir, "findings"))
+
+
+def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.models import excerpts
+
+    return excerpts(kept(spark, sf_dir, "segments"), kept(spark, sf_dir, "findings").where("segment_id is not null"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.models import candidates, chunks
+
+    parts = chunks(candidates(kept(spark, sf_dir, "segments").where("segment_type = 'original'")))
+    return parts.select("path", "segment_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+QUERIES |= {"findings_json": _findings_json, "sarif_docs": _sarif, "review_excerpts": _excerpts, "text_chunks": _chunks}

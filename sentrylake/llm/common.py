@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
+T = TypeVar("T")
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,11 +56,25 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+_held: tuple[object, object] = (None, None)
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """What `make` gives, kept in this Python worker until another key is asked for: a worker that serves several operators holds one model at a time."""
+    global _held
+    if _held[0] != key:
+        _held = (None, None)
+        _held = (key, make())
+    return _held[1]  # type: ignore[return-value]
+
+
+def slices(it: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows`, so that few texts are Python objects at once."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def crc_of_id(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; -1 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
-
-
-def batches(rows: Iterator[dict[str, np.ndarray | list]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for row in rows:
-        yield pa.RecordBatch.from_arrays([pa.array(row[f.name], type=f.type) for f in schema], schema=schema)

@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import crc_of_id
+from .common import crc_of_id, held, slices
 
 #: Symbols: 0 stands for a run of characters that aren't letters, 62 for letters outside the alphabet, 63 pads.
 SPACE, OTHER, PAD, WIDTH = 0, 62, 63, 64
 #: Texts are parsed in blocks of so many symbols; a phrase that is open at a block's end closes there.
 BLOCK = 512
+#: Symbols of a language that are learned.
+TRAIN = 16_000
 #: Code points that are parsed at a time.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 @functools.cache
@@ -107,9 +109,9 @@ class Model:
         self.langs, tables, base, self.start, self.cost = list(texts), [], 0, [], []
         for lang in self.langs:
             symbols, _ = self.symbols(points[lang], np.array([0]))
-            t = Automaton(bytes(symbols[:24_000])).table(base)
+            t = Automaton(bytes(symbols[:TRAIN])).table(base)
             self.start.append(base * WIDTH * 2)
-            self.cost.append(np.log2(max(2, min(len(symbols), 24_000))))
+            self.cost.append(np.log2(max(2, min(len(symbols), TRAIN))))
             tables.append(t)
             base += len(t) // WIDTH
         self.table = np.concatenate(tables).astype(np.int32 if base * WIDTH * 2 < 2**31 else np.int64) if tables else np.zeros(0, np.int32)
@@ -169,10 +171,9 @@ class Model:
         return langs, np.concatenate(scores) if scores else np.zeros(0)
 
 
-@functools.lru_cache(maxsize=2)
 def _model(texts: tuple[tuple[str, str], ...]) -> Model:
     """Built once per Python worker, from the bounded sample that travels with the task."""
-    return Model(dict(texts))
+    return held(("language", texts), lambda: Model(dict(texts)))
 
 
 def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataFrame:
@@ -190,7 +191,7 @@ def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> Data
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(given)
-        for batch in it:
+        for batch in slices(it):
             langs, scores = model.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of new units that are indexed at a time, and units that a worker remembers.
-INDEX_CHARS, KNOWN_UNITS = 1 << 18, 200_000
+INDEX_CHARS, KNOWN_UNITS = 1 << 18, 120_000
 #: Longest piece that can be matched.
 WIDTH = 16
 #: Stand for U+2581 in the text, and for a cut between units; neither occurs in UTF-8.
@@ -81,7 +82,7 @@ class Vocabulary:
     def apart(self, a: int, b: int) -> bool:
         """Whether BPE of the two pieces' text gives these two pieces: no merge across the border comes before the merges on either side that close it."""
         if (known := self._apart.get(a << 20 | b)) is None:
-            if len(self._apart) > 400_000:
+            if len(self._apart) > 250_000:
                 self._apart.clear()
             known = self._apart[a << 20 | b] = self._stays(a, b)
         return known
@@ -106,11 +107,6 @@ class Vocabulary:
                 b = hb[0]
 
 
-@functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 def _pack(codes: np.ndarray, n: int) -> list[np.ndarray]:
     """For each of the first n positions (last axis) the 16 codes from there on, four in a number."""
     at = lambda k: codes[..., k : k + n]
@@ -207,7 +203,7 @@ class Encoder:
     """Encodes batches of texts; remembers a bounded number of units."""
 
     def __init__(self, path: str):
-        self.v = vocabulary(path)
+        self.v = Vocabulary(path)
         line_end = [self.v.id["\n"]] if "\n" in self.v.id else [self.v.byte[10]]
         #: ids of each unit, as little-endian bytes
         self.units: dict[str, bytes] = {"": b"", "\n": np.array(line_end, np.int32).tobytes()}
@@ -291,9 +287,9 @@ class Encoder:
         return table
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """One per Python worker."""
+    return held(("pieces", path), lambda: Encoder(path))
 
 
 def _slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
@@ -318,7 +314,7 @@ def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in it:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+            for part in slices(iter([batch]), 512):
                 at = 0
                 for texts in _slices([x or "" for x in part.column(1).to_pylist()]):
                     ids = enc.encode(texts)

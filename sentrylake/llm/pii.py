@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 #: Every kind holds one of these characters.
 TRIGGER = re.compile(r"[0-9@]")
@@ -352,7 +354,7 @@ def detect(docs: DataFrame, tagger: Tagger | None, doc_id: str = "doc_id", text:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-        for batch in it:
+        for batch in slices(it):
             base, every = find(tagger, [x or "" for x in batch.column(1).to_pylist()])
             cols = [batch.column(0), *(pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in KINDS)]
             cols += [pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b in base], pa.string()), pa.array([listed(e) for e in every], pa.string())]
@@ -377,7 +379,7 @@ def redact(docs: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFr
     at = docs.columns.index(text)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             given = batch.column(at).to_pylist()
             _, every = find(tagger, [x or "" for x in given])
             new = pa.array([x if x is None else redact_text(x, s) for x, s in zip(given, every)], pa.string())

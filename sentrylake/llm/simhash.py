@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, slices, utf8
 from .components import components
 
 SEED = 42
@@ -39,7 +39,7 @@ def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text:
     """(doc_id, fp long) of every row's whole text; a null text counts as empty."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             fps = np.array([fingerprint(x, width) for x in utf8(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 

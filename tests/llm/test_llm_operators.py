@@ -314,9 +314,9 @@ def test_pieces_equal_sentencepiece_and_read_back(spark):
 
 
 def test_edges_are_all_occurrences():
-    from sentrylake.llm.pieces import MODEL, edges, vocabulary
+    from sentrylake.llm.pieces import MODEL, Vocabulary, edges
 
-    v = vocabulary(MODEL)
+    v = Vocabulary(MODEL)
     units = ["▁the", "theatre", "a", "▁internationalisation"]
     position, piece, _, starts = edges(units, v)
     got = {(int(p), v.text[i]) for p, i in zip(position, piece)}

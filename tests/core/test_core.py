@@ -181,3 +181,15 @@ def test_models_and_reviewers(spark):
     text_ = models.excerpts(seg, found_).first().excerpt
     assert text_.startswith("line 0 ") and "[...]" in text_ and "line 50 " not in text_
     assert math.isclose(0.7**2, 0.49)
+
+
+def test_layers_and_adjustments(spark):
+    from sentrylake.operators.scoring import adjusted, cross_layer_duplicates
+
+    rows = [("a", "s", "x", "deterministic", None, 0), ("b", "s", "x", "deterministic", 0.4, 1), ("c", "s", "x", "ml", 0.9, 2), ("d", "t", "x", "deterministic", 0.5, 3), ("e", "t", "x", "llm", 0.8, 4), ("f", "t", "x", "ml", 0.8, 5), ("g", None, "x", "ml", 0.1, 6)]
+    df = spark.createDataFrame(rows, "finding_id string, segment_id string, category string, layer string, confidence double, seq int")
+    assert {r.finding_id for r in cross_layer_duplicates(df).collect()} == {"c", "d", "f"}
+    rows = [("a", "D-1A", None, [], None, 0), ("b", "D-1B", 0.8, [], None, 1), ("x", "LLM-DISPUTE", 0.6, ["a"], "dispute", 2), ("y", "LLM-CONFIRM", None, ["b", "a"], "confirm", 3), ("z", "LLM-DISPUTE", 1.0, ["a"], "dispute", 4)]
+    df = spark.createDataFrame(rows, "finding_id string, rule_id string, confidence double, references array<string>, disposition string, seq int")
+    got = {r.finding_id: (r.effective, r.multiplier, r.disputed) for r in adjusted(df).collect()}
+    assert got == {"a": (0.5, 1.0, True), "b": (0.8, pytest.approx(1.075), False)}

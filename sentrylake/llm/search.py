@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8, written
+from .common import cut, held, utf8, written
 
 K1, B = 1.2, 0.75
 #: A shard takes documents until it has so many, or so many bytes of text.
@@ -125,13 +126,18 @@ def query_terms(queries: DataFrame, query_id: str = "doc_id", text: str = "text"
 
 @dataclass(frozen=True)
 class Queries:
-    """A block of queries: their terms and weights, query by query."""
+    """A block of queries: their terms and weights, query by query. Their words travel as one array; a worker makes a dictionary of them for one block at a time."""
 
     ids: np.ndarray
     starts: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
-    vocabulary: dict[bytes, int]
+    words: pa.Array
+    name: str
+
+    @property
+    def vocabulary(self) -> dict[bytes, int]:
+        return held(("queries", self.name), lambda: {t: i for i, t in enumerate(self.words.to_pylist())})
 
     @staticmethod
     def of(rows: pa.Table) -> Queries:
@@ -140,7 +146,7 @@ class Queries:
         coded = rows["token"].combine_chunks()
         coded = (coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
         starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
-        return Queries(q[starts], np.append(starts, len(q)), coded.indices.to_numpy().astype(np.int64), w, {t: i for i, t in enumerate(coded.dictionary.to_pylist())})
+        return Queries(q[starts], np.append(starts, len(q)), coded.indices.to_numpy().astype(np.int64), w, coded.dictionary, uuid.uuid4().hex)
 
 
 def _top(score: np.ndarray, k: int) -> np.ndarray:

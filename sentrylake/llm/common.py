@@ -56,6 +56,12 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def thinned(h: Column, wanted: int, n: int | Column) -> Column:
+    """Whether a row's hash puts it among about `wanted` of n rows, so that a top-k by hash gathers few rows from each task, however many tasks there are."""
+    share = F.lit(float(wanted)) / F.greatest(F.lit(n) if isinstance(n, int) else n, F.lit(1))
+    return F.pmod(F.shiftright(h, 8), F.lit(1 << 40)) < share * float(1 << 40)
+
+
 _held: tuple[object, object] = (None, None)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, thinned
 from .components import components
 
 #: A class without an id takes a node above every real one.
@@ -95,7 +95,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, cells: int | None =
     centroids: dict[int, np.ndarray] = {}
     if k > 1:
         for size in [r.len for r in classes.select("len").distinct().limit(16).collect()]:
-            picked = classes.where(F.col("len") == size).select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample_rows).collect()
+            picked = classes.where(F.col("len") == size).select("v", F.xxhash64("v").alias("h")).where(thinned(F.col("h"), 4 * sample_rows, n)).orderBy("h").limit(sample_rows).collect()
             centroids[size] = spherical_kmeans(_unit([r.v for r in picked]), k)
     reach = float(np.sqrt(max(0.0, 1 - least * least))) + 1e-9
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import crc_of_id, held, slices
+from .common import bounded, crc_of_id, cut, held, slices, thinned
 
 #: Symbols: 0 stands for a run of characters that aren't letters, 62 for letters outside the alphabet, 63 pads.
 SPACE, OTHER, PAD, WIDTH = 0, 62, 63, 64
@@ -38,10 +38,14 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 def sample(docs: DataFrame, rows_per_lang: int = 200, chars_per_row: int = 1000) -> dict[str, str]:
     """Training text per language from a bounded sample: the rows with the smallest text hashes, `rows_per_lang` of each language, and `chars_per_row` of each."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text", "doc_id")
-    rows = docs.select("doc_id", "lang", F.col("text")).where("lang is not null and text is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_lang)
+    labelled = docs.where("lang is not null and text is not null")
+    sizes = bounded(cut(labelled.groupBy("lang").count()))
+    rows = labelled.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars_per_row).alias("text"))
+    rows = rows.join(sizes, "lang").where(thinned(F.col("h"), 20 * rows_per_lang, F.col("count")))
+    order = Window.partitionBy("lang").orderBy("h", "text", "doc_id")
+    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_lang)
     out: dict[str, list[str]] = {}
-    for lang, text in rows.select("lang", F.substring("text", 1, chars_per_row)).orderBy("lang", "n").collect():
+    for lang, text in rows.orderBy("lang", "n").select("lang", "text").collect():
         out.setdefault(lang, []).append(text)
     return {k: "\n".join(v) for k, v in sorted(out.items())}
 

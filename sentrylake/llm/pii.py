@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 #: Every kind holds one of these characters.
@@ -339,7 +339,8 @@ def train(docs: DataFrame, rows: int = 1500, seed: int = 2) -> Tagger | None:
     brackets, cut off, so that the model also learns numbers that the pattern misses. None if no document has a label.
     """
     first = F.regexp_instr("text", F.lit("[0-9@]"))
-    picked = docs.where(first > 0).select(F.xxhash64("text").alias("h"), F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 70), 400)").alias("w"))
+    n = docs.where(first > 0).count()
+    picked = docs.where((first > 0) & thinned(F.xxhash64("text"), 8 * rows, n)).select(F.xxhash64("text").alias("h"), F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 70), 400)").alias("w"))
     got = [x for row in picked.orderBy("h", "w").limit(rows).collect() for x in surroundings(row.w)]
     x, y = examples(got, seed)
     return Tagger(seed=seed).fit(x, y, seed=seed) if y.any() else None

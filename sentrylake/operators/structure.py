@@ -44,13 +44,14 @@ def frontmatter(files: DataFrame) -> DataFrame:
     lines = files.where(F.col("path").rlike(r"(?:^|/)SKILL\.md$")).withColumn("block", block).where("block <> ''").select("skill_id", "path", F.posexplode(F.split("block", "\n")).alias("no", "line_text"))
     pairs = lines.where(F.col("line_text").rlike(r"^[A-Za-z_][A-Za-z0-9_-]*\s*:"))
     pairs = pairs.select("skill_id", "path", F.regexp_extract("line_text", r"^([A-Za-z_][A-Za-z0-9_-]*)\s*:", 1).alias("key"), F.trim(F.regexp_extract("line_text", r"^[^:]*:(.*)$", 1)).alias("value"), (F.col("no") + 2).alias("line"))
-    times = pairs.groupBy("path", "key").agg(F.count("*").alias("times"))
-    return pairs.join(times, ["path", "key"])
+    times = pairs.groupBy("skill_id", "path", "key").agg(F.count("*").alias("times"))
+    return pairs.join(times, ["skill_id", "path", "key"])
 
 
 def bundle_names(files: DataFrame) -> DataFrame:
     """(skill_id, skill_name): the manifest's name, unless it is given twice, else the id."""
-    named = frontmatter(files).where("key = 'name' and times = 1").groupBy("skill_id").agg(F.min(F.regexp_replace("value", "^[\"']|[\"']$", "")).alias("name"))
+    own = files.where("relative_path = 'SKILL.md'") if "relative_path" in files.columns else files
+    named = frontmatter(own).where("key = 'name' and times = 1").groupBy("skill_id").agg(F.min(F.regexp_replace("value", "^[\"']|[\"']$", "")).alias("name"))
     return files.select("skill_id").distinct().join(named, "skill_id", "left").select("skill_id", F.coalesce("name", "skill_id").alias("skill_name"))
 
 

@@ -364,7 +364,7 @@ def test_chat_layouts_escapes_and_digests(spark):
         {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "id": 5},
         {"instruction": "i", "input": "", "output": "o"},
         {"prompt": "p", "completion": "c", "extra": {"x": 1}},
-        {"question": "q", "answer": {"n": 1}},
+        {"question": "q", "answer": {"n": 1}},  # an answer with fields is another layout
         {"unknown": 1},
         [1],
         {"turn": 2, "role": "odd>\\role", "text": None},
@@ -374,7 +374,7 @@ def test_chat_layouts_escapes_and_digests(spark):
     got = collections.defaultdict(list)
     for x in sorted(turns.collect(), key=lambda x: (x.conv_id, x.turn)):
         got[x.conv_id].append((x.role, x.text))
-    assert got == {0: [("user", records[0]["text"])], 1: [("user", "q"), ("assistant", "")], 2: [("user", "q"), ("assistant", "a")], 3: [("user", "i"), ("assistant", "o")], 4: [("user", "p"), ("assistant", "c")], 5: [("user", "q"), ("assistant", '{"n": 1}')], 8: [("odd>\\role", "")]}
+    assert got == {0: [("user", records[0]["text"])], 1: [("user", "q"), ("assistant", "")], 2: [("user", "q"), ("assistant", "a")], 3: [("user", "i"), ("assistant", "o")], 4: [("user", "p"), ("assistant", "c")], 8: [("odd>\\role", "")]}
     r = random.Random(8)
     table = [(r.randint(0, 9), k, r.choice(["user", "assistant", None, ">", "\\"]), r.choice([None, ""]) if k % 9 == 0 else "".join(r.choice(["\\", "<turn", "</turn", "</turn>\n", "<", ">", "\n", "é", "x"]) for _ in range(12))) for k in range(300)]
     formatted = format_turns(spark.createDataFrame(table, "conv_id long, turn long, role string, text string"))

@@ -153,8 +153,12 @@ def near_duplicates(docs: DataFrame, most: int = 4, width: int = 4, segments: in
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The columns of `docs`, for one row of each group: that of the smallest doc_id, and of rows that share it the first by text. Rows with a null doc_id go if their group has an id, else one stays."""
-    found = near_duplicates(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.lit(1))
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """What `deduplicate` keeps of `docs`, given the (doc_id, component_id) of its rows."""
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = docs.join(keep.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     repeated = found.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if repeated.isEmpty():

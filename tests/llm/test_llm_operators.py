@@ -115,6 +115,47 @@ def test_simhash_links_in_blocks_of_hot_keys(spark, most, segments):
         assert len({got.get(f, ("alone", f)) for f in members}) == 1
 
 
+@pytest.mark.parametrize("block", [4096, 8])
+def test_shingle_stage_against_all_pairs(spark, corpus, block):
+    import corpus_pipeline
+    from sentrylake.llm.shingles import near_duplicates
+
+    r = random.Random(11)
+    line = "one line that stands in very many of these texts and says nothing at all"
+    rows = list(corpus)
+    for k in range(40):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.randint(30, 200))]
+        for c in range(4):
+            edited = list(words)
+            for at in r.sample(range(len(words)), min(len(words), c * r.choice([1, 1, 2, 3]) * len(words) // 120 + (c > 0))):
+                edited[at] = f"new{r.randrange(10**6)}"
+            rows.append((1000 + 10 * k + c, " ".join(edited) + (" " + line if k % 2 else ""), "en", "a"))
+    hot = [f"h{k}" for k in range(150)]
+    rows += [(3000 + k, " ".join(hot[:k] + [f"x{k}"] + hot[k + 1 :]), "en", "b") for k in range(60)]
+    # alike at 0.8 exactly (4 of 5 shingles), and just below (3 of 4)
+    rows += [(4000, "a b c d e f g h i", "en", "a"), (4001, "a b c d e f g h", "en", "a"), (4100, "j k l m n o p q", "en", "a"), (4101, "j k l m n o p", "en", "a")]
+
+    def found(t):
+        w = WORDS.findall(lower(t))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [found(t) for _, t, *_ in rows]
+    like = lambda a, b: a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))
+    root = union_find(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if like(sets[a], sets[b])])
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[root[k]] = min(least.get(root[k], i), i)
+    want = sorted(((i, least.get(root[k])) for k, (i, *_) in enumerate(rows)), key=repr)
+    docs = make(spark, rows)
+    assert sorted(((x.doc_id, x.component_id) for x in near_duplicates(docs, block=block).collect()), key=repr) == want
+    assert near_duplicates(docs.limit(0)).count() == 0
+    if block == 4096:
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == sorted(set(least.values()))
+
+
 def test_embeddings_against_all_pairs(spark):
     from sentrylake.llm.embed import near_duplicates
 

@@ -37,12 +37,17 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, rows_per_lang: int = 200, chars_per_row: int = 1000) -> dict[str, str]:
-    """Training text per language from a bounded sample: the rows with the smallest text hashes, `rows_per_lang` of each language, and `chars_per_row` of each."""
+    """Training text per language from a bounded sample of its distinct texts: those with the smallest hashes, `rows_per_lang` of each language, and `chars_per_row` of each. Copies count once.
+
+    Thinning leaves about 20 times as many distinct texts as are wanted, or all if there are no more, so no language loses its sample.
+    Model learns the first TRAIN symbols of what is returned, of 16 texts or more.
+    """
     labelled = docs.where("lang is not null and text is not null")
-    sizes = bounded(cut(labelled.groupBy("lang").count()))
-    rows = labelled.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars_per_row).alias("text"))
+    sizes = bounded(cut(labelled.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count()))
+    rows = labelled.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars_per_row).alias("text"))
     rows = rows.join(sizes, "lang").where(thinned(F.col("h"), 20 * rows_per_lang, F.col("count")))
-    order = Window.partitionBy("lang").orderBy("h", "text", "doc_id")
+    rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
     rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_lang)
     out: dict[str, list[str]] = {}
     for lang, text in rows.orderBy("lang", "n").select("lang", "text").collect():
@@ -98,7 +103,7 @@ class Automaton:
 
 class Model:
     def __init__(self, texts: dict[str, str]):
-        """texts: per language. All are cut to the shortest one's symbols, so that phrase counts compare."""
+        """texts: per language. Of each, the first TRAIN symbols are learned: the true bound of the training text, as tables grow with it."""
         is_letter, lower = _letters()
         points = {k: np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32) for k, v in texts.items()}
         common = Counter()

@@ -256,6 +256,16 @@ def test_language_of_held_out_texts(spark, corpus):
     assert identify(docs.limit(0), texts).count() == 0
 
 
+def test_language_sample_counts_copies_once(spark):
+    docs = spark.range(60_000).selectExpr("id as doc_id", "concat('l', id % 10) as lang", "concat('text ', id % 10, ' ', id div 10 % 3) as text")
+    from sentrylake.llm.langid import sample
+
+    for rows in (1, 200):
+        got = {k: v.split("\n") for k, v in sample(docs, rows).items()}
+        assert sorted(got) == [f"l{k}" for k in range(10)]
+        assert all(len(v) == len(set(v)) == min(3, rows) for v in got.values())
+
+
 def test_cross_parsing_counts_the_greedy_phrases():
     from sentrylake.llm.langid import WIDTH, Automaton
 

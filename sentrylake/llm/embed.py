@@ -75,8 +75,8 @@ def _neighbours(sim: np.ndarray, least: float, node_a: np.ndarray, node_b: np.nd
 def near_duplicates(vectors: DataFrame, least: float = 0.93, cells: int | None = None, cell_rows: int = 8192, sample_rows: int = 4096, block: int = 1024, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row; pairs of equal, non-null label with a cosine of `least` or more are linked, all of them.
 
-    Vectors have the cell of their nearest of `cells` centroids (one for about `cell_rows` vectors unless given; spherical k-means
-    on a sample of `sample_rows`, those of least hash). A vector that lies within the angle arccos(least) of the plane between
+    Vectors have the cell of their nearest of `cells` centroids of their length (one for about `cell_rows` vectors of that length unless given; spherical k-means
+    on a sample of `sample_rows`, those of least hash; lengths beyond the 16 most frequent are one cell each). A vector that lies within the angle arccos(least) of the plane between
     its own centroid and an earlier cell's is also sent to that cell, so that no pair is lost; those that are not are compared within their
     cell alone. Within a label and cell, blocks of `block` vectors meet pair by pair, each pair in a group of its own, so no group grows with
     the input. A block pair returns a count and one edge per vector, never the pairs. Equal vectors of a label are one class: n_links counts
@@ -90,13 +90,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, cells: int | None =
     classes = good.groupBy("label", "v", "len").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     node = F.coalesce("first", F.lit(_NO_ID) + F.pmod(F.xxhash64("label", "v"), F.lit(1 << 60)))
     classes = cut(classes.withColumn("node", node))
-    n = classes.count()
-    k = cells or max(1, -(-n // cell_rows))
     centroids: dict[int, np.ndarray] = {}
-    if k > 1:
-        for size in [r.len for r in classes.select("len").distinct().limit(16).collect()]:
+    for size, n in [tuple(r) for r in classes.groupBy("len").count().orderBy(F.desc("count"), "len").limit(16).collect()]:
+        k = cells or max(1, -(-n // cell_rows))
+        if k > 1:
             picked = classes.where(F.col("len") == size).select("v", F.xxhash64("v").alias("h")).where(thinned(F.col("h"), 4 * sample_rows, n)).orderBy("h").limit(sample_rows).collect()
-            centroids[size] = spherical_kmeans(_unit([r.v for r in picked]), k)
+            if picked:
+                centroids[size] = spherical_kmeans(_unit([r.v for r in picked]), k)
     reach = float(np.sqrt(max(0.0, 1 - least * least))) + 1e-9
 
     def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -181,6 +181,16 @@ def test_embeddings_against_all_pairs(spark):
     assert near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_length_that_few_have(spark):
+    from sentrylake.llm.embed import near_duplicates
+
+    r = np.random.default_rng(4)
+    rows = [(k, r.normal(size=8).tolist(), 1) for k in range(300)] + [(900, [1.0, 2.0], 1), (901, [1.0, 2.1], 1), (902, [-1.0, 2.0], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: x for x in near_duplicates(table, cells=4, sample_rows=2).collect()}
+    assert len(got) == len(rows) and got[901].component_id == 900 and (got[900].n_links, got[901].n_links, got[902].n_links) == (1, 1, 0)
+
+
 def test_mixing_targets_and_order(spark, corpus):
     from sentrylake.llm.mixing import mix, targets
 

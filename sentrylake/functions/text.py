@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -14,6 +14,8 @@ _SEPARATORS = r"[.\-_ \t\r\n\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]+"
 REMOVALS = (("unicode_tag", fixed.TAG_CHARS), ("zero_width", fixed.ZERO_WIDTH), ("variation_selector", fixed.VARIATION_SELECTORS), ("bidi_override", fixed.BIDI_OVERRIDES))
 #: Scripts of letters, as classes.
 SCRIPTS = ("[A-Za-z]", r"[\x{0400}-\x{04FF}]", r"[\x{0370}-\x{03FF}]", r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}]")
+#: What a word of two scripts must hold; texts without it, nearly all, are tried no further.
+_NOT_LATIN = "[" + "".join(s[1:-1] for s in SCRIPTS[1:]) + "]"
 CJK = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
 
@@ -29,7 +31,7 @@ def split_keyword(word: str) -> str:
 def is_mixed_script(token: Column) -> Column:
     """At least two scripts, one of them Latin or full-width."""
     latin, cyrillic, greek, wide = (token.rlike(s) for s in SCRIPTS)
-    return (latin & (cyrillic | greek | wide)) | (wide & (cyrillic | greek))
+    return token.rlike(_NOT_LATIN) & ((latin & (cyrillic | greek | wide)) | (wide & (cyrillic | greek)))
 
 
 def fold_look_alikes(text: Column) -> Column:
@@ -41,22 +43,32 @@ def fold_look_alikes(text: Column) -> Column:
 
 
 def remove_invisible(text: Column) -> Column:
+    out = text
     for _, what in REMOVALS:
-        text = F.regexp_replace(text, what, "")
-    return text
+        out = F.regexp_replace(out, what, "")
+    return F.when(text.rlike("[" + "".join(what[1:-1] for _, what in REMOVALS) + "]"), out).otherwise(text)
+
+
+#: Four characters of a keyword in a row with separators between them, which every split keyword begins with.
+SPLIT = r"[A-Za-z0-9_.]" + (_SEPARATORS + r"[A-Za-z0-9_.]") * 3
 
 
 def collapse_keywords(text: Column) -> Column:
     """Keywords that are split by separators between all their characters are put together."""
+    out = text
     for word in fixed.SPLIT_KEYWORDS:
         # a word that begins with its last letter can share it with its next copy
         for _ in range(3 if word[0] == word[-1] else 1):
-            text = F.regexp_replace(text, split_keyword(word), word)
-    return text
+            out = F.regexp_replace(out, split_keyword(word), word)
+    return F.when(text.rlike(SPLIT), out).otherwise(text)
 
 
-def normalized(text: Column) -> Column:
-    return collapse_keywords(fold_look_alikes(remove_invisible(text)))
+def with_normalized(df: DataFrame, content: str, name: str, folded: str | None = None) -> DataFrame:
+    """`df` with the normalised text as `name`, each step computed once; and the text before keywords are put together as `folded`, if named."""
+    df = df.withColumn("__clean", remove_invisible(F.col(content)))
+    df = df.withColumn("__folded", fold_look_alikes(F.col("__clean"))).drop("__clean")
+    df = df.withColumn(name, collapse_keywords(F.col("__folded")))
+    return df.withColumnRenamed("__folded", folded) if folded else df.drop("__folded")
 
 
 def any_of(patterns: tuple[str, ...]) -> str:

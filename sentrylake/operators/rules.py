@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, prefilter, text
 
 _WRITE = r"(?:write|append|install|replace|save|drop|update|tee|echo|cat >|touch)"
 _COPY = r"(?:write|append|install|replace|save|drop|update|tee|echo|cat >|touch|copy|sync|mirror|replicate|clone)"
@@ -70,7 +70,7 @@ RULES = (
     ), ("NETWORK_SEND",), where=_CODE, not_match=r"fetch\s*\(\s*[\"'`]/"),
     Rule("D-9A", "medium", "data_exfiltration", "Network send", (r"\b(send|post|upload|exfiltrate)\b[^\n]*https?://", r"\b(send|deliver|post|message)\b(?s:.){0,120}\b(?:slack|discord|teams|telegram|webhook)\b"), ("NETWORK_SEND",), where=_PROSE),
     Rule("D-10A", "high", "behavioral", "Dynamic execution", (
-        r"(?:^|[^\w.])eval\s*\(", r"(?:^|[^\w.])exec\s*\(", r"(?:^|[^\w.])compile\s*\(", r"__import__\s*\(", r"\bsubprocess\.", r"os\.system\s*\(", r"(?:^|[^\w.])popen\s*\(", r"\bbash\s+-c\b", r"\bsh\s+-c\b",
+        r"(?<![\w.])eval\s*\(", r"(?<![\w.])exec\s*\(", r"(?<![\w.])compile\s*\(", r"__import__\s*\(", r"\bsubprocess\.", r"os\.system\s*\(", r"(?<![\w.])popen\s*\(", r"\bbash\s+-c\b", r"\bsh\s+-c\b",
     ), ("EXEC_DYNAMIC",)),
     Rule("D-10B", "high", "behavioral", "Reverse shell", (r"socket\.socket\s*\(", r"\.connect\s*\(", r"os\.dup2\s*\(", r"/bin/(?:sh|bash)|cmd\.exe|powershell"), ("EXEC_DYNAMIC", "NETWORK_SEND"), both=True),
     Rule("D-10C", "high", "jailbreak", "Approval bypass", (r"--dangerously-bypass-approvals-and-sandbox\b", r"--dangerously-skip-permissions\b"), ("BYPASS_GUARDRAILS",), where=_CODE, not_line=r"^\s*alias |pre-installed with|auto-configured"),
@@ -145,41 +145,52 @@ def patterns(rules: tuple[Rule, ...]) -> list[tuple[Rule, int, str]]:
     return out
 
 
-def _matches(rule: Rule, no: int, pattern: str, c: Column) -> Column:
-    can = c.rlike(pattern) & F.expr(rule.where)
+def _holds(rule: Rule, pattern: str, c: Column, lowered: Column) -> Column:
+    """Whether a segment has a match of the pattern that counts, but for the tests of single matches."""
+    can = F.expr(rule.where) & prefilter.found(c, lowered, pattern)
     for p in rule.patterns[1:] if rule.both else ():
-        can = can & c.rlike(f"(?i){p}")
-    if rule.unless:
-        can = can & ~c.rlike(f"(?i){rule.unless}")
-    # one finding a segment is known already; only tests of the match or its line need it taken apart
-    single = rule.both or (rule.once and not rule.not_line)
-    found, pieces = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
-    return F.when(can, F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(no).alias("pattern_no"), F.lit(int(single)).alias("single"), F.when(F.lit(single), F.slice(found, 1, 1)).otherwise(found).alias("found"), F.when(F.lit(single), F.slice(pieces, 1, 1)).otherwise(pieces).alias("pieces")))
+        can = can & prefilter.found(c, lowered, f"(?i){p}")
+    return can & ~c.rlike(f"(?i){rule.unless}") if rule.unless else can
+
+
+_TRIED = "k int, rule_id string, pattern_no int, pattern string, once boolean, not_match string, line_like string, not_line string"
+
+
+def _table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """The patterns as rows, numbered as they are tried, with the tests of their matches."""
+    test = lambda p: f"(?i){p}" if p else None
+    rows = [(k, r.rule_id, no, p, r.both or r.once, test(r.not_match), test(r.line), test(r.not_line)) for k, (r, no, p) in enumerate(patterns(rules))]
+    return F.broadcast(spark.createDataFrame(rows, _TRIED))
+
+
+def _matches() -> Column:
+    """Every match of the column `pattern` in `content` that passes the tests in the row: (match_no, match, line_no). Counts of line ends are added up as numbers; no prefix of the text is built."""
+    content, pattern = F.col("content"), F.col("pattern")
+    found, pieces = F.regexp_extract_all(content, pattern, F.lit(0)), F.split(content, pattern, -1)
+    ends, own = F.transform(pieces, text.newlines), F.transform(found, text.newlines)
+    total = lambda counts, n: F.aggregate(F.slice(counts, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    line = lambda m, i: 1 + total(ends, i + 1) + total(own, i) + F.when(m.startswith("\n"), 1).otherwise(0)
+    out = F.transform(found, lambda m, i: F.struct(i.alias("match_no"), m.alias("match"), line(m, i).alias("line_no")))
+    text_of = lambda x: F.element_at(F.split(content, "\n", -1), x["line_no"])
+    passes = lambda tested, pattern, wanted: F.coalesce(F.regexp_like(tested, pattern) == wanted, F.lit(True))
+    out = F.when(F.col("not_match").isNull(), out).otherwise(F.filter(out, lambda x: passes(x["match"], F.col("not_match"), False)))
+    lines = F.col("line_like").isNotNull() | F.col("not_line").isNotNull()
+    return F.when(~lines, out).otherwise(F.filter(out, lambda x: passes(text_of(x), F.col("line_like"), True) & passes(text_of(x), F.col("not_line"), False)))
 
 
 def evaluate(segments: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row for each finding of the text rules in segments with context: the segment's columns but its content, and rule_id, pattern_no, match_no, match, start_line, severity, category and flags.
+    """One row for each finding of the text rules in segments with context: the segment's columns but its content, and rule_id, pattern_no, match_no, match, line, severity, category and flags.
 
-    All patterns are tried in one projection; what is found is exploded. The text is read once and dropped before any exchange.
+    All patterns are tried in one projection, each on texts that hold the words it needs (`prefilter`); it gives the numbers of those that match. Only for these, a few rows, matches and their lines
+    are taken from the text, by one expression that reads the pattern from the broadcast table of patterns. What leaves that stage holds no text.
     """
-    c = F.col("content")
-    segments = segments.withColumn("self_limiting", c.rlike(USER_PRIORITY) & c.rlike(USER_CONTROL))
-    hits = F.array_compact(F.array(*[_matches(r, k, p, c) for r, k, p in patterns(rules)]))
-    out = segments.withColumn("hit", F.explode(hits)).select("*", F.posexplode("hit.found").alias("i", "match"))
-    before = F.concat(F.array_join(F.slice("hit.pieces", F.lit(1), F.col("i") + 1), ""), F.array_join(F.slice("hit.found", F.lit(1), F.col("i")), ""))
-    line = 1 + text.newlines(before) + F.when(F.col("match").startswith("\n"), 1).otherwise(0)
-    out = out.withColumn("line_no", line).withColumn("line_text", F.element_at(F.split(c, "\n", -1), F.col("line_no").cast("int")))
-    keep = F.lit(True)
-    for r in {x.rule_id + x.where: x for x in rules}.values():
-        mine = (F.col("hit.rule_id") == r.rule_id) & F.expr(r.where)
-        for p, col, wanted in ((r.not_match, "match", False), (r.line, "line_text", True), (r.not_line, "line_text", False)):
-            if p:
-                keep = keep & (~mine | (F.col(col).rlike(f"(?i){p}") == wanted))
-    out = out.where(keep).select(*[x for x in segments.columns if x not in ("content", "self_limiting")], "hit.rule_id", "hit.pattern_no", F.col("i").alias("match_no"), F.substring("match", 1, 200).alias("match"), (F.col("start_line") + F.col("line_no") - 1).cast("int").alias("line"))
-    once = [r.rule_id for r in rules if r.once and r.not_line]  # one finding if any match is left
-    if once:
-        n = F.row_number().over(Window.partitionBy("segment_id", "rule_id").orderBy("pattern_no", "match_no"))
-        out = out.withColumn("n", n).where(~F.col("rule_id").isin(*once) | (F.col("n") == 1)).drop("n")
+    c, keep = F.col("content"), [x for x in segments.columns if x not in ("content", "self_limiting")]
+    segments = segments.withColumn("lowered", F.lower(c))
+    segments = segments.withColumn("self_limiting", F.col("lowered").contains("user") & c.rlike(USER_PRIORITY) & c.rlike(USER_CONTROL))
+    hits = [F.when(_holds(r, p, c, F.col("lowered")), F.lit(k)) for k, (r, _, p) in enumerate(patterns(rules))]
+    out = segments.select(*keep, "content", F.explode(F.array_compact(F.array(*hits))).alias("k")).join(_table(segments.sparkSession, rules), "k")
+    out = out.withColumn("found", _matches()).select(*keep, "rule_id", "pattern_no", F.explode(F.when(F.col("once"), F.slice("found", 1, 1)).otherwise(F.col("found"))).alias("m"))
+    out = out.select(*keep, "rule_id", "pattern_no", F.col("m.match_no"), F.substring("m.match", 1, 200).alias("match"), (F.col("start_line") + F.col("m.line_no") - 1).cast("int").alias("line"))
     return described(out, rules)
 
 
@@ -196,8 +207,21 @@ def described(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     })
 
 
-def custom(segments: DataFrame, rules: DataFrame) -> DataFrame:
-    """Findings of user rules (rule_id, pattern, severity, category): every match, read as case-insensitive. The rules are few and travel to the segments."""
-    both = segments.select("skill_id", "path", "segment_id", "content").crossJoin(F.broadcast(rules.limit(1000)))
-    both = both.where(F.expr("regexp_like(content, concat('(?i)', pattern))"))
-    return both.select("skill_id", "path", "segment_id", "rule_id", "severity", "category", F.posexplode(F.expr("regexp_extract_all(content, concat('(?i)', pattern), 0)")).alias("match_no", "match"))
+def custom(segments: DataFrame, rules: DataFrame, most_rules: int = 10_000, at_once: int = 200) -> DataFrame:
+    """Findings of user rules (rule_id, pattern, severity, category): every match, read as case-insensitive; a rule with a null pattern finds nothing.
+
+    The rules are gathered, `most_rules` at most (more are an error), and tried like the built-in ones, `at_once` in a projection.
+    """
+    given = rules.select("rule_id", "pattern", "severity", "category").where("pattern is not null").limit(most_rules + 1).collect()
+    if len(given) > most_rules:
+        raise ValueError(f"more than {most_rules} user rules")
+    given = sorted(given, key=lambda r: (str(r.rule_id), r.pattern))
+    c, out = F.col("content"), None
+    segments = segments.withColumn("lowered", F.lower("content"))
+    for at in range(0, max(1, len(given)), at_once):
+        found = [F.when(prefilter.found(c, F.col("lowered"), f"(?i){r.pattern}"), F.struct(*(F.lit(r[k]).cast("string").alias(k) for k in ("rule_id", "severity", "category")), F.regexp_extract_all(c, F.lit(f"(?i){r.pattern}"), F.lit(0)).alias("found"))) for r in given[at : at + at_once]]
+        none = F.lit(None).cast("struct<rule_id:string,severity:string,category:string,found:array<string>>")
+        hits = segments.select("skill_id", "path", "segment_id", F.explode(F.array_compact(F.array(none, *found))).alias("hit"))
+        hits = hits.select("skill_id", "path", "segment_id", "hit.rule_id", "hit.severity", "hit.category", F.posexplode("hit.found").alias("match_no", "match"))
+        out = hits if out is None else out.unionByName(hits)
+    return out

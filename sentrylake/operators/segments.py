@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, prefilter, text
 from ..lineage import cut
 
 FENCE = r"(?s)```([^\n`]*)\n(.*?)\n```"
@@ -26,25 +26,27 @@ def original(artifacts: DataFrame) -> DataFrame:
     """One segment for each file."""
     return artifacts.select(
         "skill_id", "path", "file_type", segment_id(F.col("path"), F.lit("original")).alias("segment_id"), F.lit("original").alias("segment_type"), "content", F.lit(1).alias("start_line"),
-        F.lit("").alias("language"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<string>").alias("ancestors"), F.array().cast("array<int>").alias("key"), F.array(F.lit("original")).alias("chain"),
+        F.lit("").alias("language"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<string>").alias("ancestors"), F.array().cast("array<bigint>").alias("key"), F.array(F.lit("original")).alias("chain"),
     )
 
 
 def _before(content: Column, pattern: str, i: Column) -> Column:
-    """Number of line ends before the i-th match, counted from 0."""
-    pieces, found = F.split(content, pattern, -1), F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    return text.newlines(F.concat(F.array_join(F.slice(pieces, F.lit(1), i + 1), ""), F.array_join(F.slice(found, F.lit(1), i), "")))
+    """Number of line ends before the i-th match, counted from 0: counts of the pieces are added up, no prefix is built."""
+    ends = F.transform(F.split(content, pattern, -1), text.newlines)
+    own = F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), text.newlines)
+    total = lambda counts, n: F.aggregate(F.slice(counts, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    return total(ends, i + 1) + total(own, i)
 
 
 def _child(kind: str, no: int, i: Column, content: Column, line: Column, language: Column | None = None) -> Column:
-    return F.struct(F.lit(kind).alias("segment_type"), (F.lit(no * 100_000) + i).cast("int").alias("ordinal"), content.alias("content"), line.cast("int").alias("start_line"), (F.lit("") if language is None else language).alias("language"))
+    return F.struct(F.lit(kind).alias("segment_type"), (F.lit(no * 1_000_000_000) + i).cast("long").alias("ordinal"), content.alias("content"), line.cast("int").alias("start_line"), (F.lit("") if language is None else language).alias("language"))
 
 
 def children(parents: DataFrame) -> DataFrame:
     """Code fences, comments outside fences, decoded base64 outside both, and ROT13 where the text speaks of it."""
     c, line = F.col("content"), F.col("start_line")
     every = lambda p, g=0: F.regexp_extract_all(c, F.lit(p), F.lit(g))
-    none = F.array().cast("array<struct<segment_type:string,ordinal:int,content:string,start_line:int,language:string>>")
+    none = F.array().cast("array<struct<segment_type:string,ordinal:bigint,content:string,start_line:int,language:string>>")
     fences = F.transform(F.arrays_zip(every(FENCE, 2).alias("b"), every(FENCE, 1).alias("l")), lambda x, i: _child("code_fence", 0, i, x["b"], line + _before(c, FENCE, i) + 1, F.lower(F.trim(x["l"]))))
     comments = F.transform(every(FENCE_OR_COMMENT), lambda x, i: _child("html_comment", 1, i, F.when(x.startswith("<!--"), F.substr(x, F.lit(5), F.length(x) - 7)), line + _before(c, FENCE_OR_COMMENT, i)))
     decoded = lambda x: F.when(x.rlike(BASE64) & (F.length(x) % 4 == 0) & (F.length(x) <= MOST_CHARS * 4 // 3), F.try_to_binary(x, F.lit("base64")).cast("string"))
@@ -80,20 +82,22 @@ def expand(artifacts: DataFrame, depth: int = 3, most: int = MOST_SEGMENTS) -> D
 
 def with_context(segments: DataFrame) -> DataFrame:
     """Adds context, source_kind, reference_example and bootstrap, the facts that rules and labels read."""
-    c, path = F.col("content"), F.lower(F.replace(F.concat(F.lit("/"), F.col("path")), F.lit("\\"), F.lit("/")))
+    given, segments = segments.columns, segments.withColumn("lowered", F.lower("content"))
+    c, low, path = F.col("content"), F.col("lowered"), F.lower(F.replace(F.concat(F.lit("/"), F.col("path")), F.lit("\\"), F.lit("/")))
     markdown = F.col("file_type") == "markdown"
     hint = lambda names: F.greatest(*[path.contains(x) for x in names])
+    has_verb, has_heading = (F.greatest(*[low.contains(w) for w in words]) for words in (fixed.ACTIONABLE_VERBS, fixed.ACTIONABLE_HEADINGS))
     context = (
         F.when(F.col("segment_type") == "frontmatter_description", "frontmatter_description")
         .when(~markdown, "code")
         .when((F.col("segment_type") == "code_fence") & F.col("language").isin(*fixed.EXECUTABLE_LANGUAGES), "executable_snippet")
-        .when(c.rlike(text.word_of(fixed.ACTIONABLE_VERBS)) | c.rlike(text.heading_of(fixed.ACTIONABLE_HEADINGS)), "actionable_instruction")
+        .when((has_verb & c.rlike(text.word_of(fixed.ACTIONABLE_VERBS))) | (has_heading & c.rlike(text.heading_of(fixed.ACTIONABLE_HEADINGS))), "actionable_instruction")
         .otherwise("documentation")
     )
     kind = F.when(F.col("segment_type") == "frontmatter_description", "frontmatter_description").when(markdown, "markdown").otherwise("code")
     return segments.withColumns({
         "context": context,
         "source_kind": kind,
-        "reference_example": hint(fixed.REFERENCE_PATHS) | (markdown & c.rlike(text.any_of(fixed.REFERENCE_PATTERNS))),
-        "bootstrap": hint(fixed.BOOTSTRAP_PATHS) | c.rlike(text.any_of(fixed.BOOTSTRAP_PATTERNS)),
-    })
+        "reference_example": hint(fixed.REFERENCE_PATHS) | (markdown & prefilter.found_any(c, low, fixed.REFERENCE_PATTERNS)),
+        "bootstrap": hint(fixed.BOOTSTRAP_PATHS) | prefilter.found_any(c, low, fixed.BOOTSTRAP_PATTERNS),
+    }).select(*given, "context", "source_kind", "reference_example", "bootstrap")

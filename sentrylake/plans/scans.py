@@ -76,15 +76,15 @@ def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.planted(spark, sf_dir)
-    return docs.select("path", F.md5(text.normalized(F.col("content")).cast("binary")).alias("digest"))
+    return text.with_normalized(docs, "content", "normal").select("path", F.md5(F.col("normal").cast("binary")).alias("digest"))
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postrules.chains(kept(spark, sf_dir, "findings").where("rule_id not like 'D-19%'"))
+    return postrules.chains(kept(spark, sf_dir, "findings").where("rule_id not like 'D-19%'"), postrules.headings(kept(spark, sf_dir, "segments")))
 
 
 def _linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = postrules.chain_pairs(kept(spark, sf_dir, "findings").where("rule_id not like 'D-19%'"))
+    pairs = postrules.chain_pairs(kept(spark, sf_dir, "findings").where("rule_id not like 'D-19%'"), postrules.headings(kept(spark, sf_dir, "segments")))
     return pairs.groupBy("skill_id", "chain").agg(F.max("score").alias("best"))
 
 
@@ -118,7 +118,7 @@ def _enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HITS = {
     "rule_hits_unicode": ("D-1", "D-2A", "NC-"), "rule_hits_encoding": ("D-3", "D-4", "D-5"), "rule_hits_secrets": ("D-7", "D-8"), "rule_hits_behavioral": ("D-9", "D-10"), "rule_hits_injection": ("D-11",),
-    "rule_hits_suppression": ("D-12",), "rule_hits_temporal": ("D-16", "D-17", "D-18"), "rule_hits_prerelease": ("D-20G",), "keyword_split_findings": ("D-6",),
+    "rule_hits_suppression": ("D-12",), "rule_hits_temporal": ("D-16", "D-17", "D-18"), "rule_hits_prerelease": ("D-20G",), "rule_hits_supply": ("D-15", "D-20", "D-23"), "keyword_split_findings": ("D-6",),
 }
 _HITS["rule_hits_unicode"] = ("D-1A", "D-1B", "D-1C", "D-1D", "D-2A", "NC-")
 QUERIES = {

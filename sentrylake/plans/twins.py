@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from ..functions import fixed, text
-from ..operators import postrules, rules, segments
+from ..operators import postrules, rules, segments, supply
 from ..sources.tables import PAYLOADS
 from .dialect import Ansi as D
 
+#: Begins patterns that must not follow a word character or a dot.
+NOT_AFTER = r"(?<![\w.])"
 _NL = "(length({0}) - length(replace({0}, chr(10), '')))"
 
 
@@ -38,12 +40,12 @@ def _segments() -> str:
     return f"""originals as materialized (select skill_id, path, file_type, substr(sha256(path || '::original'), 1, 16) as segment_id, 'original' as segment_type, content, 1 as start_line, '' as language, null::varchar as parent_id, 0 as depth from artifacts),
 fences as (select {keep}, 'code_fence' as segment_type, i as ordinal, ({D.found('content', segments.FENCE, 2)})[i + 1] as body, start_line + {_before(segments.FENCE)} + 1 as line, lower(trim(({D.found('content', segments.FENCE, 1)})[i + 1])) as language
   from (select *, unnest(range(len({D.found('content', segments.FENCE)}))) as i from originals)),
-comments as (select {keep}, 'html_comment' as segment_type, 100000 + i as ordinal, substr(x, 5, length(x) - 7) as body, start_line + {_before(both)} as line, '' as language
+comments as (select {keep}, 'html_comment' as segment_type, 1000000000 + i as ordinal, substr(x, 5, length(x) - 7) as body, start_line + {_before(both)} as line, '' as language
   from (select *, ({D.found('content', both)})[i + 1] as x from (select *, unnest(range(len({D.found('content', both)}))) as i from originals)) where starts_with(x, '<!--')),
-codes as (select {keep}, 'base64_decode' as segment_type, 200000 + i as ordinal, try(decode(try(from_base64(x)))) as body, start_line + {_before(three)} as line, '' as language
+codes as (select {keep}, 'base64_decode' as segment_type, 2000000000 + i as ordinal, try(decode(try(from_base64(x)))) as body, start_line + {_before(three)} as line, '' as language
   from (select *, ({D.found('content', three)})[i + 1] as x from (select *, unnest(range(len({D.found('content', three)}))) as i from originals))
   where {D.like('x', segments.BASE64)} and length(x) % 4 = 0 and length(x) <= {segments.MOST_CHARS * 4 // 3}),
-rotated as (select {keep}, 'rot13' as segment_type, 300000 as ordinal, translate(content, '{segments.ROT13[0]}', '{segments.ROT13[1]}') as body, start_line as line, '' as language from originals where {D.like('content', '(?i)rot_?13')}),
+rotated as (select {keep}, 'rot13' as segment_type, 3000000000 as ordinal, translate(content, '{segments.ROT13[0]}', '{segments.ROT13[1]}') as body, start_line as line, '' as language from originals where {D.like('content', '(?i)rot_?13')}),
 children as (select * from fences union all select * from comments union all (select * from codes where length(body) > 0 qualify row_number() over (partition by parent_id order by ordinal) <= {segments.MOST_DECODED}) union all select * from rotated),
 segs as materialized (select skill_id, path, file_type, segment_id, segment_type, content, start_line, language, parent_id, depth from originals
   union all select skill_id, path, file_type, {child}, segment_type, body, line, language, parent_id, 1 from children)"""
@@ -68,16 +70,20 @@ _KEEP = "skill_id, path, segment_id, segment_type, parent_id, start_line, contex
 def _hits() -> str:
     parts = []
     for k, (r, no, p) in enumerate(rules.patterns(rules.RULES)):
+        number, tests = "i", []
+        if p.startswith(f"(?i){NOT_AFTER}"):  # this engine can't look behind: the character before is taken along, and such matches are left out
+            p = "(?i)[\\w.]?" + p[len(f"(?i){NOT_AFTER}") :]
+            tests.append(f"not {D.like('match', '(?i)^[\\w.](?:eval|exec|compile|popen)')}")
+            number = "row_number() over (partition by segment_id order by i) - 1"
         can = [D.like("content", p), f"({r.where})"] + [D.like("content", f"(?i){x}") for x in (r.patterns[1:] if r.both else ())]
         if r.unless:
             can.append(f"not {D.like('content', f'(?i){r.unless}')}")
         only = "[1:1]" if r.both or (r.once and not r.not_line) else ""
-        tests = []
         for pattern, col, wanted in ((r.not_match, "match", "not "), (r.line, "line_text", ""), (r.not_line, "line_text", "not ")):
             if pattern:
                 tests.append(wanted + D.like(col, f"(?i){pattern}"))
         parts.append(
-            f"select {_KEEP}, '{r.rule_id}' as rule_id, {no} as pattern_no, i as match_no, match, line_no from (select *, string_split(content, chr(10))[line_no] as line_text from ("
+            f"select {_KEEP}, '{r.rule_id}' as rule_id, {no} as pattern_no, {number} as match_no, match, line_no from (select *, string_split(content, chr(10))[line_no] as line_text from ("
             f"select *, f[i + 1] as match, 1 + {_lines("array_to_string(p[1:i + 1], '') || array_to_string(f[1:i], '')")} + case when starts_with(f[i + 1], chr(10)) then 1 else 0 end as line_no from ("
             f"select *, unnest(range(len(f))) as i from (select *, ({D.found('content', p)}){only} as f, string_split_regex(content, {D.text(p)}) as p from ctx where {' and '.join(can)}))))"
             + (f" where {' and '.join(tests)}" if tests else "")
@@ -133,15 +139,21 @@ def _post() -> str:
     a, b = "a.", "b."
     both_md = f"({a}source_kind = 'markdown' and {b}source_kind = 'markdown')"
     acts = f"({a}context in ('actionable_instruction', 'executable_snippet') or {b}context in ('actionable_instruction', 'executable_snippet'))"
-    span = f"(case when {a}path = {b}path then abs({a}line - {b}line) else 1000000 end)"
+    same, span = f"{a}path = {b}path", f"abs({a}line - {b}line)"
+    # lines of the segment strictly between the two findings, of which one is a heading
+    between = f"regexp_matches(array_to_string(string_split(g.content, chr(10))[least({a}line, {b}line) - g.start_line + 2 : greatest({a}line, {b}line) - g.start_line], chr(10)), '(?m)^[ \\t]{{0,3}}#{{1,6}}[ \\t]+[^ \\t\\n]')"
+    hint = f"(contains(lower({a}path || ' ' || {b}path), '/references/') or regexp_matches(lower({a}path || ' ' || {b}path), '/readme[.]md(?: |$)|/license[.]txt(?: |$)'))"
     points = [
-        (f"{a}path = {b}path", 1), (f"{span} <= 3", 3), (f"{span} > 3 and {span} <= 15", 2), (f"{span} > 15 and {span} <= 60", 1), (f"{both_md} and {span} > 3", -3), (f"({a}source_kind = 'code' or {b}source_kind = 'code')", 2),
-        (acts, 1), (f"{both_md} and not {acts}", -2), (f"{a}reference_example and {b}reference_example", -3), (f"{a}segment_type in ('code_fence', 'html_comment') and {b}segment_type in ('code_fence', 'html_comment')", -2), (f"regexp_matches(lower({a}path || ' ' || {b}path), 'references/|readme|license')", -1),
+        (f"{a}path = {b}path", 1), (f"{same} and {span} <= 3", 3), (f"{same} and {span} between 4 and 15", 2), (f"{same} and {span} between 16 and 60", 1), (f"{both_md} and {same} and {span} > 3", -3), (f"({a}source_kind <> 'markdown' or {b}source_kind <> 'markdown')", 2),
+        (acts, 1), (f"{both_md} and not {acts}", -2), (f"{a}reference_example and {b}reference_example", -3), (f"{a}segment_type in ('code_fence', 'html_comment') and {b}segment_type in ('code_fence', 'html_comment')", -2), (f"{both_md} and {a}segment_id = {b}segment_id and {between}", -2), (hint, -1),
     ]
     score = " + ".join(f"(case when {c} then {v} else 0 end)" for c, v in points)
     policy = ", ".join("(" + ", ".join(f"'{x}'" for x in c) + ")" for c in postrules.CHAINS)
-    return f"""first_ as materialized (select * from hits union all {_other('D-2A', 'd2', 'no', 'match')} union all {_other('D-6A', 'd6', 'no', 'match')}
-  union all {_other('NC-3A', "(select * from normal where t <> content)", '0', "''")}),
+    parts, more = supply.found(D)
+    supplied = f"select x.skill_id, x.path, x.segment_id, x.segment_type, c.parent_id, rule_id, 0 as pattern_no, 0 as match_no, match, line, x.context, x.source_kind, x.reference_example, x.bootstrap, severity, category, ',' as flags, md5(x.segment_id || '::' || rule_id || '::0::' || match) as finding_id from ({more}) x join (select segment_id, parent_id from ctx) c using (segment_id)"
+    return ",\n".join(parts) + f""",
+first_ as materialized (select * from hits union all {_other('D-2A', 'd2', 'no', 'match')} union all {_other('D-6A', 'd6', 'no', 'match')}
+  union all {_other('NC-3A', "(select * from normal where t <> content)", '0', "''")} union all {supplied}),
 reach as (select finding_id, {supports} as s, segment_id from first_ union all select finding_id, {supports}, parent_id from first_ where parent_id is not null),
 under as (select segment_id, list_sort(list(distinct finding_id) filter (s)) as strong from reach group by segment_id),
 hidden as (select ctx.*, strong from ctx join under using (segment_id) where segment_type in ('html_comment', 'code_fence') and len(strong) > 0),
@@ -150,7 +162,7 @@ found as materialized (select * exclude (parent_id, pattern_no, match_no, match)
   union all select * exclude (parent_id, pattern_no, match_no, match, strong), strong from (select x.*, strong from ({_other('D-22A', "(select * from hidden where segment_type = 'code_fence')", '0', "''")}) x join hidden using (segment_id))),
 chain_policy(chain, rule_id, category, flag_a, flag_b) as (values {policy}),
 pairs as (select c.chain, c.rule_id, c.category, a.skill_id, a.finding_id as part_a, b.finding_id as part_b, a.path as path_a, b.path as path_b, {score} as score, {both_md} as md, {both_md} and {a}reference_example and {b}reference_example as only_refs
-  from chain_policy c join found a on contains(a.flags, ',' || c.flag_a || ',') join found b on contains(b.flags, ',' || c.flag_b || ',') and a.skill_id = b.skill_id and a.finding_id <> b.finding_id),
+  from chain_policy c join found a on contains(a.flags, ',' || c.flag_a || ',') join found b on contains(b.flags, ',' || c.flag_b || ',') and a.skill_id = b.skill_id and a.finding_id <> b.finding_id left join ctx g on g.segment_id = a.segment_id),
 linked as materialized (select *, case when md then 'high' else 'critical' end as severity from pairs where score >= 2 and not only_refs qualify row_number() over (partition by skill_id, chain order by score desc, part_a, part_b) = 1),
 everything as materialized (select finding_id, skill_id, path, segment_id, segment_type, rule_id, severity, category, flags, line, context, source_kind, reference_example, bootstrap, refs from found
   union all select md5(skill_id || '::' || rule_id), skill_id, skill_id || '/SKILL.md', null, 'original', rule_id, severity, category, ',', 1, null, null, false, false, [part_a, part_b] from linked)"""

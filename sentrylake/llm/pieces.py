@@ -51,11 +51,19 @@ class Vocabulary:
             for k in range(1, len(p)):
                 if (a := self.id.get(p[:k])) is not None and (b := self.id.get(p[k:])) is not None:
                     self.pairs[a, b] = i
-        self.halves: dict[int, tuple[int, int] | None] = {}
-        for p, i in self.id.items():
-            self.halves[i] = self._halves(p)
-        self._apart: dict[int, bool] = {}
-        self.size = [len(t) for t in self.text]
+        halves = {i: self._halves(p) for p, i in self.id.items()}
+        self.id = {p: i for p, i in self.id.items() if halves[i] != (-1, -1)}
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.single = np.full(0x110000, -1, np.int64)
+        self.single[[ord(c) for c in self.chars]] = [self.id[c] for c in self.chars]
+        #: For `apart`: merges by pair, the rank at which each piece is made (-1: a character), its halves; and the pairs met last, at the place of their hash, times two, plus the answer.
+        keys = sorted(((a << 20) | b, self.rank[i]) for (a, b), i in self.pairs.items())
+        self._pair_keys, self._pair_ranks = (np.array(x, np.int64) for x in zip(*keys))
+        self._made, self._left, self._right = (np.full(len(self.text), -1, np.int64) for _ in range(3))
+        for i, both in halves.items():
+            if both is not None and both != (-1, -1):
+                self._made[i], self._left[i], self._right[i] = self.rank[i], *both
+        self._met = np.full(1 << 21, -1, np.int64)
         #: For `edges`: codes of characters, from 1, and the bounds of each longer piece among the suffixes.
         self.code = np.zeros(0x110000, np.uint64)
         self.code[sorted(map(ord, self.chars))] = np.arange(1, len(self.chars) + 1)
@@ -79,32 +87,36 @@ class Vocabulary:
             parts[k : k + 2] = [self.pairs[parts[k], parts[k + 1]]]
         return (parts[0], parts[1]) if len(parts) == 2 and self.pairs.get((parts[0], parts[1])) == self.id[piece] else (-1, -1)
 
-    def apart(self, a: int, b: int) -> bool:
-        """Whether BPE of the two pieces' text gives these two pieces: no merge across the border comes before the merges on either side that close it."""
-        if (known := self._apart.get(a << 20 | b)) is None:
-            if len(self._apart) > 250_000:
-                self._apart.clear()
-            known = self._apart[a << 20 | b] = self._stays(a, b)
-        return known
-
-    def _stays(self, a: int, b: int) -> bool:
-        rank, halves = self.rank, self.halves
-        # Walk back in time: undo the latest merge of the pieces at the border; while both stood there, no earlier-ranked merge may join them.
-        until = None
-        while True:
-            joined = self.pairs.get((a, b))
-            if joined is not None and (until is None or rank[joined] < until[0] or (rank[joined] == until[0] and until[1])):
-                return False
-            ha, hb = halves[a], halves[b]
-            if ha is None and hb is None:
-                return True
-            # of two merges with one rank the left one came first, so the right one is undone first
-            if hb is None or (ha is not None and rank[a] > rank[b]):
-                until = (rank[a], False)
-                a = ha[1]
-            else:
-                until = (rank[b], True)
-                b = hb[0]
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of pieces whether BPE of their text gives these two: no merge across the border comes before the merges on either side that close it. An a below 0 stands for a unit's start."""
+        pair = (a << 20) | b
+        at = ((pair * 0x9E3779B1) >> 12) & (len(self._met) - 1)
+        met = self._met[at]
+        ok = (a < 0) | ((met >> 1 == pair) & (met & 1 == 1))
+        new = np.flatnonzero((a >= 0) & (met >> 1 != pair))
+        if len(new):
+            ok[new] = self._stays(a[new], b[new])
+            self._met[at[new]] = pair[new] << 1 | ok[new]
+        return ok
+
+    def _stays(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Walks back in time: undoes the latest merge of the pieces at the border; while both stood there, no earlier-ranked merge may join them."""
+        stays, at = np.ones(len(a), bool), np.arange(len(a))
+        until, left = np.full(len(a), 1 << 30), np.zeros(len(a), bool)
+        while len(at):
+            key = (a << 20) | b
+            k = np.minimum(np.searchsorted(self._pair_keys, key), len(self._pair_keys) - 1)
+            joined = np.where(self._pair_keys[k] == key, self._pair_ranks[k], 1 << 30)
+            bad = (joined < until) | ((joined == until) & left)
+            stays[at[bad]] = False
+            ra, rb = self._made[a], self._made[b]
+            go = ~bad & ((ra >= 0) | (rb >= 0))
+            a, b, at, ra, rb = (x[go] for x in (a, b, at, ra, rb))
+            # of two merges with one rank the left one came first, so the right one is undone first; a character has no merge
+            undo_a = ra > rb
+            until, left = np.maximum(ra, rb), ~undo_a
+            a, b = np.where(undo_a, self._right[a], a), np.where(undo_a, b, self._left[b])
+        return stays
 
 
 def _pack(codes: np.ndarray, n: int) -> list[np.ndarray]:
@@ -155,48 +167,41 @@ def edges(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     return first, ids, begins, starts
 
 
-def relax(units: list[str], vocab: Vocabulary) -> list[list[int]]:
-    """BPE pieces of each unit.
+def relax(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """BPE pieces of all units, one after the other, and the number of each unit's.
 
-    A sequence of pieces is what BPE makes of a text exactly if it leaves each two neighbours apart. So of the paths through
-    the edges of a unit one has only such pairs; it is followed from the left, longest edges first, and a
-    position that led nowhere is not entered again.
+    A sequence of pieces is what BPE makes of a text exactly if it leaves each two neighbours apart. So of the edges that end at a
+    position just one continues the pieces of the text before it. Edges are relaxed by their end's distance from the unit's start, those of all units together; the pieces are then read from the ends back.
     """
     if not units:
-        return []
-    _, ids, begins, starts = edges(units, vocab)
-    ids, begins = ids.tolist(), begins.tolist()
-    single, known, stays, size = vocab.id, vocab._apart, vocab.apart, vocab.size
-    out = []
-    for unit, base in zip(units, starts.tolist()):
-        n, pos, path, seen, last = len(unit), 0, [], set(), -1
-        todo: list[list[int]] = []  # at each position on the path, what is still to try, best last
-        while pos < n:
-            options = ids[begins[base + pos] : begins[base + pos + 1]]
-            options.append(single[unit[pos]])
-            options.reverse()
-            while True:
-                while options:
-                    piece = options.pop()
-                    end = pos + size[piece]
-                    if end in seen:
-                        continue
-                    if last >= 0 and (ok := known.get(last << 20 | piece)) is not True and (ok is False or not stays(last, piece)):
-                        continue
-                    break
-                else:  # nothing follows the last piece: another instead of it
-                    last = path.pop()
-                    pos -= size[last]
-                    options = todo.pop()
-                    last = path[-1] if path else -1
-                    continue
-                break
-            seen.add(end)
-            path.append(piece)
-            todo.append(options)
-            last, pos = piece, end
-        out.append(path)
-    return out
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    first, ids, _, starts = edges(units, vocab)
+    starts, size = starts[:-1], np.fromiter(map(len, units), np.int64, len(units))
+    points = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le"), np.uint32)
+    of = np.repeat(np.arange(len(units)), size + 1)
+    chars = np.ones(len(points), bool)
+    chars[starts + size] = False
+    chars = np.flatnonzero(chars)
+    start, piece = np.concatenate((first, chars)), np.concatenate((ids, vocab.single[points[chars]]))
+    end = start + vocab.sizes[piece]
+    far = end - starts[of[start]]
+    by = np.argsort(far, kind="stable")
+    start, piece, end = start[by], piece[by], end[by]
+    cuts = np.searchsorted(far[by], np.arange(1, int(size.max()) + 2)).tolist()
+    best = np.full(len(points), -1)  # of each position, the piece that ends there; none at a unit's start
+    for a, b in zip(cuts, cuts[1:]):
+        ok = vocab.apart(best[start[a:b]], piece[a:b])
+        best[end[a:b][ok]] = piece[a:b][ok]
+    found, at = [], np.flatnonzero(size > 0)
+    pos = starts[at] + size[at]
+    while len(at):
+        now = best[pos]
+        found.append((at, now))
+        pos = pos - vocab.sizes[now]
+        more = pos > starts[at]
+        at, pos = at[more], pos[more]
+    of, piece = (np.concatenate(x) for x in zip(*reversed(found))) if found else (np.zeros(0, np.int64),) * 2
+    return piece[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of, minlength=len(units))
 
 
 class Encoder:
@@ -210,15 +215,21 @@ class Encoder:
 
     def _pieces(self, units: list[str]) -> list[bytes]:
         """Units are cut at characters that the vocabulary lacks, which become bytes."""
-        known, parts, plain = self.v.chars, [], {}
-        for u in units:
-            parts.append([u] if known.issuperset(u) else [k if ok else (k,) for ok, g in itertools.groupby(u, known.__contains__) for k in ("".join(g),)])
-            for p in parts[-1]:
-                if isinstance(p, str):
-                    plain[p] = []
-        plain = dict(zip(plain, relax(list(plain), self.v)))
-        raw = lambda p: p.replace(_MARK, SPACE).encode()
-        return [np.array([i for p in ps for i in (plain[p] if isinstance(p, str) else [self.v.byte[b] for b in raw(p[0])])], np.int32).tobytes() for ps in parts]
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        lacks = self.v.single[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)] < 0
+        odd = set(np.unique(np.repeat(np.arange(len(units)), size)[lacks]).tolist())
+        known, parts, plain = self.v.chars, {}, []
+        for k, u in enumerate(units):
+            if k in odd:
+                parts[k] = [p for ok, g in itertools.groupby(u, known.__contains__) for p in (["".join(g)] if ok else [(c,) for c in g])]
+                plain += [p for p in parts[k] if isinstance(p, str)]
+            else:
+                plain.append(u)
+        flat, n = relax(plain, self.v)
+        raw, at = flat.tobytes(), [0, *(4 * np.cumsum(n)).tolist()]
+        got = iter([raw[a:b] for a, b in zip(at, at[1:])])
+        as_bytes = lambda c: np.array([self.v.byte[b] for b in c.replace(_MARK, SPACE).encode()], np.int32).tobytes()
+        return [b"".join(next(got) if isinstance(p, str) else as_bytes(p[0]) for p in parts[k]) if k in odd else next(got) for k in range(len(units))]
 
     def learn(self, new: list[str]) -> None:
         at = 0

@@ -63,6 +63,11 @@ def collapse_keywords(text: Column) -> Column:
     return F.when(text.rlike(SPLIT), out).otherwise(text)
 
 
+def normalized(text: Column) -> Column:
+    """The normalised text as one expression; `with_normalized` computes each step once."""
+    return collapse_keywords(fold_look_alikes(remove_invisible(text)))
+
+
 def with_normalized(df: DataFrame, content: str, name: str, folded: str | None = None) -> DataFrame:
     """`df` with the normalised text as `name`, each step computed once; and the text before keywords are put together as `folded`, if named."""
     df = df.withColumn("__clean", remove_invisible(F.col(content)))

@@ -20,8 +20,6 @@ from .common import bounded, crc_of_id, cut, held, slices, thinned
 SPACE, OTHER, PAD, WIDTH = 0, 62, 63, 64
 #: Texts are parsed in blocks of so many symbols; a phrase that is open at a block's end closes there.
 BLOCK = 512
-#: Symbols of a language that are learned.
-TRAIN = 16_000
 #: Code points that are parsed at a time.
 SLICE = 1 << 20
 
@@ -36,15 +34,15 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return is_letter, lower
 
 
-def sample(docs: DataFrame, rows_per_lang: int = 200, chars_per_row: int = 1000) -> dict[str, str]:
-    """Training text per language from a bounded sample of its distinct texts: those with the smallest hashes, `rows_per_lang` of each language, and `chars_per_row` of each. Copies count once.
+def sample(docs: DataFrame, rows_per_lang: int = 200, chars_per_row: int = 80) -> dict[str, str]:
+    """Training text per language from a bounded sample of its distinct texts: those with the smallest hashes, `rows_per_lang` of each language, and of each a passage of `chars_per_row` characters at a hashed place. Copies count once.
 
+    All that is sampled is learned, so the two parameters bound what the model and its tables hold.
     Thinning leaves about 20 times as many distinct texts as are wanted, or all if there are no more, so no language loses its sample.
-    Model learns the first TRAIN symbols of what is returned, of 16 texts or more.
     """
     labelled = docs.where("lang is not null and text is not null")
     sizes = bounded(cut(labelled.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count()))
-    rows = labelled.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars_per_row).alias("text"))
+    rows = labelled.select("lang", F.xxhash64("text").alias("h"), F.substr("text", (F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars_per_row + 1, F.lit(1))) + 1).cast("int"), F.lit(chars_per_row)).alias("text"))
     rows = rows.join(sizes, "lang").where(thinned(F.col("h"), 20 * rows_per_lang, F.col("count")))
     rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("h")
@@ -103,7 +101,7 @@ class Automaton:
 
 class Model:
     def __init__(self, texts: dict[str, str]):
-        """texts: per language. Of each, the first TRAIN symbols are learned: the true bound of the training text, as tables grow with it."""
+        """texts: per language; all is learned, and tables grow with it (`sample` bounds it)."""
         is_letter, lower = _letters()
         points = {k: np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32) for k, v in texts.items()}
         common = Counter()
@@ -118,9 +116,10 @@ class Model:
         self.langs, tables, base, self.start, self.cost = list(texts), [], 0, [], []
         for lang in self.langs:
             symbols, _ = self.symbols(points[lang], np.array([0]))
-            t = Automaton(bytes(symbols[:TRAIN])).table(base)
+            t = Automaton(bytes(symbols)).table(base)
             self.start.append(base * WIDTH * 2)
-            self.cost.append(np.log2(max(2, min(len(symbols), TRAIN))))
+            # a phrase is a place in the training text or, where no phrase fits, one of the symbols; without the latter a language of a few letters would cost next to nothing
+            self.cost.append(np.log2(len(symbols) + WIDTH))
             tables.append(t)
             base += len(t) // WIDTH
         self.table = np.concatenate(tables).astype(np.int32 if base * WIDTH * 2 < 2**31 else np.int64) if tables else np.zeros(0, np.int32)
@@ -189,8 +188,8 @@ def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> Data
     """`docs` with lang_pred and score; texts: training text per language (`sample`).
 
     A text is parsed greedily into the longest phrases that occur in a language's training text. Few phrases mean
-    that the language explains the text; phrases times log2 of the training length, per symbol, is the cross-parsing
-    entropy (Ziv and Merhav, 1993), and the least wins, ties by the language's name. score is 1 - least / second least. Whole texts are
+    that the language explains the text; phrases times log2 of the training length plus the number of symbols (an escape), per symbol, is the cross-parsing
+    entropy (Ziv and Merhav, 1993), and the least wins, ties by the language's name. A phrase also ends after BLOCK symbols, in every language alike. score is 1 - least / second least. Whole texts are
     read: case is folded, every run of other characters is one symbol. A null text, one without a letter, or an
     empty training set gives `und` and 0. Columns named lang_pred or score are replaced.
     """
@@ -213,7 +212,9 @@ def training_rows(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFra
 
 
 def keep_known(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """The documents in a learned language, with the columns of `docs`; those without a letter go."""
+    """The documents in a learned language, with the columns of `docs`; those without a letter go. Where no language is learned, every document with a letter stays."""
+    if not texts:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     prefixed = docs.select([F.col(f"`{c}`").alias(f"own_{c}") for c in docs.columns])
     kept = identify(prefixed, texts, "own_text").where("lang_pred <> 'und'")
     return kept.select([F.col(f"`own_{c}`").alias(c) for c in docs.columns])

@@ -96,7 +96,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    ('0x' || substr(md5('6:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint::double as u,
+    ('0x' || substr(md5('6:' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))), 1, 12))::bigint::double as u,
     case when length(text) > 0 then greatest(0.05, 1 - len(regexp_extract_all(text, '[0-9|%*&#@+=<>{}\[\]\\^~_$/]')) / length(text)) else 0.05 end as rate
   from documents),
 k as (select *, -ln((u + 0.5) / 281474976710656.0) / rate as k from d),

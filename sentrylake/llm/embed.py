@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from .common import cut, thinned
 from .components import components
 
-#: A class without an id takes a node above every real one.
-_NO_ID = 1 << 62
-
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
     """k unit centroids of unit vectors x; a cell that empties takes the vector farthest from its centroid."""
@@ -88,8 +85,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, cells: int | None =
     sound = F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(sound).withColumn("len", F.size("v"))
     classes = good.groupBy("label", "v", "len").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
-    node = F.coalesce("first", F.lit(_NO_ID) + F.pmod(F.xxhash64("label", "v"), F.lit(1 << 60)))
-    classes = cut(classes.withColumn("node", node))
+    # a class is known by its smallest id, one without ids by its hash
+    classes = cut(classes.withColumn("node", F.coalesce("first", F.xxhash64("label", "v"))))
     centroids: dict[int, np.ndarray] = {}
     for size, n in [tuple(r) for r in classes.groupBy("len").count().orderBy(F.desc("count"), "len").limit(16).collect()]:
         k = cells or max(1, -(-n // cell_rows))
@@ -100,6 +97,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, cells: int | None =
     reach = float(np.sqrt(max(0.0, 1 - least * least))) + 1e-9
 
     def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps = {size: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for size, c in centroids.items()}
         for batch in it:
             lens = batch.column(1).to_numpy(zero_copy_only=False)
             all_v = batch.column(0).to_pylist()
@@ -111,9 +109,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, cells: int | None =
                 if (c := centroids.get(size)) is not None:
                     s = x @ c.T
                     home = s.argmax(axis=1)
-                    gap = np.linalg.norm(c[:, None] - c[None], axis=2)[home]
                     own = s[np.arange(len(at)), home][:, None]
-                    go = (own - s <= reach * gap) & (np.arange(len(c))[None] < home[:, None])
+                    go = (own - s <= reach * gaps[size][home] + 1e-7) & (np.arange(len(c))[None] < home[:, None])
                     row, cell = np.nonzero(go)
                     row, cell = np.concatenate((np.arange(len(at)), row)), np.concatenate((home, cell))
                 guest = np.arange(len(row)) >= len(at)
@@ -144,7 +141,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, cells: int | None =
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of = classes.join(links, "node", "left").join(linked, "node", "left")
-    of = of.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
+    smallest = cut(of.where("component is not null")).groupBy("component").agg(F.min("first").alias("least"))
+    of = of.join(smallest, "component", "left")
+    of = of.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "first").alias("c"), F.lit(True).alias("known"))
     out = rows.withColumn("ok", sound).join(of, F.col("ok") & (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
-    component = F.when(F.col("c").isNull(), F.col("vec_id")).when(F.col("c") < _NO_ID, F.col("c"))
+    component = F.when(F.col("known"), F.col("c")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

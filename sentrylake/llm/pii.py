@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, thinned
@@ -229,6 +230,8 @@ class Tagger:
 
 
 WINDOW, STRIDE = 96, 48
+#: Windows of a stretch that are decoded at a time, and those that two such parts share on either side.
+MOST_WINDOWS, MARGIN = 1024, 4
 
 
 def windows(text: str) -> list[int]:
@@ -251,14 +254,20 @@ def plausible(kind: str, text: str) -> bool:
 
 
 def decode(tagger: Tagger, texts: list[str], sure: float = 0.9, at_once: int = 512) -> list[list[Span]]:
-    """The model's spans of each text. Overlapping windows vote with emissions weighted by distance from the window's edge; one Viterbi path then runs over every covered stretch."""
-    stretches: list[tuple[int, int, list[int]]] = []
+    """The model's spans of each text. Overlapping windows vote with emissions weighted by distance from the window's edge; one Viterbi path then runs over every covered stretch.
+
+    A stretch of more than MOST_WINDOWS windows is decoded in parts that overlap by MARGIN windows on either side; a span counts where it begins in the part's own windows, so memory does not grow with the text.
+    """
+    stretches: list[tuple[int, int, list[int], int, int]] = []
     for n, text in enumerate(texts):
-        for w in windows(text):
-            if stretches and stretches[-1][0] == n and w <= stretches[-1][2][-1] + STRIDE:
-                stretches[-1][2].append(w)
-            else:
-                stretches.append((n, w, [w]))
+        run: list[int] = []
+        for w in [*windows(text), -1]:
+            if run and (w < 0 or w > run[-1] + STRIDE):
+                for at in range(0, len(run), MOST_WINDOWS):
+                    part = run[max(0, at - MARGIN) : at + MOST_WINDOWS + MARGIN]
+                    stretches.append((n, part[0], part, run[at] if at else 0, run[at + MOST_WINDOWS] if at + MOST_WINDOWS < len(run) else len(text)))
+                run = []
+            run.append(w)
     weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
     out: list[list[Span]] = [[] for _ in texts]
     stretches.sort(key=lambda s: len(s[2]))
@@ -271,7 +280,7 @@ def decode(tagger: Tagger, texts: list[str], sure: float = 0.9, at_once: int = 5
         steps = WINDOW + STRIDE * (len(group[-1][2]) - 1)
         total = np.zeros((steps, len(group), _TAGS), np.float32)
         share = np.zeros((steps, len(group), 1), np.float32)
-        todo = [(g, k, encode(texts[n][w : w + WINDOW])) for g, (n, _, starts) in enumerate(group) for k, w in enumerate(starts)]
+        todo = [(g, k, encode(texts[n][w : w + WINDOW])) for g, (n, _, starts, _, _) in enumerate(group) for k, w in enumerate(starts)]
         for a in range(0, len(todo), at_once):
             x = np.full((len(todo[a : a + at_once]), WINDOW), 98, np.uint8)
             for r, (_, _, codes) in enumerate(todo[a : a + at_once]):
@@ -283,14 +292,14 @@ def decode(tagger: Tagger, texts: list[str], sure: float = 0.9, at_once: int = 5
         total /= np.maximum(share, 1e-6)
         total[:, :, 0] += np.where(share[:, :, 0] > 0, 0, 50)
         path = tagger.viterbi(total)
-        for g, (n, start, _) in enumerate(group):
+        for g, (n, start, _, own, own_end) in enumerate(group):
             tags = path[:, g]
             for s in np.flatnonzero(tags % 2 == 1).tolist():
                 kind, e = (int(tags[s]) - 1) // 2, s + 1
                 while e < steps and tags[e] == 2 + 2 * kind:
                     e += 1
                 text = texts[n][start + s : start + e]
-                if tagger.odds(total[:, g], tags, s, e) >= sure and plausible(KINDS[kind], text):
+                if own <= start + s < own_end and tagger.odds(total[:, g], tags, s, e) >= sure and plausible(KINDS[kind], text):
                     out[n].append((start + s, start + e, KINDS[kind]))
     return [sorted(x) for x in out]
 
@@ -333,15 +342,31 @@ def examples(got: list[str], seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, rows: int = 1500, seed: int = 2) -> Tagger | None:
-    """A tagger fitted on a bounded sample: windows of at most `rows` documents that hold a digit or @, those with the smallest text hashes.
+    """A tagger fitted on a bounded sample of passages with a digit or @, from anywhere in whole texts.
 
-    Labels are the patterns' matches (`shapes`). Windows with a phone number are repeated with its country code, and with its
-    brackets, cut off, so that the model also learns numbers that the pattern misses. None if no document has a label.
+    Of about 8 * rows documents, thinned by text hash, each gives at most one passage for each labelled kind and one without a label, that of least hash; of each of these five sorts the
+    rows / 5 passages with the smallest hashes are learned, each text once. So `rows` bounds the sample. Labels are the patterns' matches (`shapes`). Passages with a phone number are repeated with its
+    country code, and with its brackets, cut off, so that the model also learns numbers that the pattern misses. None if no passage has a label.
     """
-    first = F.regexp_instr("text", F.lit("[0-9@]"))
-    n = docs.where(first > 0).count()
-    picked = docs.where((first > 0) & thinned(F.xxhash64("text"), 8 * rows, n)).select(F.xxhash64("text").alias("h"), F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 70), 400)").alias("w"))
-    got = [x for row in picked.orderBy("h", "w").limit(rows).collect() for x in surroundings(row.w)]
+    with_trigger = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"))
+    n = with_trigger.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it, 256):
+            found: dict[tuple[str, bytes], int] = {}
+            for text in batch.column(0).to_pylist():
+                best: dict[str, tuple[int, bytes]] = {}
+                for part in surroundings(text):
+                    raw = part.encode("utf-8", "surrogatepass")
+                    h = zlib.crc32(raw)
+                    for kind in {k for _, _, k in shapes(part)} or {""}:
+                        best[kind] = min(best.get(kind, (1 << 32, b"")), (h, raw))
+                found |= {(kind, raw): h for kind, (h, raw) in best.items()}
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([raw for _, raw in found], pa.binary())], names=["kind", "h", "part"])
+
+    picked = with_trigger.where(thinned(F.col("h"), 8 * rows, n)).mapInArrow(run, "kind string, h long, part binary").distinct()
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("h", "part"))
+    got = [r.part.decode("utf-8", "surrogatepass") for r in picked.withColumn("nth", nth).where(F.col("nth") <= rows // (len(KINDS) + 1)).orderBy("kind", "nth").select("part").collect()]
     x, y = examples(got, seed)
     return Tagger(seed=seed).fit(x, y, seed=seed) if y.any() else None
 

@@ -87,3 +87,18 @@ def word_of(words: tuple[str, ...]) -> str:
 def heading_of(headings: tuple[str, ...]) -> str:
     """A line that is one of the headings, followed by another line."""
     return r"(?i)(?:^|\n)[ \t]*#*[ \t]*(?:" + "|".join(map(re.escape, headings)) + r"):*[ \t]*\r?\n[^\n]*"
+
+
+MANIFEST = r"(?:^|/)SKILL\.md$"
+FRONTMATTER = r"(?s)\A---\n(.*?)\n---(?:\n|\z)"
+_DESCRIPTION = r"(?:^|\n)description:[ \t]*"
+
+
+def description(content: Column) -> tuple[Column, Column]:
+    """The description in a manifest's frontmatter, with its indented lines and without quotes or block signs, and the line on which it begins; nulls without one."""
+    block = F.regexp_extract(content, FRONTMATTER, 1)
+    value = F.regexp_extract(block, _DESCRIPTION + r"([^\n]*(?:\n[ \t]+[^\n]*)*)", 1)
+    plain = F.regexp_replace(F.regexp_replace(F.trim(value), r"^[|>][+-]?\s*", ""), "^[\"']|[\"']$", "")
+    above = F.split(block, _DESCRIPTION, 2)[0]
+    there = block.rlike(_DESCRIPTION)
+    return F.when(there & (plain != ""), plain), F.when(there, 2 + newlines(above) + (above != "").cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..lineage import cut
-from . import rules, supply
+from . import rules, structure, supply
 from .rules import OTHER_RULES
 
 #: Chains as rows: (chain, rule, category, flag_a, flag_b). More rows make more chains.
@@ -142,8 +142,8 @@ def chains(found: DataFrame, heads: DataFrame | None = None, least: int = 2, pol
 _COLUMNS = ("finding_id", "skill_id", "path", "segment_id", "segment_type", "rule_id", "severity", "category", "flags", "soft", "line", "context", "source_kind", "reference_example", "bootstrap")
 
 
-def all_findings(segments: DataFrame, policy: tuple = CHAINS) -> DataFrame:
-    """Findings of the text rules, of normalisation, of URLs, packages and density, of hidden content and of chains, with references (absorbed parts) and layer."""
+def all_findings(segments: DataFrame, policy: tuple = CHAINS, files: DataFrame | None = None) -> DataFrame:
+    """Findings of the text rules, of normalisation, of URLs, packages and density, of hidden content and of chains, with references (absorbed parts) and layer; of layout and frontmatter too, if the bundles' `files` are given."""
     none = F.array().cast("array<string>").alias("references")
     first = rules.evaluate(segments)
     # findings hold no texts; they are kept once, and what follows joins them
@@ -151,6 +151,8 @@ def all_findings(segments: DataFrame, policy: tuple = CHAINS) -> DataFrame:
         first = first.unionByName(extra.drop("content", "self_limiting"), allowMissingColumns=True)
     chained = segments.select("segment_id", "parent_id", "ancestors", "chain")
     first = first.unionByName(supply.findings(segments).join(chained, "segment_id"), allowMissingColumns=True)
+    if files is not None:
+        first = first.unionByName(structure.findings(files), allowMissingColumns=True)
     first = cut(first)
     hidden = hidden_content(segments, first)
     found = cut(first.select(*_COLUMNS, none).unionByName(hidden.select(*_COLUMNS, "references")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -187,13 +188,25 @@ def evaluate(segments: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     c, keep = F.col("content"), [x for x in segments.columns if x not in ("content", "self_limiting")]
     segments = segments.withColumn("lowered", F.lower(c))
     segments = segments.withColumn("self_limiting", F.col("lowered").contains("user") & c.rlike(USER_PRIORITY) & c.rlike(USER_CONTROL))
+    # a match of the text within the manifest's description is that of the description's own segment
+    told = F.when((F.col("segment_type") == "original") & F.col("path").rlike(text.MANIFEST), text.description(c)[1])
     hits = [F.when(_holds(r, p, c, F.col("lowered")), F.lit(k)) for k, (r, _, p) in enumerate(patterns(rules))]
-    out = segments.select(*keep, "content", F.explode(F.array_compact(F.array(*hits))).alias("k")).join(_table(segments.sparkSession, rules), "k")
-    out = out.withColumn("found", _matches()).select(*keep, "rule_id", "pattern_no", F.explode(F.when(F.col("once"), F.slice("found", 1, 1)).otherwise(F.col("found"))).alias("m"))
+    out = segments.select(*keep, "content", told.alias("told"), F.explode(F.array_compact(F.array(*hits))).alias("k")).join(_table(segments.sparkSession, rules), "k")
+    out = out.withColumn("found", _matches()).select(*keep, "told", "rule_id", "pattern_no", F.explode(F.when(F.col("once"), F.slice("found", 1, 1)).otherwise(F.col("found"))).alias("m"))
+    out = out.where(~(F.col("rule_id").startswith("D-11") & F.coalesce(F.col("m.line_no") == F.col("told"), F.lit(False))))
     out = out.select(*keep, "rule_id", "pattern_no", F.col("m.match_no"), F.substring("m.match", 1, 200).alias("match"), (F.col("start_line") + F.col("m.line_no") - 1).cast("int").alias("line"))
     return described(out, rules)
 
 
+def registered(segments: DataFrame, evaluators: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame | None:
+    """Findings of the caller's own evaluators, by id: each takes the segments and gives rows with columns of findings; its id is their rule_id. None without evaluators."""
+    out = None
+    for rule_id, make in sorted(evaluators.items()):
+        found = make(segments).withColumn("rule_id", F.lit(rule_id))
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    return out
+
+
 def described(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds severity, category, flags, soft and a stable finding_id."""
     by = {r.rule_id: r for r in rules}

@@ -42,3 +42,11 @@ def adjusted(found: DataFrame) -> DataFrame:
         "multiplier": F.when(F.col("by.disposition") == "confirm", 1 + fixed.CONFIRM_FACTOR * F.col("by.c")).otherwise(1.0),
         "disputed": disputed,
     }).drop("by")
+
+
+def guardrail_floors(found: DataFrame, policy: DataFrame) -> DataFrame:
+    """(skill_id, floor_rank): the highest floor (floor_rank int) of the policy's rows whose categories (array) a bundle's confirmed findings all have; bundles without one are left out."""
+    have = found.where("soft_status = 'confirmed'").select("skill_id", "category").distinct()
+    asked = policy.select("floor_rank", F.size(F.array_distinct("categories")).alias("n"), F.explode(F.array_distinct("categories")).alias("category"), F.xxhash64("floor_rank", "categories").alias("row"))
+    met = have.join(F.broadcast(asked), "category").groupBy("skill_id", "row", "floor_rank", "n").count().where("count = n")
+    return met.groupBy("skill_id").agg(F.max("floor_rank").alias("floor_rank"))

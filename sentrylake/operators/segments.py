@@ -43,7 +43,7 @@ def _child(kind: str, no: int, i: Column, content: Column, line: Column, languag
 
 
 def children(parents: DataFrame) -> DataFrame:
-    """Code fences, comments outside fences, decoded base64 outside both, and ROT13 where the text speaks of it."""
+    """Code fences, comments outside fences, decoded base64 outside both, ROT13 where the text speaks of it, and the description of a manifest's frontmatter."""
     c, line = F.col("content"), F.col("start_line")
     every = lambda p, g=0: F.regexp_extract_all(c, F.lit(p), F.lit(g))
     none = F.array().cast("array<struct<segment_type:string,ordinal:bigint,content:string,start_line:int,language:string>>")
@@ -53,11 +53,13 @@ def children(parents: DataFrame) -> DataFrame:
     codes = F.transform(every(FENCE_COMMENT_OR_CODE), lambda x, i: _child("base64_decode", 2, i, F.when(~x.startswith("`") & ~x.startswith("<"), decoded(x)), line + _before(c, FENCE_COMMENT_OR_CODE, i)))
     codes = F.filter(codes, lambda x: x["content"].isNotNull() & F.is_valid_utf8(x["content"]) & (F.length(x["content"]) > 0))
     rotated = F.array(_child("rot13", 3, F.lit(0), F.translate(c, *ROT13), line))
+    told, told_line = text.description(c)
     parts = F.concat(
         F.when(c.contains("```"), fences).otherwise(none),
         F.when(c.contains("<!--"), F.filter(comments, lambda x: x["content"].isNotNull())).otherwise(none),
         F.when(c.rlike("[A-Za-z0-9+/]{16}"), F.slice(codes, 1, MOST_DECODED)).otherwise(none),
         F.when(c.rlike("(?i)rot_?13"), rotated).otherwise(none),
+        F.when((F.col("segment_type") == "original") & F.col("path").rlike(text.MANIFEST) & told.isNotNull(), F.array(_child("frontmatter_description", 4, F.lit(0), told, told_line))).otherwise(none),
     )
     may = (F.col("file_type") == "markdown") & F.col("segment_type").isin("original", "html_comment", "code_fence")
     out = parents.where(may).withColumn("x", F.explode(parts))

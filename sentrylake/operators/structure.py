@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from .rules import RULES
+from .rules import OTHER_RULES, RULES
 
-FRONTMATTER = r"(?s)\A---\n(.*?)\n---(?:\n|\z)"
+FRONTMATTER = text.FRONTMATTER
 _SUFFIX = lambda names: "(?i)(?:" + "|".join(n.replace(".", r"\.") for n in names) + r")$"
 
 
@@ -26,10 +26,14 @@ def layout(files: DataFrame) -> DataFrame:
         F.when(hidden, F.struct(F.lit("D-14G").alias("rule_id"), F.when(F.col("deep"), "medium").otherwise("low").alias("severity"), F.col("top").alias("path"))),
     )
     first = f.select("skill_id", F.explode(F.array_compact(rules)).alias("x")).select("skill_id", "x.path", "x.rule_id", "x.severity").distinct()
-    # an executable whose name a Markdown file of the bundle mentions is documented
+    # an executable whose name a Markdown file of the bundle mentions is documented; texts are taken apart into names, so that no text meets every executable
     exe = f.where(F.col("is_executable") & (F.col("top") != "scripts")).select("skill_id", "relative_path", "name")
-    docs = f.where(F.col("name").rlike(r"(?i)\.md$") & F.col("content").isNotNull()).select("skill_id", F.col("content").alias("doc"))
-    helped = exe.join(docs, "skill_id").where(F.col("doc").contains(F.col("name"))).select("skill_id", "relative_path").distinct()
+    docs = f.where(F.col("name").rlike(r"(?i)\.md$") & F.col("content").isNotNull())
+    plain = r"^[A-Za-z0-9._-]+$"
+    said = docs.select("skill_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9._-]+"), F.lit(0)))).alias("name"))
+    said = said.select("skill_id", F.explode(F.array("name", F.regexp_replace("name", r"\.+$", ""))).alias("name")).distinct()
+    odd = exe.where(~F.col("name").rlike(plain)).join(docs.select("skill_id", F.col("content").alias("doc")), "skill_id").where(F.col("doc").contains(F.col("name"))).select("skill_id", "relative_path")
+    helped = exe.where(F.col("name").rlike(plain)).join(said, ["skill_id", "name"]).select("skill_id", "relative_path").unionByName(odd).distinct()
     left = f.join(helped, ["skill_id", "relative_path"], "left_anti")
     archive = F.col("name").rlike(_SUFFIX(fixed.ARCHIVE_SUFFIXES)) | F.col("signature").isin("zip", "gzip")
     binary = F.col("name").rlike(_SUFFIX(fixed.BINARY_SUFFIXES)) | F.col("signature").isin("elf", "pe", "mach_o")
@@ -83,3 +87,14 @@ def broad_description(files: DataFrame) -> DataFrame:
     off = f.where("key = 'disable-model-invocation' and lower(value) = 'true'").select("path")
     hit = f.where("key = 'description'").where(((F.size(words) >= 18) | (generic >= 5)) & (phrase | (generic >= 8)))
     return hit.join(off, "path", "left_anti").select("skill_id", "path", F.lit("D-18C").alias("rule_id"))
+
+
+def findings(files: DataFrame) -> DataFrame:
+    """Findings of the layout, frontmatter and description rules for artifacts (skill_id, path, relative_path, content, signature, is_executable), with the columns of other findings."""
+    rows = layout(files).withColumn("line", F.lit(1)).withColumn("detail", F.lit(""))
+    rows = rows.unionByName(frontmatter_findings(files)).unionByName(broad_description(files).withColumns({"severity": F.lit("medium"), "line": F.lit(1), "detail": F.lit("")}))
+    category = F.create_map(*[F.lit(x) for r in OTHER_RULES for x in (r[0], r[2])])[F.col("rule_id")]
+    return rows.withColumns({
+        "category": category, "flags": F.lit(","), "soft": F.col("rule_id").isin(*fixed.SOFT_RULES), "segment_type": F.lit("original"), "context": F.lit("documentation"), "source_kind": F.lit("markdown"),
+        "reference_example": F.lit(False), "bootstrap": F.lit(False), "finding_id": F.md5(F.concat_ws("::", "skill_id", "path", "rule_id", F.col("line").cast("string"), "detail").cast("binary")),
+    }).drop("detail")

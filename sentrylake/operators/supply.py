@@ -80,11 +80,11 @@ def _urls(d) -> list[str]:
 
 def _mentions(d) -> list[str]:
     parts = [_each_found(d, "ctx", f"{_SEGMENT}, '{eco}' as ecosystem", "content", p, 1, "package") for eco, p in PACKAGES.items()]
-    req = f"select {_SEGMENT}, 'python' as ecosystem, {d.extract('line', REQUIREMENT, 1)} as package from l where path like '%requirements%.txt' and {d.like('line', REQUIREMENT)}"
+    req = f"select {_SEGMENT}, 'python' as ecosystem, {d.extract('line', REQUIREMENT, 1)} as package from lines_ where path like '%requirements%.txt' and {d.like('line', REQUIREMENT)}"
     # the section of a Cargo manifest is that of the last header above the line
-    sect = f"c as (select *, max(case when line like '[%' then no end) over (partition by segment_id order by no rows unbounded preceding) as header from l where path like '%Cargo.toml'), cd as (select c.* from c join (select segment_id, no from l where line like '[%dependencies]%') h on c.segment_id = h.segment_id and c.header = h.no)"
-    cargo = f"select {_SEGMENT}, 'rust' as ecosystem, {d.extract('line', CARGO, 1)} as package from cd where {d.like('line', CARGO)}"
-    return [f"l as ({_lines(d, 'ctx', _SEGMENT)})", sect, f"mentions as ({' union all '.join([*parts, req, cargo])})"]
+    sect = f"sections_ as (select *, max(case when line like '[%' then no end) over (partition by segment_id order by no rows unbounded preceding) as header from lines_ where path like '%Cargo.toml'), deps_ as (select c.* from sections_ c join (select segment_id, no from lines_ where line like '[%dependencies]%') h on c.segment_id = h.segment_id and c.header = h.no)"
+    cargo = f"select {_SEGMENT}, 'rust' as ecosystem, {d.extract('line', CARGO, 1)} as package from deps_ where {d.like('line', CARGO)}"
+    return [f"lines_ as ({_lines(d, 'ctx', _SEGMENT)})", sect, f"mentions as ({' union all '.join([*parts, req, cargo])})"]
 
 
 def _near(d, name: str, protected: str) -> str:

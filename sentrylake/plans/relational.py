@@ -196,17 +196,22 @@ def _q_majority(d):
     return ["base", _VOTES, _labels(d), f"c as (select skill_id, label, {rank} as vote_rank, count(*) as n, round(avg(confidence), 6) as mean from votes group by skill_id, label), r as (select *, row_number() over (partition by skill_id order by n desc, mean desc, vote_rank desc) as k from c)"], f"select r.skill_id, label as majority, n, mean, {_LABEL.format('greatest(vote_rank, floor_rank)')} as final_label from r join risk on r.skill_id = risk.skill_id where k = 1"
 
 
-#: Scores of three models for each document's text, from its length.
-_SCORES = """scores as (select doc_id, m.model, m.w, ((coalesce(length(text), 0) * m.a) % 101) / 100.0e0 as s from documents cross join (select 1 as model, 0.40e0 as w, 7 as a union all select 2, 0.35e0, 13 union all select 3, 0.25e0, 29) m),
+def _scores(d) -> str:
+    """Scores of three simple models for each document: the shares of digits and signs, of shouting, and of requests in its text, scaled to 1 at most."""
+    n = "greatest(length(text), 1)"
+    size = "size" if d.name == "spark" else "len"
+    share = lambda p, by: f"least(1.0e0, {by}e0 * {size}({d.found('text', p)}) / {n})"
+    return f"""scores as (select doc_id, model, w, floor(1000 * case model when 1 then {share('[0-9@#%$&*_=<>{}]', 20)} when 2 then {share('[A-Z]', 15)} else {share('(?i)the|and|you|please|must', 60)} end) / 1000.0e0 as s
+    from (select doc_id, coalesce(text, '') as text from documents) t_ cross join (select 1 as model, 0.40e0 as w union all select 2, 0.35e0 union all select 3, 0.25e0) m),
 ens as (select doc_id, sum(s * w) / sum(w) as score, avg(s) as mean, least(1.0, 2 * stddev_pop(s)) as disagreement, max(s) as top from scores group by doc_id)"""
 
 
 def _q_ensemble(d):
-    return [_SCORES], "select doc_id, round(score, 6) as score, round(mean, 6) as mean, round(disagreement, 6) as disagreement, top, case when score >= 0.5 then 1 else 0 end as triggered from ens"
+    return [_scores(d)], "select doc_id, round(score, 6) as score, round(mean, 6) as mean, round(disagreement, 6) as disagreement, top, case when round(score, 9) >= 0.5 then 1 else 0 end as triggered from ens"
 
 
 def _q_ml(d):
-    return [_SCORES], "select doc_id, case when round(score, 9) >= 0.75 then 'high' else 'medium' end as severity, case when round(score, 9) < 0.85 then 1 else 0 end as soft from ens where round(score, 9) >= 0.5"
+    return [_scores(d)], "select doc_id, case when round(score, 9) >= 0.75 then 'high' else 'medium' end as severity, case when round(score, 9) < 0.85 then 1 else 0 end as soft from ens where round(score, 9) >= 0.5"
 
 
 _EVAL = lambda d: ["base", _labels(d), "labels_ as (select * from risk)", _TRUTH, _outcomes(d)]
@@ -259,11 +264,11 @@ def _q_gate_regression(d):
 
 def _q_errors(d):
     first = "e as (select o.skill_id, o.outcome, (select min(f.rule_id) from f where f.skill_id = o.skill_id) as first_rule from outcomes o where outcome in ('FP', 'FN')), r as (select *, row_number() over (partition by outcome, first_rule order by skill_id) as k, count(*) over (partition by outcome, first_rule) as n from e)"
-    return [*_EVAL(d), first], "select outcome, first_rule, skill_id, k, n - 3 as more from r where k <= 3"
+    return [*_EVAL(d), first], "select outcome, first_rule, skill_id, k, greatest(n - 3, 0) as more from r where k <= 3"
 
 
 def _q_concerning(d):
-    return ["base", _score(d), "c as (select skill_id, score, round((5 - worst) * (1 - score / 100.0e0), 6) as concern from results), r as (select *, row_number() over (order by concern desc, skill_id) as k from c)"], "select skill_id, score, concern, k from r where k <= 10"
+    return ["base", _score(d), "c as (select skill_id, score, round((5 - worst) * (1 - score / 100.0e0), 6) as concern from results), t as (select * from c order by concern desc, skill_id limit 10), r as (select *, row_number() over (order by concern desc, skill_id) as k from t)"], "select skill_id, score, concern, k from r"
 
 
 def _q_ambiguous(d):

@@ -30,10 +30,12 @@ def without_ignored(found: DataFrame) -> DataFrame:
 
 
 def bundles(found: DataFrame) -> DataFrame:
-    """(skill_id, path, relative_path, ...): every directory with a manifest is a bundle of all files below it, nested ones too; files in none form one bundle named `.`."""
+    """(skill_id, path, relative_path, ...): a root with a manifest is one bundle of all files, whatever is nested; else every directory with a manifest is a bundle of all files below it. Files in none form one bundle named `.`."""
     name = F.element_at(F.split("path", "/"), -1)
     above = F.transform(F.sequence(F.lit(0), F.size(F.split("path", "/")) - 1), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))
     homes = found.where(name == MANIFEST).select(F.regexp_replace("path", f"/?{MANIFEST}$", "").alias("home")).distinct()
+    root = homes.where("home = ''")
+    homes = homes if root.isEmpty() else root
     held = found.withColumn("home", F.explode(above)).join(homes, "home")
     rest = found.join(held.select("path").distinct(), "path", "left_anti").withColumn("home", F.lit(None).cast("string"))
     out = held.select(*found.columns, "home").unionByName(rest.select(*found.columns, "home"))
@@ -50,3 +52,23 @@ def artifacts(found: DataFrame) -> DataFrame:
     shebang = F.coalesce(text.startswith("#!"), F.lit(False))
     out = out.withColumn("is_executable", F.col("mode_executable") | shebang if "mode_executable" in found.columns else shebang)
     return out.withColumn("file_type", file_type(F.col("path"))).withColumn("content", F.when(F.col("is_text"), text))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Ground truth of bundles as JSON lines (id, path, verdict, attack_categories, severity, expected_rules, tier, source_type, tags); a malformed line is an error."""
+    schema = "id string, path string, verdict string, attack_categories array<string>, severity string, expected_rules array<string>, tier string, source_type string, tags array<string>"
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def filtered(entries: DataFrame, tier: str = "standard", tags: tuple[str, ...] = (), source_types: tuple[str, ...] | None = None) -> DataFrame:
+    """Entries of a tier, which holds the smaller ones, with all the tags, of the source types given."""
+    tiers = ("smoke", "standard", "full")
+    out = entries.where(F.col("tier").isin(*tiers[: tiers.index(tier) + 1] if tier in tiers else tiers))
+    out = out if source_types is None else out.where(F.col("source_type").isin(*source_types))
+    return out.where(F.size(F.array_except(F.array(*[F.lit(t) for t in tags]).cast("array<string>"), F.coalesce("tags", F.array().cast("array<string>")))) == 0)
+
+
+def labelled_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled samples as JSON lines (id, skill_name, label, content), as files of bundles of their own; samples without content are left out."""
+    raw = spark.read.schema("id string, skill_name string, label string, content string").option("mode", "FAILFAST").json(path).where("content is not null")
+    return raw.select(F.col("id").alias("skill_id"), F.concat("id", F.lit(f"/{MANIFEST}")).alias("path"), F.lit("markdown").alias("file_type"), "content", "skill_name", F.upper("label").alias("verdict"))

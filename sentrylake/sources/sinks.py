@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
@@ -29,9 +29,18 @@ def sarif(found: DataFrame, tool: str = "sentrylake") -> DataFrame:
 
 
 def save_run(results: DataFrame, run_id: str, path: str) -> None:
-    """Adds a run's results, partitioned by run; a run that is there already is an error."""
-    target = f"{path.rstrip('/')}/run_id={run_id}"
-    results.drop("run_id").write.mode("errorifexists").parquet(target)
+    """Adds a run's results, partitioned by run, and a row of its summary (rows, columns of numbers as sums); a run that is there already is an error."""
+    root = path.rstrip("/")
+    rows = results.drop("run_id")
+    rows.write.mode("errorifexists").parquet(f"{root}/run_id={run_id}")
+    numbers = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "float", "short")]
+    summary = rows.agg(F.count("*").alias("n_results"), *[F.sum(f"`{c}`").alias(f"sum_{c}") for c in numbers])
+    summary.write.mode("errorifexists").parquet(f"{root}/summaries/run_id={run_id}")
+
+
+def load_run(spark: SparkSession, path: str, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """Results and summary of an earlier run."""
+    return spark.read.parquet(f"{path.rstrip('/')}/run_id={run_id}"), spark.read.parquet(f"{path.rstrip('/')}/summaries/run_id={run_id}")
 
 
 def bless(path: str, run_id: str, name: str, spark) -> None:

@@ -11,15 +11,17 @@ from ..operators import postrules, rules, segments
 from ..sources import tables
 from . import twins
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple, DataFrame] = {}
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Tables that several queries read, cached for the application: segments (with context) and findings of the planted documents."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Tables that the test queries share: segments (with context) and findings of the planted documents, made once for the state of the documents' files and kept in the shared folder. The operators keep nothing by themselves."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    state = tuple(docs.agg(F.max("_metadata.file_modification_time"), F.count("*")).first())
+    key = (spark.sparkContext.applicationId, sf_dir, name, state)
     if key not in _kept:
         made = segments.with_context(segments.expand(tables.planted(spark, sf_dir))) if name == "segments" else postrules.all_findings(kept(spark, sf_dir, "segments"))
-        _kept[key] = made.persist() if name == "segments" else cut(made)
+        _kept[key] = cut(made)
     return _kept[key]
 
 

@@ -10,29 +10,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8
+from .common import bounded, cut, slices, utf8
 from .components import components
 
 SEED = 42
 _CHUNK = 1 << 16
 
 
-def fingerprint(raw: bytes, width: int = 4) -> int:
-    """64-bit SimHash of a UTF-8 text's word shingles, as an unsigned number; 0 without words."""
+def hashes(raw: bytes, width: int = 4) -> np.ndarray:
+    """XXH64 of a UTF-8 text's word shingles in their order, repeats included; of a shorter text one for all its words, without words none."""
     found = raw.lower().split()  # on bytes: A-Z only, and the six white-space bytes of common.WORD
-    if not found:
-        return 0
-    joined = b" ".join(found)
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)] if found else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-width] + 1))
-    digest, n, ones = xxhash.xxh64_intdigest, len(starts), np.zeros(64, np.int64)
-    first, last = starts.tolist(), ends[width - 1 :].tolist()
-    for at in range(0, n, _CHUNK):
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(first[at : at + _CHUNK], last[at : at + _CHUNK])], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64, len(starts))
+
+
+def majority(found: np.ndarray) -> int:
+    """The 64-bit number of the bits set in over half of the hashes; one hash is itself, none give 0."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), _CHUNK):
+        ones += np.unpackbits(found[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * ones > len(found), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(raw: bytes, width: int = 4) -> int:
+    """64-bit SimHash of a UTF-8 text's word shingles, as an unsigned number; 0 without words."""
+    return majority(hashes(raw, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,8 +133,8 @@ def links(fps: DataFrame, most: int = 4, segments: int = 2, cap: int = 4096) ->
     heavy = values.where(F.col("count") > max(1, cap // len(ball))).select("s", F.explode(F.array([F.col("v").bitwiseXOR(F.lit(m)) for m in ball])).alias("m"), "count")
     heavy = heavy.groupBy(key.alias("key")).agg((F.floor(F.sum("count") / cap) + 2).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * 32768 + F.greatest(own, j))
-    dealt = keys.join(heavy, "key", "left").select("key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(parts)).alias("part"), "fp")
+    parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j))
+    dealt = keys.join(bounded(cut(heavy)), "key", "left").select("key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(parts)).alias("part"), "fp")
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_runs(most), "a long, b long")
 
 
@@ -151,19 +157,30 @@ def near_duplicates(docs: DataFrame, most: int = 4, width: int = 4, segments: in
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The columns of `docs`, for one row of each group: that of the smallest doc_id, and of rows that share it the first by text. Rows with a null doc_id go if their group has an id, else one stays."""
-    return keep_first(docs, near_duplicates(docs, **options))
+def deduplicate(docs: DataFrame, similarity: tuple[int, int] | None = None, **options) -> DataFrame:
+    """The columns of `docs`, for one row of each group: that of the smallest doc_id, and of rows that share it the first by text. Rows with a null doc_id go if their group has an id, else one stays.
+
+    With `similarity`, say (4, 5), groups are not those of near fingerprints but of word shingles with a Jaccard similarity of 4/5 or more: near fingerprints are
+    candidates, verified by their shingles, and pairs that 64 bits don't bring together are found by their shingles (`shingles.near_duplicates`).
+    """
+    if similarity is None:
+        return keep_first(docs, cut(near_duplicates(docs, **options)))
+    from .shingles import near_duplicates as by_shingles
+
+    return keep_first(docs, cut(by_shingles(docs, least=similarity, **options)))
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """What `deduplicate` keeps of `docs`, given the (doc_id, component_id) of its rows."""
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = docs.join(keep.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    """What `deduplicate` keeps of `docs`, given the (doc_id, component_id) of its rows. Columns of any name and kind stay as they are; of rows that share an id the one whose values are first as JSON stays."""
+    own = docs.columns
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(own)])
+    at = f"own_{own.index('doc_id')}"
+    back = lambda df: df.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(own)])
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
+    kept = docs.join(keep, F.col(at).eqNullSafe(F.col("id")), "left_semi")
+    repeated = found.groupBy(F.col("doc_id").alias("id")).count().where("count > 1 or id is null").select("id")
     if repeated.isEmpty():
-        return kept
-    others = [c for c in docs.columns if c != "doc_id"]
-    once = kept.join(repeated.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    once = once.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row")).select("doc_id", *[F.col(f"__row.{c}").alias(c) for c in others]).select(docs.columns)
-    return kept.join(repeated.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").unionByName(once)
+        return back(kept)
+    once = kept.join(repeated, F.col(at).eqNullSafe(F.col("id")), "left_semi")
+    once = once.groupBy(F.col(at).alias("id")).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row")).select("row.*")
+    return back(kept.join(repeated, F.col(at).eqNullSafe(F.col("id")), "left_anti").unionByName(once))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import langid, mixing, pieces, pii, shingles
+from sentrylake.llm import langid, mixing, pieces, pii, simhash
 from sentrylake.llm.common import table, written
 from sentrylake.shipping import ship
 
@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the one with the smallest id."""
     ship(spark)
-    return shingles.deduplicate(docs)
+    return simhash.deduplicate(docs, similarity=(4, 5), width=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

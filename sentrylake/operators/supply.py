@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..functions.prefilter import needed
 
 # Patterns.
 URL = r"(?i)\b(?:https?|hxxps?)://[^\s<>()\"']+"
@@ -37,6 +38,8 @@ def _lines(d, frm: str, keep: str) -> str:
 
 
 def _each_found(d, frm: str, keep: str, col: str, pattern: str, group: int, alias: str) -> str:
+    if words := needed(pattern):  # texts without the words that a match needs are passed over
+        frm = f"(select * from {frm} where {' or '.join(f'contains(lower({col}), {d.text(w)})' for w in words)}) having_"
     if d.name == "spark":
         return f"select {keep}, {alias} from {frm} lateral view explode({d.found(col, pattern, group)}) t as {alias}"
     return f"select {keep}, unnest({d.found(col, pattern, group)}) as {alias} from {frm}"
@@ -66,7 +69,7 @@ def _urls(d) -> list[str]:
     severity = f"""case rule_id when 'D-15A' then 'info' when 'D-15B' then case when {doc} then 'medium' else 'high' end when 'D-15C' then 'high' when 'D-15D' then 'high' when 'D-15F' then case when {doc} then 'medium' else 'high' end
       when 'D-15G' then case when {doc} or reference_example then 'info' else 'medium' end when 'D-15H' then 'medium' else case when {doc} or reference_example then 'info' when context = 'registry_or_dependency' then 'high' when context in ('actionable_instruction', 'executable_snippet') then 'medium' else 'low' end end"""
     return [
-        f"u0 as (select *, case when {registry} then 1 else 0 end as content_registry from ctx where {d.like('content', URL)})",
+        f"u0 as (select *, case when {registry} then 1 else 0 end as content_registry from ctx where contains(lower(content), '://') and {d.like('content', URL)})",
         f"u1 as ({_lines(d, 'u0', _KEEP)})",
         f"u2 as (select *, case when {d.like('line', URL)} then 1 else 0 end as has_url, max(case when {d.like('line', verbs)} then 1 else 0 end) over ({win} 3 preceding and 1 following) as near, max(case when {d.like('line', heading)} then 1 else 0 end) over ({win} 3 preceding and 1 preceding) as head from u1)",
         f"u3 as (select *, {context} as context from u2)",
@@ -123,7 +126,7 @@ _OVERRIDDEN = "host <> '' and ',' || official || ',' not like '%,' || host || ',
 
 def _prerequisites(d) -> list[str]:
     """Helper programs that a text demands from outside. A name counts as declared if the bundle installs a package of that name."""
-    external = f"exists_url as (select distinct segment_id from ctx where {d.like('content', URL)})"
+    external = f"exists_url as (select distinct segment_id from ctx where contains(lower(content), '://') and {d.like('content', URL)})"
     helper = _each_found(d, "ctx", f"{_SEGMENT}, content", "content", HELPER, 0, "helper")
     declared = "declared as (select distinct skill_id, lower(package) as name from mentions)"
     danger = f"({d.like('content', REMOTE)} or ({d.like('content', ARCHIVE_URL)} and ({d.like('content', PASSWORD)} or {d.like('content', DELIVERY)})))"

@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, lang_pred string"
@@ -451,7 +452,8 @@ def test_chat_layouts_escapes_and_digests(spark):
         assert x.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
-def test_search_against_all_scores(spark, corpus):
+@pytest.mark.parametrize(("block", "shard_docs", "first"), [(64, 4096, 4), (2, 16, 2), (3, 11, 4)])
+def test_search_against_all_scores(spark, corpus, block, shard_docs, first):
     from sentrylake.llm import search as s
 
     rows = [x for x in corpus if x[0] is not None]
@@ -460,14 +462,17 @@ def test_search_against_all_scores(spark, corpus):
     length = [sum(c.values()) for c in count]
     df = collections.Counter(w for c in count for w in c)
     n, mean = len(rows), sum(length) / len(rows)
-    old = s.BLOCK, s.BLOCK_TERMS, s.QUERIES
+    sizes = {"BLOCK": block, "SHARD_DOCS": shard_docs, "FIRST_SHARDS": first, "BLOCK_TERMS": 300, "QUERIES": 5, "QUERY_TERMS": 200, "DENSE": 1 / 4}
+    old = {k: getattr(s, k) for k in sizes}
     try:
-        s.BLOCK_TERMS = 300
+        for k, v in sizes.items():  # pickled by value: this module's functions are sent with what they read
+            setattr(s, k, v)
         got = collections.defaultdict(list)
         for x in s.search(docs.repartition(3), docs.where("doc_id % 5 = 0"), k=7).orderBy("query_id", "rank").collect():
             got[x.query_id].append((x.doc_id, x.score))
     finally:
-        s.BLOCK, s.BLOCK_TERMS, s.QUERIES = old
+        for k, v in old.items():
+            setattr(s, k, v)
     for (i, *_), q in zip(rows, count):
         if i % 5:
             continue
@@ -482,6 +487,43 @@ def test_search_against_all_scores(spark, corpus):
     assert s.search(docs.limit(0), docs.where("doc_id = 0")).count() == 0
 
 
+def test_search_skips_postings_and_keeps_ties(monkeypatch):
+    import pyarrow as pa
+
+    from sentrylake.llm import search as s
+
+    monkeypatch.setattr(s, "BLOCK", 4)
+    monkeypatch.setattr(s, "DENSE", 1 / 3)
+    r = random.Random(5)
+    kinds = [[f"{c}{k}" for k in range(60)] for c in "abc"]
+    texts = [" ".join(r.choice(kinds[k % 3]) for _ in range(r.randint(3, 40))) for k in range(240)]
+    texts += [texts[7]] * 12
+    shard = s._Shard()
+    shard.add([1000 - k for k in range(len(texts))], [t.encode() for t in texts])
+    row = dict(zip([f.split()[0] for f in s._INDEX.split(", ")], shard.row()))
+    asked = [7, 10, 20, 33]
+    terms = [(q, 0, t.encode(), float(c)) for q in asked for t, c in collections.Counter(texts[q].split()).items()]
+    queries = s.Queries.of(pa.table({"q": [x[0] for x in terms], "h": [x[1] for x in terms], "token": pa.array([x[2] for x in terms], pa.binary()), "w": [x[3] for x in terms]}))
+    mean, skipped, got = row["total"] / row["n"], [0, 0], {}
+    for place, ids, score, _ in s.search_shard(s.Shard(row, queries.words, mean), queries, 5, skipped):
+        for p, i, x in zip(place.tolist(), ids.tolist(), score.tolist()):
+            got.setdefault(int(queries.ids[p]), []).append((i, x))
+    counts = [collections.Counter(t.split()) for t in texts]
+    for q in asked:
+        score = [(round(sum(f * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, f in counts[q].items()), 8), 1000 - k) for k, c in enumerate(counts)]
+        assert [i for i, _ in got[q]] == [i for _, i in sorted((-x, i) for x, i in score if x > 0)[:5]]
+    assert skipped[0] > 0 < skipped[1]
+
+
+def test_search_tells_apart_texts_under_one_id(spark):
+    from sentrylake.llm import search as s
+
+    docs = spark.createDataFrame([(1, "a a b"), (2, "b c")], "doc_id long, text string")
+    asked = spark.createDataFrame([(9, "a a b"), (9, "a b"), (9, "a b")], "doc_id long, text string")
+    both = [round(x.score, 6) for t in ("a a b", "a b") for x in s.search(docs, asked.where(F.col("text") == t)).collect()]
+    assert sorted(round(x.score, 6) for x in s.search(docs, asked).collect()) == sorted(both)
+
+
 def test_pipeline_stages_keep_the_columns_and_take_effect(spark, corpus, tmp_path):
     import corpus_pipeline
 
@@ -498,3 +540,149 @@ def test_pipeline_stages_keep_the_columns_and_take_effect(spark, corpus, tmp_pat
     assert {r.doc_id for r in seen["near_duplicates"]}.isdisjoint({200, 201, 202})
     assert "[EMAIL]" in next(r.text for r in seen["personal_data"] if r.doc_id == 700)
     assert len(seen["pieces"]) == len(seen["mixing"]) and all(r.round_trip for r in seen["pieces"])
+
+
+def test_embeddings_with_ids_beyond_62_bits_and_without(spark):
+    from sentrylake.llm.embed import near_duplicates
+
+    big = 1 << 62
+    rows = [(big + 5, [1.0, 0.0], 1), (big + 9, [1.0, 0.01], 1), (-7, [0.0, 1.0], 1), (None, [0.01, 1.0], 1), (None, [5.0, 5.0], 2), (None, [-1.0, 0.0], 1), (3, [0.0, 1.0], None)]
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=repr)
+    assert got == sorted([(big + 5, 1, big + 5, True), (big + 9, 1, big + 5, False), (-7, 1, -7, True), (None, 1, -7, False), (None, 0, None, True), (None, 0, None, True), (3, 0, 3, True)], key=repr)
+
+
+@pytest.mark.parametrize("tiny", ["a", "hello", "x y"])
+def test_language_with_a_tiny_training_text(spark, corpus, tiny):
+    from sentrylake.llm.langid import identify, sample
+
+    docs = make(spark, [x for x in corpus if x[1] and len(x[1].split()) > 10 and x[0] is not None and x[0] < 300] + [(900, tiny, "xx", "a")])
+    found = identify(docs, sample(docs)).where("doc_id < 200").select("lang", "lang_pred").collect()
+    assert sum(a == b for a, b in found) >= 0.97 * len(found)
+
+
+def test_language_against_slow_parsing():
+    from sentrylake.llm.langid import BLOCK, WIDTH, Model
+
+    texts = {"aa": "the thing was in that house and the hand", "bb": "der die und das haus ist nicht von ein mit", "cc": "q"}
+    model = Model(texts)
+    asked = ["the house", "und das nicht", "zzz", "q q q", "the thing " * 200, "a1b2 c"]
+    bits, letter = model.entropies(asked)
+    sym = lambda t: model.symbols(np.frombuffer(t.encode("utf-32-le"), np.uint32), np.array([0]))[0].tolist()
+    for k, lang in enumerate(texts):
+        learned = bytes(sym(texts[lang]))
+        for n, t in enumerate(asked):
+            s, phrases = sym(t), 0
+            for at in range(0, len(s), BLOCK):
+                block, i = bytes(s[at : at + BLOCK]), 0
+                while i < len(block):
+                    j = i
+                    while j < len(block) and block[i : j + 1] in learned:
+                        j += 1
+                    # a symbol that is in no phrase is passed over: it ends the phrase before it and counts once more
+                    phrases, i = phrases + 1, max(j, i + 1)
+            cost = np.log2(len(learned) + WIDTH)
+            assert abs(bits[n, k] * len(s) / cost - phrases) <= 1 + len(s) // BLOCK + sum(x not in learned for x in s)
+    assert letter.all()
+
+
+@pytest.mark.parametrize("rows", [[(5, "one two three four", "a")] * 200 + [(6, "x " * 50, "b")], [(None, f"w{k} v", "a") for k in range(150)] + [(k, "y " * 9, "b") for k in range(40)], [(None, "same text", None)] * 90 + [(1, "z", "b")]])
+def test_mixing_of_rows_that_are_alike(spark, rows):
+    from sentrylake.llm.mixing import mix
+
+    docs = spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "doc_id long, text string, source string, key int").repartition(5)
+    got = mix(docs, bucket_rows=50)
+    assert got.columns == ["doc_id", "text", "source", "key", "size", "source_size", "target", "epochs"]
+    got = got.collect()
+    assert sorted(x.key for x in got) == list(range(len(rows)))
+    for source in {x[2] for x in rows}:
+        mine = [x for x in got if x.source == source]
+        assert abs(sum(x.size * x.epochs for x in mine) - mine[0].target) <= max(x.size for x in mine) / 2
+        assert max(x.epochs for x in mine) <= 3
+
+
+@pytest.mark.parametrize(("shards", "slack"), [(3, 0.0), (7, 0.0), (5, 0.2)])
+def test_sharding_against_a_ring_dealt_row_by_row(spark, shards, slack):
+    from sentrylake.llm.sharding import ring, shard
+
+    r = random.Random(shards)
+    rows = [(r.randrange(60), f"text {r.randrange(5)}") for _ in range(200)] + [(None, f"t{k}") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    points, owner = ring(shards, 8)
+    crc = lambda t: zlib.crc32(t.encode())
+    hashed = docs.withColumn("c", F.crc32(F.col("text").cast("binary"))).withColumn("n", (F.octet_length("text") + 16).cast("long"))
+    hashed = hashed.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("c", "n")).otherwise(F.xxhash64("doc_id")).alias("h")).collect()
+    waiting = sorted(((int(np.searchsorted(points, x.h, side="left")) % len(points), x.h, x.doc_id if x.doc_id is not None else -1, crc(x.text), len(x.text)) for x in hashed))
+    n = len(rows)
+    free = [math.ceil((1 + slack) * n / shards)] * shards if slack else [n // shards + (s < n % shards) for s in range(shards)]
+    filled, want = [0] * shards, []
+    for step in range(len(points)):
+        left = []
+        for row in waiting:
+            s = int(owner[(row[0] + step) % len(owner)])
+            if free[s]:
+                want.append((row[2], row[3], s, filled[s]))
+                free[s], filled[s] = free[s] - 1, filled[s] + 1
+            else:
+                left.append(row)
+        waiting = left
+    assert not waiting
+    got = [(x.doc_id if x.doc_id is not None else -1, x.text_crc32, x.shard, x.slot) for x in shard(docs, shards, 8, slack).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_dedup_keeps_columns_of_any_name_and_kind(spark):
+    from sentrylake.llm.simhash import deduplicate
+
+    rows = [(1, "a b c d e f", {"k": "v"}, 7, "x"), (1, "a b c d e f", {"k": "w"}, 8, "x"), (2, "q r s t u v", None, 9, "y"), (3, "a b c d e f", {}, 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,string>, __id int, `a.b` string")
+    kept = deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((x[0], x[3]) for x in kept.collect()) == [(1, 7), (2, 9)]
+
+
+def test_pipeline_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    docs = make(spark, [(1, "the house", None, "a"), (2, None, None, "a"), (3, "... 12", None, "b"), (4, "x", None, None)])
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [1, 4]
+
+
+def test_personal_data_in_a_very_long_run_of_digits(monkeypatch):
+    from sentrylake.llm import pii
+
+    r = random.Random(8)
+    monkeypatch.setattr(pii, "MOST_WINDOWS", 6)
+    tagger = pii.Tagger()
+    text = " ".join(str(r.randrange(10**9)) for _ in range(400))
+    parts = pii.decode(tagger, [text, "", "no trigger"])
+    assert len(parts) == 3 and parts[1] == parts[2] == []
+    assert all(0 <= s < e <= len(text) for s, e, _ in parts[0])
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from sentrylake.lineage import shared_folder
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)
+
+
+def test_bitmaps_bound_the_common_shingles():
+    from sentrylake.llm.shingles import bitmap, most_common
+
+    r = np.random.default_rng(1)
+    for n, m, both in ((5, 9, 3), (300, 310, 280), (1000, 600, 10), (1, 1, 1), (4000, 4100, 3900)):
+        x = r.integers(0, 2**64, n + m - both, np.uint64)
+        a, b = np.unique(x[:n]), np.unique(x[n - both :])
+        common = len(np.intersect1d(a, b))
+        assert common <= most_common(bitmap(a), bitmap(b), len(a), len(b)) == most_common(bitmap(b), bitmap(a), len(b), len(a))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -14,6 +15,8 @@ from ..lineage import cut as cut, shared_folder
 from ..shipping import ship
 
 T = TypeVar("T")
+#: Settings for how much of a partition is held at a time.
+BATCHES = {"arrow": "spark.sql.execution.arrow.maxBytesPerBatch", "parquet": "spark.sql.parquet.columnarReaderBatchSize"}
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,6 +33,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session's settings while an action runs, by the last part of their names in BATCHES; what they were before is set again."""
+    keys = {BATCHES[k]: v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def bounded(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """Marks a small table for broadcast if it has at most `most_rows` rows; a larger one is joined as Spark plans."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -2,68 +2,88 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, utf8, written
+from .common import cut, settings, slices, utf8, written
+from .embed import spherical_kmeans
 
 K1, B = 1.2, 0.75
-#: A shard takes documents until it has so many, or so many bytes of text.
-SHARD_DOCS, SHARD_BYTES = 4096, 8 << 20
+#: A shard takes documents, 64 at a time, until it has so many, or so many bytes of text.
+SHARD_DOCS, SHARD_BYTES = 4096, 4 << 20
 #: Documents of a block, and queries that are scored together.
-BLOCK, QUERIES = 256, 256
-#: A term in at least this share of a shard's documents is scored by matrix products over blocks, under block maxima.
-DENSE = 1 / 16
-#: Query terms that travel with the tasks at a time.
-BLOCK_TERMS = 500_000
+BLOCK, QUERIES = 64, 128
+#: Terms of such a group of queries, about: what a task holds of them at a time.
+QUERY_TERMS = 24_000
+#: A term in at least this share of a shard's documents is a column of the shard's matrix; the others are posting lists.
+DENSE = 1 / 32
+#: Groups of documents alike in their frequent words; blocks hold documents of one group, so that their maxima tell them apart.
+GROUPS = 8
+#: Query terms that travel with the tasks at a time, and shards that are searched first for a query's least score.
+BLOCK_TERMS, FIRST_SHARDS = 500_000, 4
 _NO_ID = np.iinfo(np.int64).max
 
-_INDEX = "tokens binary, token_ends binary, starts binary, docs binary, tfs binary, ids binary, lengths binary, n long, total long"
+_INDEX = "tokens binary, token_ends binary, starts binary, docs binary, tfs binary, ids binary, lengths binary, n long, total long, mark long"
 
 
 class _Shard:
-    """A shard while it grows: postings as numbers, document by document."""
+    """A shard while it grows: the words of its documents as Arrow arrays."""
 
     def __init__(self) -> None:
-        self.names: dict[bytes, int] = {}
         self.ids: list[int] = []
         self.lengths: list[int] = []
-        self.terms: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.words: list[pa.Array] = []
         self.size = 0
 
-    def add(self, doc_id: int, raw: bytes) -> None:
-        words = raw.lower().split()
-        found, names = Counter(words), self.names
-        self.ids.append(doc_id)
-        self.lengths.append(len(words))
-        self.terms.append(np.fromiter((names.setdefault(t, len(names)) for t in found), np.int32, len(found)))
-        self.counts.append(np.fromiter(found.values(), np.int32, len(found)))
-        self.size += len(raw)
+    def add(self, ids: list[int], raws: list[bytes]) -> None:
+        words = [raw.lower().split() for raw in raws]
+        self.ids += ids
+        self.lengths += map(len, words)
+        self.words.append(pa.array([w for ws in words for w in ws], pa.binary()))
+        self.size += sum(map(len, raws))
 
     def full(self) -> bool:
-        return len(self.ids) == SHARD_DOCS or self.size > SHARD_BYTES
+        return len(self.ids) >= SHARD_DOCS or self.size > SHARD_BYTES
 
     def row(self) -> tuple:
-        """One row of the index. Documents by falling length, so that blocks hold documents of like length; terms in byte order, each with its documents and counts."""
-        order = np.argsort(-np.array(self.lengths), kind="stable")
-        terms, counts = (np.concatenate([x[d] for d in order.tolist()]) for x in (self.terms, self.counts))
-        doc = np.repeat(np.arange(len(order), dtype=np.uint16), [len(self.terms[d]) for d in order.tolist()])
-        ordered = sorted(self.names)
-        rank = np.empty(len(ordered), np.int32)
-        rank[np.fromiter(map(self.names.__getitem__, ordered), np.int64, len(ordered))] = np.arange(len(ordered))
-        terms = rank[terms]
-        by = np.argsort(terms, kind="stable")
-        starts = np.searchsorted(terms[by], np.arange(len(ordered) + 1))
+        """One row of the index: documents by group, then by falling length; terms in the order met, each with its documents and counts."""
+        n, length = len(self.ids), np.array(self.lengths, np.int64)
+        coded = pa.concat_arrays([pa.array([], pa.binary()), *self.words]).dictionary_encode()
+        names = coded.dictionary
+        key = coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), length)
+        key, counts = np.unique(key, return_counts=True)
+        term, doc = key // n, key % n
+        df = np.bincount(term, minlength=len(names))
+        order = np.lexsort((-length, _groups(n, term, doc, df)))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        by = np.argsort(term * n + place[doc])
         as_bytes = lambda x, kind: np.asarray(x, kind).tobytes()
-        return (b"".join(ordered), as_bytes(np.cumsum([len(t) for t in ordered]), np.int64), as_bytes(starts, np.int64), doc[by].tobytes(), counts[by].tobytes(), as_bytes(np.array(self.ids, np.int64)[order], np.int64), as_bytes(np.array(self.lengths)[order], np.int64), len(order), int(sum(self.lengths)))
+        ids = as_bytes(np.array(self.ids, np.int64)[order], np.int64)
+        token_ends = np.cumsum(pc.binary_length(names).to_numpy())
+        return (b"".join(names.to_pylist()), as_bytes(token_ends, np.int64), as_bytes(np.concatenate(([0], np.cumsum(df))), np.int64), as_bytes(place[doc][by], np.uint16), as_bytes(counts[by], np.int32), ids, as_bytes(length[order], np.int64), n, int(length.sum()), zlib.crc32(ids))
+
+
+def _groups(n: int, term: np.ndarray, doc: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The group of each of n documents, by which of the shard's most frequent words it has."""
+    columns = np.argsort(-df, kind="stable")[:512]
+    place = np.full(len(df) + 1, -1)
+    place[columns] = np.arange(len(columns))
+    here = place[term] >= 0
+    x = np.zeros((n, len(columns) + 1))
+    x[doc[here], place[term[here]]] = np.log(1 + n / df[term[here]])
+    x[:, -1] = 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return (x @ spherical_kmeans(x, min(GROUPS, n), rounds=4).T).argmax(axis=1)
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,13 +97,11 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in shard.row()], names=names)
 
         for batch in it:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for i, raw in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                    shard.add(_NO_ID if i is None else i, raw)
-                    if shard.full():
-                        yield out()
-                        shard = _Shard()
+            for part in slices(iter([batch]), 64):
+                shard.add([_NO_ID if i is None else i for i in part.column(0).to_pylist()], utf8(part.column(1)))
+                if shard.full():
+                    yield out()
+                    shard = _Shard()
         if shard.ids:
             yield out()
 
@@ -108,120 +126,143 @@ def document_counts(index: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, query_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(q, token, qtf): the distinct words of every query's whole text."""
+    """(q, h, token, qtf): the distinct words of every query's whole text; h tells apart texts that share an id."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            q, t, n = [], [], []
-            for i, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            q, h, t, n = [], [], [], []
+            for i, raw, x in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
                 c = Counter(raw.lower().split())
                 q += [i] * len(c)
+                h += [x] * len(c)
                 t += c.keys()
                 n += c.values()
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(t, pa.binary()), pa.array(n, pa.int64())], names=["q", "token", "qtf"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(h, pa.int64()), pa.array(t, pa.binary()), pa.array(n, pa.int64())], names=["q", "h", "token", "qtf"])
 
     rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(text).alias("text")).where("q is not null and text is not null")
-    return rows.mapInArrow(run, "q long, token binary, qtf long").dropDuplicates(["q", "token", "qtf"])
+    return rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, "q long, h long, token binary, qtf long").dropDuplicates(["q", "h", "token"])
 
 
 @dataclass(frozen=True)
 class Queries:
-    """A block of queries: their terms and weights, query by query. Their words travel as one array; a worker makes a dictionary of them for one block at a time."""
+    """A block of queries: their terms and weights, query by query, and the least score that a document of theirs must have."""
 
     ids: np.ndarray
     starts: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
     words: pa.Array
-    name: str
-
-    @property
-    def vocabulary(self) -> dict[bytes, int]:
-        return held(("queries", self.name), lambda: {t: i for i, t in enumerate(self.words.to_pylist())})
+    least: np.ndarray
 
     @staticmethod
     def of(rows: pa.Table) -> Queries:
-        rows = rows.sort_by([("q", "ascending"), ("token", "ascending")])
-        q, w = rows["q"].to_numpy(), rows["w"].to_numpy()
+        rows = rows.sort_by([("q", "ascending"), ("h", "ascending"), ("token", "ascending")])
+        q, h, w = (rows[c].to_numpy() for c in ("q", "h", "w"))
         coded = rows["token"].combine_chunks()
         coded = (coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
-        starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
-        return Queries(q[starts], np.append(starts, len(q)), coded.indices.to_numpy().astype(np.int64), w, coded.dictionary, uuid.uuid4().hex)
-
-
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    """Columns of each row's k largest."""
-    return np.argpartition(-score, min(k, score.shape[1]) - 1, axis=1)[:, :k]
-
-
-def search_shard(row: dict, queries: Queries, mean: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For the queries, QUERIES at a time: their places in the block, the ids of the shard's best documents, and scores (0: none).
-
-    Rare terms are scored exactly from their posting lists. Their k-th best is a first threshold. Then the blocks of documents, by falling bound: the
-    bound of a query in a block is its best score by rare terms there and, for each common term, the block's maximum;
-    queries whose bound is under their threshold skip the block, the others are scored exactly and raise it.
+        starts = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (h[1:] != h[:-1])))) if len(q) else np.zeros(0, np.int64)
+        return Queries(q[starts], np.append(starts, len(q)), coded.indices.to_numpy().astype(np.int32), w, coded.dictionary.cast(pa.large_binary()), np.zeros(len(starts)))
+
+    def groups(self) -> list[tuple[int, int]]:
+        """Queries that are scored together: at most QUERIES, of about QUERY_TERMS terms."""
+        out, at = [], 0
+        while at < len(self.ids):
+            last = int(np.searchsorted(self.starts, self.starts[at] + QUERY_TERMS, side="right")) - 1
+            last = min(max(at + 1, last), at + QUERIES, len(self.ids))
+            out.append((at, last))
+            at = last
+        return out
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), then those of first[1], and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Shard:
+    """A row of the index, made ready for a block of queries."""
+
+    def __init__(self, row: dict, words: pa.Array, mean: float):
+        self.n = n = row["n"]
+        self.doc, tf = np.frombuffer(row["docs"], np.uint16).astype(np.int64), np.frombuffer(row["tfs"], np.int32)
+        self.ids, length, starts = (np.frombuffer(row[c], np.int64) for c in ("ids", "lengths", "starts"))
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1e-9)))
+        offsets = np.concatenate(([0], np.frombuffer(row["token_ends"], np.int64)))
+        tokens = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(row["tokens"])])
+        #: of each word of the queries, its number in the shard, or -1
+        self.here = pc.fill_null(pc.index_in(words, value_set=tokens), -1).to_numpy().astype(np.int64)
+        df = np.diff(starts)
+        dense = np.flatnonzero(df >= max(2, DENSE * n))
+        self.column = np.full(len(df) + 1, -1)
+        self.column[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((n, len(dense)))
+        post = _spread(starts[dense], df[dense])
+        self.matrix[self.doc[post], np.repeat(np.arange(len(dense)), df[dense])] = self.impact[post]
+        self.blocks = np.arange(0, n, BLOCK)
+        self.tops = np.maximum.reduceat(self.matrix, self.blocks, axis=0)
+        #: Entries: the stretches of each posting list within a block, and their largest impact.
+        term = np.repeat(np.arange(len(df)), df)
+        block = self.doc // BLOCK
+        self.entry = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        self.entry_block = block[self.entry]
+        self.entry_top = np.maximum.reduceat(self.impact, self.entry) if len(term) else np.zeros(0)
+        self.entry_size = np.diff(np.append(self.entry, len(term)))
+        self.of_term = np.searchsorted(self.entry, starts)
+
+
+def search_shard(shard: Shard, queries: Queries, k: int, skipped: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For the queries, QUERIES at a time: places in the block of queries, ids and scores of the shard's documents that may be among a query's k best, at most k a query, best first.
+
+    Block-max pruning over all terms: a query's bound in a block is the sum of its terms' largest impacts there, of posting lists and of matrix columns. The k-th best score
+    that is known for a query is its threshold: that of the shards searched before or, without one, of the two blocks with the highest bounds.
+    Blocks whose bound is below it are skipped with all their postings; in the others all documents are scored in double precision. `skipped` is told how many postings were passed over and scored.
     """
-    n = row["n"]
-    doc, tf = np.frombuffer(row["docs"], np.uint16).astype(np.int64), np.frombuffer(row["tfs"], np.int32)
-    ids, length, starts = (np.frombuffer(row[c], np.int64) for c in ("ids", "lengths", "starts"))
-    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean, 1e-9)))
-    names = _tokens(row["tokens"], np.frombuffer(row["token_ends"], np.int64))
-    known = queries.vocabulary
-    here = np.full(len(known), -1)
-    for t, name in enumerate(names):
-        if (v := known.get(name)) is not None:
-            here[v] = t
-    df = np.diff(starts)
-    dense = np.flatnonzero(df >= max(2, DENSE * n))
-    column = np.full(len(names) + 1, -1)
-    column[dense] = np.arange(len(dense))
-    matrix = np.zeros((n, len(dense)))
-    for c, t in enumerate(dense.tolist()):
-        s = slice(starts[t], starts[t + 1])
-        matrix[doc[s], c] = impact[s]
-    blocks = np.arange(0, n, BLOCK)
-    tops = np.maximum.reduceat(matrix, blocks, axis=0)
-    for at in range(0, len(queries.ids), QUERIES):
-        last = min(at + QUERIES, len(queries.ids))
+    n, nb = shard.n, len(shard.blocks)
+    for part, (at, last) in enumerate(queries.groups()):
+        rows = last - at
         entry = slice(queries.starts[at], queries.starts[last])
-        q = np.repeat(np.arange(last - at), np.diff(queries.starts[at : last + 1]))
-        t, w = here[queries.terms[entry]], queries.weights[entry]
-        is_dense = column[t] >= 0
-        is_rare = (t >= 0) & ~is_dense
-        common = np.zeros((last - at, len(dense)))
-        common[q[is_dense], column[t[is_dense]]] = w[is_dense]
-        q, t, w = q[is_rare], t[is_rare], w[is_rare]
-        score = np.zeros((last - at) * n)
-        size = df[t]
-        edge = np.concatenate(([0], np.cumsum(size)))
-        a = 0
-        while a < len(t):  # some millions of postings at a time
-            b = max(a + 1, int(np.searchsorted(edge, edge[a] + (1 << 19), side="right")) - 1)
-            m = size[a:b]
-            post = np.repeat(starts[t[a:b]] - (edge[a:b] - edge[a]), m) + np.arange(edge[b] - edge[a])
-            score += np.bincount(np.repeat(q[a:b] * n, m) + doc[post], np.repeat(w[a:b], m) * impact[post], minlength=len(score))
-            a = b
-        score = score.reshape(last - at, n)
-        bound = np.maximum.reduceat(score, blocks, axis=1) + common @ tops.T
-        best = _top(score, k)
-        least = np.take_along_axis(score, best, 1).min(axis=1) if n >= k else np.zeros(last - at)
-        found_s, found_d = np.full((last - at, k), -1.0), np.zeros((last - at, k), np.int64)
-        for b in np.argsort(-bound.max(axis=0)).tolist():
-            rows = np.flatnonzero((bound[:, b] * (1 + 1e-9) >= least) & (bound[:, b] > 0))
-            if not len(rows):
-                continue
-            s = slice(blocks[b], min(n, blocks[b] + BLOCK))
-            full = np.round(score[rows, s] + common[rows] @ matrix[s].T, 8)
-            # of equal scores the lower id first, within the block and against what was found
-            ranked = np.concatenate((found_s[rows], full), axis=1)
-            docs_ = np.concatenate((found_d[rows], np.broadcast_to(ids[s], full.shape)), axis=1)
-            cut_at = -np.partition(-ranked, k - 1, axis=1)[:, k - 1]
-            for r in range(len(rows)):
-                pick = np.flatnonzero(ranked[r] >= cut_at[r])
-                pick = pick[np.lexsort((docs_[r, pick], -ranked[r, pick]))[:k]]
-                found_s[rows[r]], found_d[rows[r]] = ranked[r, pick], docs_[r, pick]
-            least[rows] = np.maximum(least[rows], found_s[rows, k - 1])
-        yield np.arange(at, last), found_d, np.maximum(found_s, 0)
+        q = np.repeat(np.arange(rows), np.diff(queries.starts[at : last + 1]))
+        t, w = shard.here[queries.terms[entry]], queries.weights[entry]
+        is_dense = shard.column[t] >= 0
+        common = np.zeros((rows, shard.matrix.shape[1]))
+        common[q[is_dense], shard.column[t[is_dense]]] = w[is_dense]
+        rare = (t >= 0) & ~is_dense
+        q, t, w = q[rare], t[rare], w[rare]
+        size = shard.of_term[t + 1] - shard.of_term[t]
+        e, qe, we = _spread(shard.of_term[t], size), np.repeat(q, size), np.repeat(w, size)
+        cell = qe * nb + shard.entry_block[e]
+        bound = np.bincount(cell, we * shard.entry_top[e], minlength=rows * nb).reshape(rows, nb) + common @ shard.tops.T
+        bound = np.where(bound > 0, bound * (1 + 1e-9) + 1e-8, 0)
+
+        def scored(pick: np.ndarray, cell: np.ndarray = cell, e: np.ndarray = e, qe: np.ndarray = qe, we: np.ndarray = we, common: np.ndarray = common, rows: int = rows) -> np.ndarray:
+            """Scores of all documents of the picked (query, block) pairs, 0 elsewhere."""
+            go = pick.ravel()[cell]
+            m = shard.entry_size[e[go]]
+            post = _spread(shard.entry[e[go]], m)
+            out = np.bincount(np.repeat(qe[go] * n, m) + shard.doc[post], np.repeat(we[go], m) * shard.impact[post], minlength=rows * n).astype(np.float64).reshape(rows, n)
+            for b in np.flatnonzero(pick.any(axis=0)).tolist():
+                of, s = np.flatnonzero(pick[:, b]), slice(shard.blocks[b], min(n, shard.blocks[b] + BLOCK))
+                out[of, s] += common[of] @ shard.matrix[s].T
+            if skipped is not None:
+                skipped[0] += int(shard.entry_size[e[~go]].sum())
+                skipped[1] += int(m.sum())
+            return out
+
+        least = queries.least[at:last]
+        if not least.all():
+            first = np.zeros(bound.shape, bool)
+            np.put_along_axis(first, np.argsort(-bound, axis=1)[:, :2], least[:, None] == 0, 1)
+            some = scored(first)
+            least = np.maximum(least, np.round(-np.partition(-some, k - 1, axis=1)[:, k - 1], 8) if n >= k else 0)
+        score = scored((bound > 0) & (bound >= least[:, None]))
+        of, d = np.nonzero((score > 0) & (score >= least[:, None] - 1e-8))
+        found, ids = np.round(score[of, d], 8), shard.ids[d]
+        by = np.lexsort((ids, -found, of))
+        of, ids, found = of[by], ids[by], found[by]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        keep = (place < k) & (found > 0)
+        yield at + of[keep], ids[keep], found[keep], np.array([part])
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,57 +271,79 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_
     A query is the whole text: each word counts as often as it occurs. Document frequencies, the number of documents and their mean length are those of all
     `docs`; every shard is searched with them, so that merging the shards' k best is exact. Scores are rounded to 8 decimals; equal
     ones go by id. Documents without a common word are no results. A null or empty text matches nothing; a query without an id is left out;
-    repeated rows are documents each, and repeated queries are one. Query terms travel to the tasks in blocks of at most about BLOCK_TERMS; results return packed, and a
-    group of queries is merged shard by shard.
+    repeated rows are documents each; repeated queries are one, and different texts under one id are queries of their own, whose results stand under that id. Query terms travel
+    to the tasks in blocks of at most about BLOCK_TERMS: a block's queries are searched in FIRST_SHARDS shards, whose k-th best scores bound the search of all. The results of each block
+    are written to the shared folder before the next block travels.
     """
-    spark = docs.sparkSession
     index = build_index(docs, doc_id, text)
+    with settings(docs.sparkSession, arrow="4m", parquet="4"):  # a row of the index is some megabytes: few are held at a time
+        return _searched(index, query_terms(queries, doc_id, text), k)
+
+
+def _searched(index: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    spark = index.sparkSession
     n, total = index.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    terms = query_terms(queries, doc_id, text)
+    marks = [r.mark for r in index.select("mark").orderBy("mark").limit(FIRST_SHARDS).collect()]
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = cut(terms.join(document_counts(index), "token").select("q", "token", (F.col("qtf") * idf).alias("w")))
+    weighted = cut(terms.join(document_counts(index), "token").select("q", "h", "token", (F.col("qtf") * idf).alias("w")))
     blocks = max(1, -(-weighted.count() // BLOCK_TERMS))
-    mean, out = total / max(n, 1), None
+    mean, parts = total / max(n, 1), []
     for block in range(blocks):
-        given = spark.sparkContext.broadcast(Queries.of(weighted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toArrow()))
-        found = index.mapInArrow(_searcher(given, mean, k), "part int, q binary, doc binary, score binary")
-        merged = found.repartition("part").sortWithinPartitions("part").mapInArrow(_merger(k), "query_id long, rank int, doc_id long, score double")
-        out = merged if out is None else out.unionByName(merged)
-    return out
+        given = Queries.of(weighted.where(F.pmod(F.xxhash64("q", "h"), F.lit(blocks)) == block).toArrow())
+        if len(marks) == FIRST_SHARDS and len(given.ids):
+            shared = spark.sparkContext.broadcast(given)
+            for place, score in _merged(index.where(F.col("mark") <= marks[-1]), shared, mean, k).where(F.col("rank") == k).select("place", "score").collect():
+                given.least[place] = score
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(given)
+        parts.append(written(_merged(index, shared, mean, k).select("query_id", "rank", "doc_id", "score")))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _merged(index: DataFrame, given, mean: float, k: int) -> DataFrame:
+    found = index.mapInArrow(_searcher(given, mean, k), "part int, place binary, doc binary, score binary")
+    return found.repartition("part").sortWithinPartitions("part").mapInArrow(_merger(given, k), "place long, query_id long, rank int, doc_id long, score double")
 
 
 def _searcher(given, mean: float, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = given.value
-        for row in (r for batch in it for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
-            for places, docs, scores in search_shard(row, queries, mean, k) if len(queries.ids) else ():
-                cols = [[int(places[0]) // QUERIES], [queries.ids[places].tobytes()], [docs.tobytes()], [scores.tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if j else pa.int32()) for j, c in enumerate(cols)], names=["part", "q", "doc", "score"])
+        queries, shard = given.value, None
+        for batch, j in ((batch, j) for batch in it for j in range(batch.num_rows)):
+            if not len(queries.ids):
+                continue
+            shard = None  # one at a time
+            shard = Shard(batch.slice(j, 1).to_pylist()[0], queries.words, mean)
+            for place, doc, score, part in search_shard(shard, queries, k):
+                cols = [pa.array(part, pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (place.astype(np.int64), doc, score))]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "place", "doc", "score"])
 
     return run
 
 
-def _merger(k: int):
+def _merger(given, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, docs, scores = None, None, None, None
+        now, best = None, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def first(place: np.ndarray, doc: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+            by = np.lexsort((doc, -score, place))
+            place, doc, score = place[by], doc[by], score[by]
+            keep = np.arange(len(place)) - np.searchsorted(place, place) < k
+            return place[keep], doc[keep], score[keep]
 
         def done() -> pa.RecordBatch:
-            keep = scores > 0
-            doc = np.where(docs == _NO_ID, 0, docs)[keep]
-            cols = [pa.array(np.repeat(ids, k).reshape(-1, k)[keep]), pa.array(np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), docs.shape)[keep]), pa.array(doc, mask=(docs == _NO_ID)[keep]), pa.array(scores[keep])]
-            return pa.RecordBatch.from_arrays(cols, names=["query_id", "rank", "doc_id", "score"])
+            place, doc, score = best
+            rank = (np.arange(len(place)) - np.searchsorted(place, place) + 1).astype(np.int32)
+            cols = [pa.array(place), pa.array(given.value.ids[place]), pa.array(rank), pa.array(np.where(doc == _NO_ID, 0, doc), mask=doc == _NO_ID), pa.array(score)]
+            return pa.RecordBatch.from_arrays(cols, names=["place", "query_id", "rank", "doc_id", "score"])
 
         for batch in it:
-            for part, q, d, s in zip(*(c.to_pylist() for c in batch.columns)):
-                d, s = np.frombuffer(d, np.int64).reshape(-1, k), np.frombuffer(s, np.float64).reshape(-1, k)
-                if part != now:
-                    if now is not None:
-                        yield done()
-                    now, ids, docs, scores = part, np.frombuffer(q, np.int64), d, s
-                    continue
-                d, s = np.concatenate((docs, d), axis=1), np.concatenate((scores, s), axis=1)
-                order = np.lexsort((d, -s), axis=1)[:, :k]
-                docs, scores = np.take_along_axis(d, order, 1), np.take_along_axis(s, order, 1)
+            for part, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                got = [np.frombuffer(x, kind) for x, kind in zip(packed, (np.int64, np.int64, np.float64))]
+                if part != now and now is not None:
+                    yield done()
+                best = first(*got) if part != now else first(*(np.concatenate(x) for x in zip(best, got)))
+                now = part
         if now is not None:
             yield done()
 

@@ -17,9 +17,9 @@ from .simhash import SEED, hashes, links, majority
 #: Two sets are alike from a Jaccard similarity of LEAST[0] / LEAST[1]; whole numbers, so that no bound is rounded.
 LEAST = (4, 5)
 #: The share of the texts whose shingles are counted (of fewer texts than FEW all, about), and so many of the most frequent, to be tried last: a bound on what travels, not on what is found.
-SHARE, FEW, COMMON = 1 / 8, 16_384, 1_000_000
-#: Rounds in which the sets of a run are compared with a head, before all pairs that are left.
-ROUNDS = 8
+SHARE, FEW, COMMON = 1 / 4, 16_384, 1_000_000
+#: Turns in which the sets of a run are compared with a head, before all pairs that are left; and from the third turn on, so many heads for the runs of a group.
+ROUNDS, HEADS = 4, 8
 #: Digests a task remembers, so that copies are handed on about once a task.
 _SEEN = 200_000
 
@@ -115,14 +115,15 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _stars(least: tuple[int, int], turns: range):
-    """Pairs of fitting size and different components of each set of a (key, part) run with the run's heads, one for each turn: the set of least hash."""
+    """Pairs of fitting size and different components of each set of a (key, part) run with the run's heads, one for each turn: the set of least hash. From the third turn on the hash differs by the run's key, so that the sets of a group that shares many runs meet HEADS heads in a turn."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_runs(it, 5):
             start = _starts(rows)
             size, out = np.diff(np.append(start, len(rows))), []
             for turn in turns:
-                h = (rows[:, 3].view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (turn + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+                salt = (rows[:, 0].astype(np.uint64) % np.uint64(HEADS if turn > 1 else 1) + np.uint64(HEADS * turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                h = (rows[:, 3].astype(np.uint64) ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
                 h ^= h >> np.uint64(32)
                 head = np.repeat(np.lexsort((h, np.repeat(np.arange(len(start)), size)))[start], size)
                 n, m = rows[:, 2], rows[head, 2]

@@ -80,6 +80,14 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(docs, docs.where("doc_id % 50 = 0"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_pii": op2_pii,
@@ -91,6 +99,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
     "op10_search": op10_search,
+    "op11_negatives": op11_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": r"""
@@ -122,4 +131,16 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(17 + length(regexp_replace(role, '([\\>])', '\\\1', 'g')) + length(regexp_replace(text, '(\\|</?turn)', '\\\1', 'g')))::bigint as formatted_chars
 from c group by conv_id""",
+    "op11_negatives": r"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor, r.vec_id as id, a.label = r.label as same, list_sum(list_transform(list_zip(a.v, r.v), lambda x: x[1] * x[2]))::bigint as score
+  from v a join v r on a.vec_id % 100 = 0 and (a.label <> r.label or a.vec_id <> r.vec_id) and len(a.v) = len(r.v)),
+p as (select anchor, id, score from s where same qualify row_number() over (partition by anchor order by score desc, id) <= 5),
+n as (
+  select p.anchor, p.id as positive, p.score as positive_score, s.id as negative, s.score as negative_score, row_number() over (partition by p.anchor, p.id order by s.score desc, s.id) as rank
+  from p join s on s.anchor = p.anchor and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor as anchor_id, positive as positive_id, rank::int as rank, negative as negative_id, positive_score, negative_score from n where rank <= 10""",
 }

@@ -88,6 +88,13 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_pii": op2_pii,
@@ -100,6 +107,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_search": op10_search,
     "op11_negatives": op11_negatives,
+    "op12_repeats": op12_repeats,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": r"""
@@ -143,4 +151,13 @@ n as (
   select p.anchor, p.id as positive, p.score as positive_score, s.id as negative, s.score as negative_score, row_number() over (partition by p.anchor, p.id order by s.score desc, s.id) as rank
   from p join s on s.anchor = p.anchor and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
 select anchor as anchor_id, positive as positive_id, rank::int as rank, negative as negative_id, positive_score, negative_score from n where rank <= 10""",
+    "op12_repeats": r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select rid, doc_id, w, unnest(range(1, len(w) + 1)) as pos from d),
+x as (select rid, pos, w[pos] as word, case when pos + 34 <= len(w) then md5(array_to_string(w[pos : pos + 34], ' ')) end as h from p),
+r as (select h from x where h is not null group by h having count(*) > 1),
+y as (select x.rid, x.pos, x.word, r.h is not null as again from x left join r using (h)),
+z as (select rid, pos, word, coalesce(bool_or(again) over (partition by rid order by pos rows between 34 preceding and current row), false) as gone from y),
+k as (select rid, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by pos) filter (not gone) as kept from z group by rid)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256 from d left join k using (rid)""",
 }

@@ -95,6 +95,12 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_pii": op2_pii,
@@ -108,6 +114,7 @@ QUERIES = {
     "op10_search": op10_search,
     "op11_negatives": op11_negatives,
     "op12_repeats": op12_repeats,
+    "op13_divergence": op13_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": r"""
@@ -160,4 +167,23 @@ y as (select x.rid, x.pos, x.word, r.h is not null as again from x left join r u
 z as (select rid, pos, word, coalesce(bool_or(again) over (partition by rid order by pos rows between 34 preceding and current row), false) as gone from y),
 k as (select rid, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by pos) filter (not gone) as kept from z group by rid)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256 from d left join k using (rid)""",
+    "op13_divergence": r"""
+with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+t as (select i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from t group by all having count(distinct i) >= 3),
+c as (select lang, source, term, count(*) as n from t join kept using (lang, term) group by all),
+v as (select lang, count(*) as v from kept group by all),
+g as (select lang, source, coalesce(v, 0) as v, coalesce((select sum(n) from c where c.lang = x.lang and c.source = x.source), 0)::bigint as size from (select distinct lang, source from d) x left join v using (lang)),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (g.size + g.v) as p
+  from g join kept k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (select lang, term, 1 + 1000000000::hugeint * (sum(n) + 1)::hugeint // (sum(sum(n)) over (partition by lang) + count(*) over (partition by lang))::hugeint as q from c group by lang, term),
+f as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+o as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all select p.lang, p.source, 'term', p.term, ((p - q) * (p - q) // q)::bigint from p join q using (lang, term) where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from o)
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 200""",
 }

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..lineage import cut
-from . import rules, structure, supply
+from . import chains, rules, structure, supply
 from .rules import OTHER_RULES
 
-#: Chains as rows: (chain, rule, category, flag_a, flag_b). More rows make more chains.
+#: Chains as rows: (chain, rule, category, flag, flag, ...). More rows make more chains.
 CHAINS = fixed.CHAINS
 
 
@@ -64,81 +64,6 @@ def hidden_content(segments: DataFrame, found: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(c).drop("strong", "any")
 
 
-def linkage(a: str, b: str) -> Column:
-    """How closely two findings of a bundle belong together; a and b name structs. above: Markdown headings of the segment above the finding's line; on: whether it stands on one."""
-    x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
-    both_md = (x("source_kind") == "markdown") & (y("source_kind") == "markdown")
-    same = x("path") == y("path")
-    span = F.abs(x("line") - y("line"))
-    acts = x("context").isin("actionable_instruction", "executable_snippet") | y("context").isin("actionable_instruction", "executable_snippet")
-    between = F.when(x("line") < y("line"), y("above") - x("above") - x("on_heading").cast("int")).when(x("line") > y("line"), x("above") - y("above") - y("on_heading").cast("int")).otherwise(0)
-    points = [
-        (same, 1),
-        (same & (span <= 3), 3), (same & (span > 3) & (span <= 15), 2), (same & (span > 15) & (span <= 60), 1),
-        (both_md & same & (span > 3), -3),
-        ((x("source_kind") != "markdown") | (y("source_kind") != "markdown"), 2),
-        (acts, 1), (both_md & ~acts, -2),
-        (x("reference_example") & y("reference_example"), -3),
-        (x("segment_type").isin("code_fence", "html_comment") & y("segment_type").isin("code_fence", "html_comment"), -2),
-        (both_md & (x("segment_id") == y("segment_id")) & (between > 0), -2),
-        (x("hint") | y("hint"), -1),
-    ]
-    return sum((F.when(c, v).otherwise(0) for c, v in points), F.lit(0))
-
-
-#: Paths of reference material, in lower case, and headings.
-_HINT, _HEADING = r"/references/|/readme\.md$|/license\.txt$", r"^\s{0,3}#{1,6}\s+\S"
-_FACTS = ("finding_id", "path", "line", "context", "source_kind", "reference_example", "segment_type", "segment_id", "above", "on_heading", "hint")
-
-
-def headings(segments: DataFrame) -> DataFrame:
-    """(segment_id, headings): the lines of the file on which the Markdown headings of each segment stand."""
-    lines = F.transform(F.split("content", "\n"), lambda x, i: F.when(x.rlike(_HEADING), F.col("start_line") + i))
-    return segments.where((F.col("source_kind") == "markdown") & F.col("content").contains("#")).select("segment_id", F.array_compact(lines).alias("headings")).where("size(headings) > 0")
-
-
-def chain_pairs(found: DataFrame, heads: DataFrame | None = None, policy: tuple = CHAINS) -> DataFrame:
-    """(chain, rule_id, category, skill_id, a, b, score): pairs of a bundle's findings with a chain's two flags, without those that others outdo.
-
-    policy: rows of (chain, rule, category, flag_a, flag_b); more rows make more chains. heads: `headings` of the segments; without them no heading stands between two findings.
-    Of findings alike in all that linkage reads, the two smallest ids stand for all (two, since the parts must differ). Within a file those
-    are findings of one line; across files the file and line don't count, so a few findings a flag and bundle are left. A large bundle makes few pairs.
-    """
-    flags = [f for c in policy for f in c[3:]]
-    hint = F.lower("path").rlike(_HINT)
-    if heads is None:
-        found = found.withColumn("above", F.lit(0)).withColumn("on_heading", F.lit(False))
-    else:
-        found = found.join(heads, "segment_id", "left").withColumn("above", F.coalesce(F.size(F.filter("headings", lambda h: h < F.col("line"))), F.lit(0)))
-        found = found.withColumn("above", F.greatest("above", F.lit(0))).withColumn("on_heading", F.coalesce(F.array_contains("headings", F.col("line")), F.lit(False)))
-    rows = found.withColumn("hint", hint).select("skill_id", F.explode(F.array_distinct(F.filter(F.split("flags", ","), lambda f: f.isin(*flags)))).alias("flag"), *_FACTS)
-    policy = F.broadcast(found.sparkSession.createDataFrame(list(policy), "chain string, rule_id string, category string, flag_a string, flag_b string"))
-    facts = ["context", "source_kind", "reference_example", "segment_type", "hint"]
-    first = lambda *by: F.row_number().over(Window.partitionBy("skill_id", "flag", *by).orderBy("finding_id"))
-    near = rows.withColumn("n", first("path", "line", "segment_id", *facts)).where("n <= 2")
-    far = rows.withColumn("n", first("path", *facts)).where("n = 1").withColumn("n", first(*facts)).where("n <= 2")
-
-    def pairs(parts: DataFrame, same: bool) -> DataFrame:
-        part = F.struct(*_FACTS)
-        a = parts.select("skill_id", F.col("path").alias("path_a"), F.col("flag").alias("flag_a"), part.alias("a")).join(policy, "flag_a")
-        b = parts.select("skill_id", F.col("path").alias("path_b"), F.col("flag").alias("flag_b"), part.alias("b"))
-        if same:
-            joined = a.withColumnRenamed("path_a", "path").join(b.withColumnRenamed("path_b", "path"), ["skill_id", "path", "flag_b"])
-        else:
-            joined = a.join(b, ["skill_id", "flag_b"]).where("path_a <> path_b")
-        return joined.where("a.finding_id <> b.finding_id").select("chain", "rule_id", "category", "skill_id", "a", "b")
-
-    return pairs(near, True).unionByName(pairs(far, False)).withColumn("score", linkage("a", "b"))
-
-
-def chains(found: DataFrame, heads: DataFrame | None = None, least: int = 2, policy: tuple = CHAINS) -> DataFrame:
-    """Behaviour chains: per bundle and chain the best-linked pair of `least` points or more, of equal ones the one with the smallest ids. Pairs of Markdown reference examples are left out; two Markdown parts make it high, else it is critical."""
-    md = (F.col("a.source_kind") == "markdown") & (F.col("b.source_kind") == "markdown")
-    pairs = chain_pairs(found, heads, policy).where((F.col("score") >= least) & ~(md & F.col("a.reference_example") & F.col("b.reference_example")))
-    best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("skill_id", "chain").orderBy(F.desc("score"), "a.finding_id", "b.finding_id"))).where("n = 1")
-    return best.select("skill_id", "chain", "rule_id", "category", "score", F.when(md, "high").otherwise("critical").alias("severity"), F.col("a.finding_id").alias("part_a"), F.col("b.finding_id").alias("part_b"), F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"))
-
-
 _COLUMNS = ("finding_id", "skill_id", "path", "segment_id", "segment_type", "rule_id", "severity", "category", "flags", "soft", "line", "context", "source_kind", "reference_example", "bootstrap")
 
 
@@ -156,9 +81,9 @@ def all_findings(segments: DataFrame, policy: tuple = CHAINS, files: DataFrame |
     first = cut(first)
     hidden = hidden_content(segments, first)
     found = cut(first.select(*_COLUMNS, none).unionByName(hidden.select(*_COLUMNS, "references")))
-    linked = chains(found, headings(segments), policy=policy)
+    linked = chains.linked(found, chains.headings(segments), policy=policy)
     anchor = linked.select(
         F.md5(F.concat_ws("::", "skill_id", "rule_id").cast("binary")).alias("finding_id"), "skill_id", F.concat("skill_id", F.lit("/SKILL.md")).alias("path"), F.lit(None).cast("string").alias("segment_id"), F.lit("original").alias("segment_type"), "rule_id", "severity", "category",
-        F.lit(",").alias("flags"), F.lit(False).alias("soft"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("source_kind"), F.lit(False).alias("reference_example"), F.lit(False).alias("bootstrap"), F.array("part_a", "part_b").alias("references"),
+        F.lit(",").alias("flags"), F.lit(False).alias("soft"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("source_kind"), F.lit(False).alias("reference_example"), F.lit(False).alias("bootstrap"), F.col("parts").alias("references"),
     )
     return found.unionByName(anchor).withColumn("layer", F.lit("deterministic"))

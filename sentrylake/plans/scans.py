@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..lineage import cut
-from ..operators import postrules, rules, segments
+from ..operators import chains, postrules, rules, segments
 from ..sources import tables
 from . import twins
 
@@ -81,13 +81,29 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.with_normalized(docs, "content", "normal").select("path", F.md5(F.col("normal").cast("binary")).alias("digest"))
 
 
+#: Chains of more than two flags, for the query that shows them.
+LONG_CHAINS = (
+    ("Read, send and run", "X-19A", "data_exfiltration", "READ_SENSITIVE", "NETWORK_SEND", "EXEC_DYNAMIC"),
+    ("Silent persistence", "X-19B", "persistence", "SUPPRESSION_PRESENT", "WRITE_SYSTEM", "EXEC_DYNAMIC"),
+)
+
+
+def _parts_of_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return kept(spark, sf_dir, "findings").where("rule_id not like 'D-19%'"), chains.headings(kept(spark, sf_dir, "segments"))
+
+
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postrules.chains(kept(spark, sf_dir, "findings").where("rule_id not like 'D-19%'"), postrules.headings(kept(spark, sf_dir, "segments")))
+    part = lambda what, k: F.col(what)[k].alias(f"{what[:-1]}_{'ab'[k]}")
+    return chains.linked(*_parts_of_chains(spark, sf_dir)).select("skill_id", "chain", "rule_id", "category", "score", "severity", *(part(what, k) for what in ("parts", "paths") for k in (0, 1)))
+
+
+def _long_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chains.best_links(*_parts_of_chains(spark, sf_dir), policy=LONG_CHAINS)
+    return found.select("skill_id", "chain", "score", F.array_join("parts.finding_id", ",").alias("parts"), F.array_join("parts.path", ",").alias("paths"))
 
 
 def _linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = postrules.chain_pairs(kept(spark, sf_dir, "findings").where("rule_id not like 'D-19%'"), postrules.headings(kept(spark, sf_dir, "segments")))
-    return pairs.groupBy("skill_id", "chain").agg(F.max("score").alias("best"))
+    return chains.best_links(*_parts_of_chains(spark, sf_dir)).select("skill_id", "chain", F.col("score").alias("best"))
 
 
 def _hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +155,7 @@ QUERIES = {
     "hidden_content_provenance": _hidden,
     "behaviour_chains": _chains,
     "chain_linkage": _linkage,
+    "chain_n_way": _long_chains,
 } | {k: _rule_hits(*v)[0] for k, v in _HITS.items()}
 _soft_list = ", ".join(f"'{r}'" for r in fixed.SOFT_RULES)
 _cat = ", ".join(f"('{k}', '{c}')" for k, c in sorted({r.rule_id: r.category for r in rules.RULES}.items()) + sorted((r[0], r[2]) for r in rules.OTHER_RULES))
@@ -154,6 +171,7 @@ ORACLE_SQL = {
     "rules_enabled": twins.scan() + f", cat(rule_id, family) as (values {_cat}) select rule_id, family, count(*) as n from everything join cat using (rule_id) where case when rule_id = 'D-11A' then true when rule_id = 'D-9A' then false else family not in ('prompt_injection', 'suppression') end group by all",
     "hidden_content_provenance": twins.scan() + "select finding_id, path, rule_id, array_to_string(refs, ',') as supporting from everything where rule_id in ('D-21A', 'D-22A')",
     "behaviour_chains": twins.scan() + "select skill_id, chain, rule_id, category, score, severity, part_a, part_b, path_a, path_b from linked",
+    "chain_n_way": twins.scan() + ", " + twins.product(LONG_CHAINS) + " select skill_id, chain, score, parts, paths from chained",
     "chain_linkage": twins.scan() + "select skill_id, chain, max(score) as best from pairs group by all",
 } | {k: _rule_hits(*v)[1] for k, v in _HITS.items()}
 

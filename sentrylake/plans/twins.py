@@ -134,6 +134,39 @@ def _other(rule_id: str, source: str, no: str, match: str, line: str = "start_li
     return f"select skill_id, path, segment_id, segment_type, parent_id, '{rule_id}' as rule_id, 0 as pattern_no, {no} as match_no, {match} as match, {line} as line, context, source_kind, reference_example, bootstrap, '{severity}' as severity, '{category}' as category, ',' as flags, md5(segment_id || '::{rule_id}::' || {no} || '::' || {match}) as finding_id from {source}"
 
 
+def _nearest(k: int) -> str:
+    """Order among combinations of equal points: those in one file, by path and last line, each part nearest to it; else by paths, lines and ids."""
+    x = "abc"[:k]
+    one = " and ".join(f"path_{y} = path_a" for y in x[1:])
+    last = "greatest(" + ", ".join(f"line_{y}" for y in x) + ")"
+    each = ", ".join(f"case when {one} then '' else path_{y} end, case when {one} then -line_{y} else line_{y} end, part_{y}" for y in x)
+    return f"not ({one}), case when {one} then path_a else '' end, case when {one} then {last} else 0 end, {each}"
+
+
+def product(policy: tuple) -> str:
+    """Chains of three flags by comparing all their findings: a CTE `chained`."""
+    rows = ", ".join("(" + ", ".join(f"'{v}'" for v in c) + ")" for c in policy)
+    every = lambda what: " and ".join(f"({what.format(x)})" for x in "abc")
+    some = lambda what: " or ".join(f"({what.format(x)})" for x in "abc")
+    md, same = every("{0}.source_kind = 'markdown'"), "a.path = b.path and b.path = c.path"
+    least, most = (f"{f}(a.line, b.line, c.line)" for f in ("least", "greatest"))
+    acts = some("{0}.context in ('actionable_instruction', 'executable_snippet')")
+    between = f"regexp_matches(array_to_string(string_split(g.content, chr(10))[{least} - g.start_line + 2 : {most} - g.start_line], chr(10)), '(?m)^[ \\t]{{0,3}}#{{1,6}}[ \\t]+[^ \\t\\n]')"
+    points = [
+        (same, 1), (f"{same} and {most} - {least} <= 3", 3), (f"{same} and {most} - {least} between 4 and 15", 2), (f"{same} and {most} - {least} between 16 and 60", 1), (f"{md} and {same} and {most} - {least} > 3", -3), (f"not ({md})", 2), (acts, 1), (f"{md} and not ({acts})", -2),
+        (every("{0}.reference_example"), -3), (every("{0}.segment_type in ('code_fence', 'html_comment')"), -2), (f"{md} and a.segment_id = b.segment_id and b.segment_id = c.segment_id and {between}", -2),
+        (some("contains(lower({0}.path), '/references/') or lower({0}.path) like '%/readme.md' or lower({0}.path) like '%/license.txt'"), -1),
+    ]
+    score = " + ".join(f"(case when {c} then {v} else 0 end)" for c, v in points)
+    named = ", ".join(f"{x}.finding_id as part_{x}, {x}.path as path_{x}, {x}.line as line_{x}" for x in "abc")
+    joins = " ".join(f"join found {x} on contains({x}.flags, ',' || p.flag_{x} || ',')" + (f" and {x}.skill_id = a.skill_id" if x != "a" else "") for x in "abc")
+    return f"""long_policy(chain, rule_id, category, flag_a, flag_b, flag_c) as (values {rows}),
+triples as (select p.chain, a.skill_id, {named}, {score} as score from long_policy p {joins} left join ctx g on g.segment_id = a.segment_id
+  where a.finding_id <> b.finding_id and b.finding_id <> c.finding_id and a.finding_id <> c.finding_id),
+chained as (select skill_id, chain, score, concat_ws(',', part_a, part_b, part_c) as parts, concat_ws(',', path_a, path_b, path_c) as paths
+  from (select * from triples qualify row_number() over (partition by skill_id, chain order by score desc, {_nearest(3)}) = 1))"""
+
+
 def _post() -> str:
     supports = "(category in ('prompt_injection', 'obfuscation', 'suppression') or rule_id in ('D-10A', 'D-17A') or starts_with(rule_id, 'D-19'))"
     a, b = "a.", "b."
@@ -161,9 +194,9 @@ found as materialized (select * exclude (parent_id, pattern_no, match_no, match)
   union all select * exclude (parent_id, pattern_no, match_no, match, strong), strong from (select x.*, strong from ({_other('D-21A', "(select * from hidden where segment_type = 'html_comment')", '0', "''")}) x join hidden using (segment_id))
   union all select * exclude (parent_id, pattern_no, match_no, match, strong), strong from (select x.*, strong from ({_other('D-22A', "(select * from hidden where segment_type = 'code_fence')", '0', "''")}) x join hidden using (segment_id))),
 chain_policy(chain, rule_id, category, flag_a, flag_b) as (values {policy}),
-pairs as (select c.chain, c.rule_id, c.category, a.skill_id, a.finding_id as part_a, b.finding_id as part_b, a.path as path_a, b.path as path_b, {score} as score, {both_md} as md, {both_md} and {a}reference_example and {b}reference_example as only_refs
+pairs as (select c.chain, c.rule_id, c.category, a.skill_id, a.finding_id as part_a, b.finding_id as part_b, a.path as path_a, b.path as path_b, a.line as line_a, b.line as line_b, {score} as score, {both_md} as md, {both_md} and {a}reference_example and {b}reference_example as only_refs
   from chain_policy c join found a on contains(a.flags, ',' || c.flag_a || ',') join found b on contains(b.flags, ',' || c.flag_b || ',') and a.skill_id = b.skill_id and a.finding_id <> b.finding_id left join ctx g on g.segment_id = a.segment_id),
-linked as materialized (select *, case when md then 'high' else 'critical' end as severity from pairs where score >= 2 and not only_refs qualify row_number() over (partition by skill_id, chain order by score desc, part_a, part_b) = 1),
+linked as materialized (select *, case when md then 'high' else 'critical' end as severity from (select * from pairs qualify row_number() over (partition by skill_id, chain order by score desc, {_nearest(2)}) = 1) where score >= 2 and not only_refs),
 everything as materialized (select finding_id, skill_id, path, segment_id, segment_type, rule_id, severity, category, flags, line, context, source_kind, reference_example, bootstrap, refs from found
   union all select md5(skill_id || '::' || rule_id), skill_id, skill_id || '/SKILL.md', null, 'original', rule_id, severity, category, ',', 1, null, null, false, false, [part_a, part_b] from linked)"""
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrylake.functions import text
-from sentrylake.operators import models, postrules, rules, segments, structure
+from sentrylake.operators import chains, models, postrules, rules, segments, structure
 from sentrylake.sources import files, sinks, tables
 
 
@@ -94,7 +94,8 @@ def test_hidden_content_and_chains(spark):
     assert len(chain.references) == 2 and {r.rule_id for r in everything if r.finding_id in chain.references} == {"D-7A", "D-9A"}
     many = artifacts(spark, *["open('.env').read()\n" * 40 + "requests.post('http://x.test')\n" * 40] * 3, suffix="py")
     seg = segments.with_context(segments.expand(many))
-    assert postrules.chain_pairs(rules.evaluate(seg)).count() < 20_000
+    best = {(r.skill_id, r.chain): r for r in chains.best_links(rules.evaluate(seg)).collect()}
+    assert len(best) == 1 and all(r.score == 6 and len(r.parts) == 2 for r in best.values())
 
 
 def _score(spark, rows):
@@ -243,7 +244,7 @@ def _linked(spark, rows):
     out = [(f"{k:032x}", "b", p, p, n, c, s, r, t, f",{f},") for k, ((p, n, c, s, r, t), f) in enumerate(zip(rows, ("READ_SENSITIVE", "NETWORK_SEND")))]
     found = spark.createDataFrame(out, "finding_id string, skill_id string, path string, segment_id string, line int, context string, source_kind string, reference_example boolean, segment_type string, flags string")
     heads = spark.createDataFrame([("b/x.md", [7, 20])], "segment_id string, headings array<int>")
-    return [r.score for r in postrules.chain_pairs(found, heads).collect()]
+    return [r.score for r in chains.best_links(found, heads).collect()]
 
 
 @pytest.mark.parametrize(

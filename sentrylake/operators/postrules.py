@@ -19,7 +19,7 @@ def _finding(df: DataFrame, rule_id: str, line: Column, match: Column, no: Colum
     _, severity, category, _ = next(r for r in OTHER_RULES if r[0] == rule_id)
     no = F.lit(0) if no is None else no
     return df.withColumns({
-        "rule_id": F.lit(rule_id), "pattern_no": F.lit(0), "match_no": no.cast("int"), "match": match, "line": line.cast("int"), "severity": F.lit(severity), "category": F.lit(category), "flags": F.lit(","), "soft": F.lit(rule_id in fixed.SOFT_RULES),
+        "rule_id": F.lit(rule_id), "pattern_no": F.lit(0), "match_no": no.cast("int"), "match": match, "line": line.cast("int"), "column": F.lit(None).cast("int"), "severity": F.lit(severity), "category": F.lit(category), "flags": F.lit(","), "soft": F.lit(rule_id in fixed.SOFT_RULES),
         "finding_id": F.md5(F.concat_ws("::", "segment_id", F.lit(rule_id), no.cast("string"), match).cast("binary")),
     })
 
@@ -64,7 +64,7 @@ def hidden_content(segments: DataFrame, found: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(c).drop("strong", "any")
 
 
-_COLUMNS = ("finding_id", "skill_id", "path", "segment_id", "segment_type", "rule_id", "severity", "category", "flags", "soft", "line", "context", "source_kind", "reference_example", "bootstrap")
+_COLUMNS = ("finding_id", "skill_id", "path", "segment_id", "segment_type", "rule_id", "severity", "category", "flags", "soft", "line", "column", "context", "source_kind", "reference_example", "bootstrap")
 
 
 def all_findings(segments: DataFrame, policy: tuple = CHAINS, files: DataFrame | None = None) -> DataFrame:
@@ -84,6 +84,6 @@ def all_findings(segments: DataFrame, policy: tuple = CHAINS, files: DataFrame |
     linked = chains.linked(found, chains.headings(segments), policy=policy)
     anchor = linked.select(
         F.md5(F.concat_ws("::", "skill_id", "rule_id").cast("binary")).alias("finding_id"), "skill_id", F.concat("skill_id", F.lit("/SKILL.md")).alias("path"), F.lit(None).cast("string").alias("segment_id"), F.lit("original").alias("segment_type"), "rule_id", "severity", "category",
-        F.lit(",").alias("flags"), F.lit(False).alias("soft"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("source_kind"), F.lit(False).alias("reference_example"), F.lit(False).alias("bootstrap"), F.col("parts").alias("references"),
+        F.lit(",").alias("flags"), F.lit(False).alias("soft"), F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("source_kind"), F.lit(False).alias("reference_example"), F.lit(False).alias("bootstrap"), F.col("parts").alias("references"),
     )
     return found.unionByName(anchor).withColumn("layer", F.lit("deterministic"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, prefilter, text
+from .positions import located
 
 _WRITE = r"(?:write|append|install|replace|save|drop|update|tee|echo|cat >|touch)"
 _COPY = r"(?:write|append|install|replace|save|drop|update|tee|echo|cat >|touch|copy|sync|mirror|replicate|clone)"
@@ -164,37 +165,43 @@ def _table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, _TRIED))
 
 
-def _matches() -> Column:
-    """Every match of the column `pattern` in `content` that passes the tests in the row: (match_no, match, line_no). Counts of line ends are added up as numbers; no prefix of the text is built."""
-    content, pattern = F.col("content"), F.col("pattern")
-    found, pieces = F.regexp_extract_all(content, pattern, F.lit(0)), F.split(content, pattern, -1)
-    ends, own = F.transform(pieces, text.newlines), F.transform(found, text.newlines)
-    total = lambda counts, n: F.aggregate(F.slice(counts, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    line = lambda m, i: 1 + total(ends, i + 1) + total(own, i) + F.when(m.startswith("\n"), 1).otherwise(0)
-    out = F.transform(found, lambda m, i: F.struct(i.alias("match_no"), m.alias("match"), line(m, i).alias("line_no")))
-    text_of = lambda x: F.element_at(F.split(content, "\n", -1), x["line_no"])
-    passes = lambda tested, pattern, wanted: F.coalesce(F.regexp_like(tested, pattern) == wanted, F.lit(True))
-    out = F.when(F.col("not_match").isNull(), out).otherwise(F.filter(out, lambda x: passes(x["match"], F.col("not_match"), False)))
-    lines = F.col("line_like").isNotNull() | F.col("not_line").isNotNull()
-    return F.when(~lines, out).otherwise(F.filter(out, lambda x: passes(text_of(x), F.col("line_like"), True) & passes(text_of(x), F.col("not_line"), False)))
-
-
-def evaluate(segments: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row for each finding of the text rules in segments with context: the segment's columns but its content, and rule_id, pattern_no, match_no, match, line, severity, category and flags.
-
-    All patterns are tried in one projection, each on texts that hold the words it needs (`prefilter`); it gives the numbers of those that match. Only for these, a few rows, matches and their lines
-    are taken from the text, by one expression that reads the pattern from the broadcast table of patterns. What leaves that stage holds no text.
-    """
-    c, keep = F.col("content"), [x for x in segments.columns if x not in ("content", "self_limiting")]
+def _tried(segments: DataFrame, rules: tuple[Rule, ...], keep: list[str]) -> DataFrame:
+    """(keep, content, told, k): a row for each segment and pattern of the rules that matches it. All patterns are tried in one projection, each on texts that hold the words it needs (`prefilter`)."""
+    c = F.col("content")
     segments = segments.withColumn("lowered", F.lower(c))
     segments = segments.withColumn("self_limiting", F.col("lowered").contains("user") & c.rlike(USER_PRIORITY) & c.rlike(USER_CONTROL))
     # a match of the text within the manifest's description is that of the description's own segment
     told = F.when((F.col("segment_type") == "original") & F.col("path").rlike(text.MANIFEST), text.description(c)[1])
     hits = [F.when(_holds(r, p, c, F.col("lowered")), F.lit(k)) for k, (r, _, p) in enumerate(patterns(rules))]
-    out = segments.select(*keep, "content", told.alias("told"), F.explode(F.array_compact(F.array(*hits))).alias("k")).join(_table(segments.sparkSession, rules), "k")
-    out = out.withColumn("found", _matches()).select(*keep, "told", "rule_id", "pattern_no", F.explode(F.when(F.col("once"), F.slice("found", 1, 1)).otherwise(F.col("found"))).alias("m"))
-    out = out.where(~(F.col("rule_id").startswith("D-11") & F.coalesce(F.col("m.line_no") == F.col("told"), F.lit(False))))
-    out = out.select(*keep, "rule_id", "pattern_no", F.col("m.match_no"), F.substring("m.match", 1, 200).alias("match"), (F.col("start_line") + F.col("m.line_no") - 1).cast("int").alias("line"))
+    return segments.select(*keep, "content", told.alias("told"), F.explode(F.array_compact(F.array(*hits))).alias("k"))
+
+
+def evaluate(segments: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row for each finding of the text rules in segments with context: the segment's columns but its content, and rule_id, pattern_no, match_no, match, line, column, severity, category and flags.
+
+    One projection gives the numbers of the patterns that match a segment. Only for these, a few rows, matches and their places are taken from the text (`positions.located`), by one expression that
+    reads the pattern from the broadcast table of patterns. The few rules that look at a match's line meet the lines of their segments by number. A column counts characters of the segment's line.
+    """
+    keep = [x for x in segments.columns if x not in ("content", "self_limiting")]
+    plain, lined = (tuple(r for r in rules if bool(r.line or r.not_line) is x) for x in (False, True))
+    found: list[DataFrame] = []
+    if plain:
+        hits = _tried(segments, plain, keep).join(_table(segments.sparkSession, plain), "k")
+        found.append(located(hits, "content", F.col("pattern"), ["segment_id", "k"], first=F.col("once") & F.col("not_match").isNull()))
+    if lined:
+        hits = _tried(segments, lined, keep).join(_table(segments.sparkSession, lined), "k")
+        lines = hits.select("segment_id", "k", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
+        at = located(hits, "content", F.col("pattern"), ["segment_id", "k"]).join(lines, ["segment_id", "k", "line_no"])
+        passes = lambda pattern, wanted: F.coalesce(F.regexp_like("text", F.col(pattern)) == wanted, F.lit(True))
+        found.append(at.where(passes("line_like", True) & passes("not_line", False)).drop("text"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = out.where(F.coalesce(~F.regexp_like("match", F.col("not_match")), F.lit(True)))
+    nth = F.row_number().over(Window.partitionBy("segment_id", "k").orderBy("match_no"))
+    out = out.withColumn("nth", F.when(F.col("once"), nth).otherwise(1)).where("nth = 1")
+    out = out.where(~(F.col("rule_id").startswith("D-11") & F.coalesce(F.col("line_no") == F.col("told"), F.lit(False))))
+    out = out.select(*keep, "rule_id", "pattern_no", "match_no", F.substring("match", 1, 200).alias("match"), (F.col("start_line") + F.col("line_no") - 1).cast("int").alias("line"), F.col("column_no").alias("column"))
     return described(out, rules)
 
 
@@ -221,7 +228,7 @@ def described(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def custom(segments: DataFrame, rules: DataFrame, most_rules: int = 10_000, at_once: int = 200) -> DataFrame:
-    """Findings of user rules (rule_id, pattern, severity, category): every match, read as case-insensitive; a rule with a null pattern finds nothing.
+    """Findings of user rules (rule_id, pattern, severity, category): every match, read as case-insensitive, with its line and column in the segment; a rule with a null pattern finds nothing, nor does a match of no characters count.
 
     The rules are gathered, `most_rules` at most (more are an error), and tried like the built-in ones, `at_once` in a projection.
     """
@@ -230,11 +237,11 @@ def custom(segments: DataFrame, rules: DataFrame, most_rules: int = 10_000, at_o
         raise ValueError(f"more than {most_rules} user rules")
     given = sorted(given, key=lambda r: (str(r.rule_id), r.pattern))
     c, out = F.col("content"), None
-    segments = segments.withColumn("lowered", F.lower("content"))
+    segments = segments.select("skill_id", "path", "segment_id", "content", F.lower("content").alias("lowered"))
+    table = F.broadcast(segments.sparkSession.createDataFrame([(k, r.rule_id, f"(?i){r.pattern}", r.severity, r.category) for k, r in enumerate(given)], "k int, rule_id string, pattern string, severity string, category string"))
     for at in range(0, max(1, len(given)), at_once):
-        found = [F.when(prefilter.found(c, F.col("lowered"), f"(?i){r.pattern}"), F.struct(*(F.lit(r[k]).cast("string").alias(k) for k in ("rule_id", "severity", "category")), F.regexp_extract_all(c, F.lit(f"(?i){r.pattern}"), F.lit(0)).alias("found"))) for r in given[at : at + at_once]]
-        none = F.lit(None).cast("struct<rule_id:string,severity:string,category:string,found:array<string>>")
-        hits = segments.select("skill_id", "path", "segment_id", F.explode(F.array_compact(F.array(none, *found))).alias("hit"))
-        hits = hits.select("skill_id", "path", "segment_id", "hit.rule_id", "hit.severity", "hit.category", F.posexplode("hit.found").alias("match_no", "match"))
+        tried = [F.when(prefilter.found(c, F.col("lowered"), f"(?i){r.pattern}"), F.lit(k)) for k, r in enumerate(given[at : at + at_once], at)]
+        hits = segments.select("skill_id", "path", "segment_id", "content", F.explode(F.array_compact(F.array(F.lit(None).cast("int"), *tried))).alias("k"))
         out = hits if out is None else out.unionByName(hits)
-    return out
+    found = located(out.join(table, "k"), "content", F.col("pattern"), ["segment_id", "k"]).where("match <> ''")
+    return found.select("skill_id", "path", "segment_id", "rule_id", "severity", "category", "match_no", "match", F.col("line_no").alias("line"), F.col("column_no").alias("column"))

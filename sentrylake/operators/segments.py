@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, prefilter, text
 from ..lineage import cut
+from .positions import located
 
 FENCE = r"(?s)```([^\n`]*)\n(.*?)\n```"
 _FENCE0 = r"```[^\n`]*\n.*?\n```"
@@ -30,43 +31,33 @@ def original(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def _before(content: Column, pattern: str, i: Column) -> Column:
-    """Number of line ends before the i-th match, counted from 0: counts of the pieces are added up, no prefix is built."""
-    ends = F.transform(F.split(content, pattern, -1), text.newlines)
-    own = F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), text.newlines)
-    total = lambda counts, n: F.aggregate(F.slice(counts, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    return total(ends, i + 1) + total(own, i)
-
-
-def _child(kind: str, no: int, i: Column, content: Column, line: Column, language: Column | None = None) -> Column:
-    return F.struct(F.lit(kind).alias("segment_type"), (F.lit(no * 1_000_000_000) + i).cast("long").alias("ordinal"), content.alias("content"), line.cast("int").alias("start_line"), (F.lit("") if language is None else language).alias("language"))
-
-
 def children(parents: DataFrame) -> DataFrame:
-    """Code fences, comments outside fences, decoded base64 outside both, ROT13 where the text speaks of it, and the description of a manifest's frontmatter."""
-    c, line = F.col("content"), F.col("start_line")
-    every = lambda p, g=0: F.regexp_extract_all(c, F.lit(p), F.lit(g))
-    none = F.array().cast("array<struct<segment_type:string,ordinal:bigint,content:string,start_line:int,language:string>>")
-    fences = F.transform(F.arrays_zip(every(FENCE, 2).alias("b"), every(FENCE, 1).alias("l")), lambda x, i: _child("code_fence", 0, i, x["b"], line + _before(c, FENCE, i) + 1, F.lower(F.trim(x["l"]))))
-    comments = F.transform(every(FENCE_OR_COMMENT), lambda x, i: _child("html_comment", 1, i, F.when(x.startswith("<!--"), F.substr(x, F.lit(5), F.length(x) - 7)), line + _before(c, FENCE_OR_COMMENT, i)))
-    decoded = lambda x: F.when(x.rlike(BASE64) & (F.length(x) % 4 == 0) & (F.length(x) <= MOST_CHARS * 4 // 3), F.try_to_binary(x, F.lit("base64")).cast("string"))
-    codes = F.transform(every(FENCE_COMMENT_OR_CODE), lambda x, i: _child("base64_decode", 2, i, F.when(~x.startswith("`") & ~x.startswith("<"), decoded(x)), line + _before(c, FENCE_COMMENT_OR_CODE, i)))
-    codes = F.filter(codes, lambda x: x["content"].isNotNull() & F.is_valid_utf8(x["content"]) & (F.length(x["content"]) > 0))
-    rotated = F.array(_child("rot13", 3, F.lit(0), F.translate(c, *ROT13), line))
+    """Code fences, comments outside fences, decoded base64 outside both, ROT13 where the text speaks of it, and the description of a manifest's frontmatter. Each kind is looked for in texts with its signs only; places come from `positions.located`."""
+    c = F.col("content")
+    may = parents.where((F.col("file_type") == "markdown") & F.col("segment_type").isin("original", "html_comment", "code_fence"))
+
+    def matched(sign: Column, pattern: str, keep: Column | None = None) -> DataFrame:
+        out = located(may.where(sign), "content", F.lit(pattern), ["segment_id"]).withColumn("line", F.col("start_line") + F.col("line_no") - 1)
+        return (out if keep is None else out.where(keep)).drop("offset", "line_no", "column_no")
+
+    def child(rows: DataFrame, kind: str, no: int, i: Column, content: Column, line: Column, language: Column | None = None) -> DataFrame:
+        ordinal = (F.lit(no * 1_000_000_000) + i).cast("long")
+        return rows.select(
+            "skill_id", "path", "file_type", segment_id(F.col("segment_id"), F.lit(kind), ordinal.cast("string")).alias("segment_id"), F.lit(kind).alias("segment_type"), content.alias("content"), line.cast("int").alias("start_line"), (F.lit("") if language is None else language).alias("language"),
+            (F.col("depth") + 1).alias("depth"), F.col("segment_id").alias("parent_id"), F.concat("ancestors", F.array("segment_id")).alias("ancestors"), F.concat("key", F.array(ordinal)).alias("key"), F.concat("chain", F.array(F.lit(kind))).alias("chain"),
+        )
+
+    i, m, line = F.col("match_no"), F.col("match"), F.col("line")
+    fences = child(matched(c.contains("```"), FENCE), "code_fence", 0, i, F.regexp_extract(m, FENCE, 2), line + 1, F.lower(F.trim(F.regexp_extract(m, FENCE, 1))))
+    comments = child(matched(c.contains("<!--"), FENCE_OR_COMMENT, m.startswith("<!--")), "html_comment", 1, i, F.substr(m, F.lit(5), F.length(m) - 7), line)
+    codes = matched(c.rlike("[A-Za-z0-9+/]{16}"), FENCE_COMMENT_OR_CODE, m.rlike(BASE64) & (F.length(m) % 4 == 0) & (F.length(m) <= MOST_CHARS * 4 // 3))
+    codes = codes.withColumn("decoded", F.try_to_binary(m, F.lit("base64")).cast("string")).where(F.is_valid_utf8("decoded") & (F.length("decoded") > 0))
+    first = F.row_number().over(Window.partitionBy("segment_id").orderBy("match_no"))
+    codes = child(codes.withColumn("n", first).where(F.col("n") <= MOST_DECODED), "base64_decode", 2, i, F.col("decoded"), line)
+    rotated = child(may.where(c.rlike("(?i)rot_?13")), "rot13", 3, F.lit(0), F.translate(c, *ROT13), F.col("start_line"))
     told, told_line = text.description(c)
-    parts = F.concat(
-        F.when(c.contains("```"), fences).otherwise(none),
-        F.when(c.contains("<!--"), F.filter(comments, lambda x: x["content"].isNotNull())).otherwise(none),
-        F.when(c.rlike("[A-Za-z0-9+/]{16}"), F.slice(codes, 1, MOST_DECODED)).otherwise(none),
-        F.when(c.rlike("(?i)rot_?13"), rotated).otherwise(none),
-        F.when((F.col("segment_type") == "original") & F.col("path").rlike(text.MANIFEST) & told.isNotNull(), F.array(_child("frontmatter_description", 4, F.lit(0), told, told_line))).otherwise(none),
-    )
-    may = (F.col("file_type") == "markdown") & F.col("segment_type").isin("original", "html_comment", "code_fence")
-    out = parents.where(may).withColumn("x", F.explode(parts))
-    return out.select(
-        "skill_id", "path", "file_type", segment_id(F.col("segment_id"), F.col("x.segment_type"), F.col("x.ordinal").cast("string")).alias("segment_id"), "x.segment_type", "x.content", "x.start_line", "x.language",
-        (F.col("depth") + 1).alias("depth"), F.col("segment_id").alias("parent_id"), F.concat("ancestors", F.array("segment_id")).alias("ancestors"), F.concat("key", F.array("x.ordinal")).alias("key"), F.concat("chain", F.array("x.segment_type")).alias("chain"),
-    )
+    described = child(may.where((F.col("segment_type") == "original") & F.col("path").rlike(text.MANIFEST) & told.isNotNull()), "frontmatter_description", 4, F.lit(0), told, told_line)
+    return fences.unionByName(comments).unionByName(codes).unionByName(rotated).unionByName(described)
 
 
 def expand(artifacts: DataFrame, depth: int = 3, most: int = MOST_SEGMENTS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..lineage import cut
-from ..operators import chains, postrules, rules, segments
+from ..operators import changes, chains, postrules, rules, segments
 from ..sources import tables
 from . import twins
 
@@ -44,6 +44,40 @@ def _changes_sql() -> str:
     return f"with {twins.artifacts()}, c as ({' union all '.join(parts)}) select change, count(*) as files, sum(n)::bigint as changes from c where n > 0 group by change"
 
 
+def norm_delta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.changes(tables.planted(spark, sf_dir)).select("path", "change", "step", "offset", "line_no", "column_no", "code_point", "snippet", "replacement")
+
+
+def _delta_sql() -> str:
+    """Each character or keyword by its number in the text, places from the text before it."""
+    place = "length({0}) as off, 1 + length({0}) - length(replace({0}, chr(10), '')) as line_no, 1 + length(string_split({0}, chr(10))[-1]) as column_no"
+    digits = "upper(printf('%04x', unicode(ch)))"
+    parts, now = [twins.artifacts(), "t0 as (select path, content as t from artifacts)"], 0
+    rows = []
+    for change, what in text.REMOVALS:
+        parts.append(f"t{now + 1} as (select path, {twins.D.replace('t', what, '')} as t from t{now})")
+        each = f"select path, t, unnest(range(1, length(t) + 1)) as i from t{now} where {twins.D.like('t', what)}"
+        rows.append(f"select path, '{change}' as change, {now} as step, {place.format('pre')}, 'U+' || {digits} as code_point, ch as snippet, '' as replacement from (select path, substr(t, i, 1) as ch, substr(t, 1, i - 1) as pre from ({each})) where {twins.D.like('ch', what)}")
+        now += 1
+    each = f"select path, t, unnest(range(1, length(t) + 1)) as i from t{now} where {twins.mixed('t')}"
+    chars = f"select path, substr(t, i, 1) as ch, substr(t, 1, i - 1) as pre, regexp_extract(substr(t, 1, i - 1), '\\S*$') || regexp_extract(substr(t, i), '^\\S*') as word from ({each})"
+    by = f"translate(ch, '{fixed.LOOK_ALIKES}', '{fixed.LOOKS_LIKE}')"
+    rows.append(f"select path, 'homoglyph', {now}, {place.format('pre')}, 'U+' || {digits}, ch, {by} from ({chars}) where {by} <> ch and {twins.mixed('word')}")
+    # folded texts of those that have a split run; the removals are made anew within
+    parts.append(f"t{now + 1} as materialized (select path, {twins._folded('content')} as t from artifacts where {twins.D.like(twins._folded('content'), text.SPLIT)})")
+    now += 1
+    for word in fixed.SPLIT_KEYWORDS:
+        what, w = text.split_keyword(word), twins.D.text(word)
+        for _ in range(3 if word[0] == word[-1] else 1):
+            each = f"select path, {twins.D.found('t', what)} as f, string_split_regex(t, {twins.D.text(what)}) as p from t{now} where {twins.D.like('t', what)}"
+            one = f"select path, f[i] as m, array_to_string(p[1:i], {w}) as pre from (select *, unnest(range(1, len(f) + 1)) as i from ({each}))"
+            rows.append(f"select path, 'keyword', {now}, {place.format('pre')}, null, m, {w} from ({one})")
+            parts.append(f"t{now + 1} as materialized (select path, {twins.D.replace('t', what, word)} as t from t{now})")
+            now += 1
+    every = "\nunion all ".join(rows)
+    return "with " + ",\n".join(parts) + f", every as ({every}) select path, change, cast(step as int) as step, cast(off as bigint) as \"offset\", cast(line_no as int) as line_no, cast(column_no as int) as column_no, code_point, snippet, replacement from every"
+
+
 def _parts(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         seg = kept(spark, sf_dir, "segments").where(F.col("segment_type") == kind)
@@ -102,6 +136,11 @@ def _long_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("skill_id", "chain", "score", F.array_join("parts.finding_id", ",").alias("parts"), F.array_join("parts.path", ",").alias("paths"))
 
 
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kept(spark, sf_dir, "findings").where(F.col("rule_id").isin(*{r.rule_id for r in rules.RULES}))
+    return found.select("finding_id", "rule_id", "path", "line", F.col("column").alias("column_no"))
+
+
 def _linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.best_links(*_parts_of_chains(spark, sf_dir)).select("skill_id", "chain", F.col("score").alias("best"))
 
@@ -142,6 +181,7 @@ _HITS["rule_hits_unicode"] = ("D-1A", "D-1B", "D-1C", "D-1D", "D-2A", "NC-")
 QUERIES = {
     "norm_changes_by_type": _changes,
     "normalized_text": normalized_text,
+    "norm_delta_rows": norm_delta_rows,
     "code_fence_segments": _parts("code_fence"),
     "html_comment_segments": _parts("html_comment"),
     "base64_segments": _parts("base64_decode"),
@@ -156,11 +196,13 @@ QUERIES = {
     "behaviour_chains": _chains,
     "chain_linkage": _linkage,
     "chain_n_way": _long_chains,
+    "finding_columns": _columns,
 } | {k: _rule_hits(*v)[0] for k, v in _HITS.items()}
 _soft_list = ", ".join(f"'{r}'" for r in fixed.SOFT_RULES)
 _cat = ", ".join(f"('{k}', '{c}')" for k, c in sorted({r.rule_id: r.category for r in rules.RULES}.items()) + sorted((r[0], r[2]) for r in rules.OTHER_RULES))
 ORACLE_SQL = {
     "norm_changes_by_type": _changes_sql(),
+    "norm_delta_rows": _delta_sql(),
     "normalized_text": twins.scan_without_hits() + "select path, md5(t) as digest from normal",
     **{f"{n}_segments": _parts_sql(k) for n, k in (("code_fence", "code_fence"), ("html_comment", "html_comment"), ("base64", "base64_decode"), ("rot13", "rot13"))},
     "page_comment_segments": twins.scan(twins.pages(), "segs") + "select path, segment_id, start_line, md5(content) as digest from segs where segment_type = 'html_comment'",
@@ -172,6 +214,7 @@ ORACLE_SQL = {
     "hidden_content_provenance": twins.scan() + "select finding_id, path, rule_id, array_to_string(refs, ',') as supporting from everything where rule_id in ('D-21A', 'D-22A')",
     "behaviour_chains": twins.scan() + "select skill_id, chain, rule_id, category, score, severity, part_a, part_b, path_a, path_b from linked",
     "chain_n_way": twins.scan() + ", " + twins.product(LONG_CHAINS) + " select skill_id, chain, score, parts, paths from chained",
+    "finding_columns": twins.scan(upto="hits") + "select finding_id, rule_id, path, cast(line as int) as line, cast(column_no as int) as column_no from hits",
     "chain_linkage": twins.scan() + "select skill_id, chain, max(score) as best from pairs group by all",
 } | {k: _rule_hits(*v)[1] for k, v in _HITS.items()}
 

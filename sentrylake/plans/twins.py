@@ -83,8 +83,9 @@ def _hits() -> str:
             if pattern:
                 tests.append(wanted + D.like(col, f"(?i){pattern}"))
         parts.append(
-            f"select {_KEEP}, '{r.rule_id}' as rule_id, {no} as pattern_no, {number} as match_no, match, line_no from (select *, string_split(content, chr(10))[line_no] as line_text from ("
-            f"select *, f[i + 1] as match, 1 + {_lines("array_to_string(p[1:i + 1], '') || array_to_string(f[1:i], '')")} + case when starts_with(f[i + 1], chr(10)) then 1 else 0 end as line_no from ("
+            f"select {_KEEP}, '{r.rule_id}' as rule_id, {no} as pattern_no, {number} as match_no, match, line_no, column_no from (select *, string_split(content, chr(10))[line_no] as line_text from ("
+            f"select *, f[i + 1] as match, 1 + {_lines("array_to_string(p[1:i + 1], '') || array_to_string(f[1:i], '')")} + case when starts_with(f[i + 1], chr(10)) then 1 else 0 end as line_no, "
+            "case when starts_with(f[i + 1], chr(10)) then 1 else 1 + length(string_split(array_to_string(p[1:i + 1], '') || array_to_string(f[1:i], ''), chr(10))[-1]) end as column_no from ("
             f"select *, unnest(range(len(f))) as i from (select *, ({D.found('content', p)}){only} as f, string_split_regex(content, {D.text(p)}) as p from ctx where {' and '.join(can)}))))"
             + (f" where {' and '.join(tests)}" if tests else "")
         )
@@ -92,7 +93,7 @@ def _hits() -> str:
     by = {r.rule_id: r for r in rules.RULES}
     pick = lambda what: "case rule_id " + " ".join(f"when '{k}' then '{what(r)}'" for k, r in by.items()) + " end"
     return "raw as (" + "\nunion all ".join(parts) + f"""),
-hits as materialized (select skill_id, path, segment_id, segment_type, parent_id, rule_id, pattern_no, match_no, substr(match, 1, 200) as match, start_line + line_no - 1 as line, context, source_kind, reference_example, bootstrap,
+hits as materialized (select skill_id, path, segment_id, segment_type, parent_id, rule_id, pattern_no, match_no, substr(match, 1, 200) as match, start_line + line_no - 1 as line, column_no, context, source_kind, reference_example, bootstrap,
     {pick(lambda r: r.severity)} as severity, {pick(lambda r: r.category)} as category, {pick(lambda r: ',' + ''.join(f + ',' for f in r.flags))} as flags,
     md5(segment_id || '::' || rule_id || '::' || pattern_no || '::' || match_no || '::' || substr(match, 1, 200)) as finding_id
   from raw qualify rule_id not in ({once}) or row_number() over (partition by segment_id, rule_id order by pattern_no, match_no) = 1)"""
@@ -185,7 +186,7 @@ def _post() -> str:
     parts, more = supply.found(D)
     supplied = f"select x.skill_id, x.path, x.segment_id, x.segment_type, c.parent_id, rule_id, 0 as pattern_no, 0 as match_no, match, line, x.context, x.source_kind, x.reference_example, x.bootstrap, severity, category, ',' as flags, md5(x.segment_id || '::' || rule_id || '::0::' || match) as finding_id from ({more}) x join (select segment_id, parent_id from ctx) c using (segment_id)"
     return ",\n".join(parts) + f""",
-first_ as materialized (select * from hits union all {_other('D-2A', 'd2', 'no', 'match')} union all {_other('D-6A', 'd6', 'no', 'match')}
+first_ as materialized (select * exclude (column_no) from hits union all {_other('D-2A', 'd2', 'no', 'match')} union all {_other('D-6A', 'd6', 'no', 'match')}
   union all {_other('NC-3A', "(select * from normal where t <> content)", '0', "''")} union all {supplied}),
 reach as (select finding_id, {supports} as s, segment_id from first_ union all select finding_id, {supports}, parent_id from first_ where parent_id is not null),
 under as (select segment_id, list_sort(list(distinct finding_id) filter (s)) as strong from reach group by segment_id),

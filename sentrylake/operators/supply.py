@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, hosts, text
 from ..functions.prefilter import needed
 
 # Patterns.
@@ -47,7 +52,12 @@ def _each_found(d, frm: str, keep: str, col: str, pattern: str, group: int, alia
 
 _SEGMENT = "skill_id, path, segment_id, segment_type, reference_example, bootstrap, source_kind, start_line, context"
 _PLAIN = _SEGMENT.removesuffix(", context")
-_KEEP = f"{_PLAIN}, file_type, language, content_registry"
+_KEEP = f"{_PLAIN}, file_type, language, content_registry, reads"
+# Files that hold licences, suffixes of schemas, and signs of a health check.
+LICENSE_FILES = ("license", "license.txt", "license.md", "copying", "notice", "notice.txt")
+SCHEMA_FILE = r"[.](?:xsd|xml|rng|dtd)$"
+READS = ("requests.get", "httpx.get", "urllib.request.urlopen", "curl")
+HEALTH = "/(?:health|status|ping)"
 
 
 def _urls(d) -> list[str]:
@@ -64,20 +74,27 @@ def _urls(d) -> list[str]:
     trick = f"({d.like('url', r'://[^/]*@')} or length(url) - length(replace(url, '%', '')) >= 2 or lower(url) like '%!%2f%' escape '!' or lower(url) like '%!%40%' escape '!')"
     doc = "context in ('documentation')"
     link = f"(file_type = 'markdown' and (context in ('documentation', 'executable_snippet') or reference_example) and ({d.like('line', '(?i)reference:|documentation:')} or {d.like('line', '^(?:[ ]*(?:[-*]|[1-5][.]) )')} or {d.like('line', r'\[[^\]]+\]\(')}))"
-    rule = f"""case when host in ({_list(fixed.TRUSTED_HOSTS)}) then 'D-15A' when host in ({_list(fixed.SHORTENER_HOSTS)}) then 'D-15B' when {d.like('host', ip)} and not {d.like('host', r'(?:^|[.])0[0-9]')} then 'D-15C' when {d.like('host', obscured)} then 'D-15D' when {trick} then 'D-15F'
+    path = d.unquote(d.extract("url", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1))
+    licence = f"(lower({d.extract('path', '[^/]*$', 0)}) in ({_list(LICENSE_FILES)}) or (readable in ({_list(fixed.REFERENCE_HOSTS)}) and ({d.like('lower(path)', SCHEMA_FILE)} or lower('/' || path) like '%/schemas/%')))"
+    healthy = f"(file_type <> 'markdown' and reads = 1 and {d.like(f'lower({path})', HEALTH)})"
+    reads = " or ".join(f"contains(lower(content), '{x}')" for x in READS)
+    rule = f"""case when readable in ({_list(fixed.TRUSTED_HOSTS)}) then 'D-15A' when readable in ({_list(fixed.SHORTENER_HOSTS)}) then 'D-15B' when {d.like('readable', ip)} and not {d.like('readable', r'(?:^|[.])0[0-9]')} then 'D-15C' when {d.like('host', obscured)} then 'D-15D' when {trick} then 'D-15F'
       when not starts_with(lower(url), 'https://') then 'D-15G' when host like '%xn--%' or {d.like('host', '[^ -~]')} then 'D-15H' else 'D-15E' end""".replace("starts_with", "startswith" if d.name == "spark" else "starts_with")
     severity = f"""case rule_id when 'D-15A' then 'info' when 'D-15B' then case when {doc} then 'medium' else 'high' end when 'D-15C' then 'high' when 'D-15D' then 'high' when 'D-15F' then case when {doc} then 'medium' else 'high' end
       when 'D-15G' then case when {doc} or reference_example then 'info' else 'medium' end when 'D-15H' then 'medium' else case when {doc} or reference_example then 'info' when context = 'registry_or_dependency' then 'high' when context in ('actionable_instruction', 'executable_snippet') then 'medium' else 'low' end end"""
     return [
-        f"u0 as (select *, case when {registry} then 1 else 0 end as content_registry from ctx where contains(lower(content), '://') and {d.like('content', URL)})",
+        f"u0 as (select *, case when {registry} then 1 else 0 end as content_registry, case when {reads} then 1 else 0 end as reads from ctx where contains(lower(content), '://') and {d.like('content', URL)})",
         f"u1 as ({_lines(d, 'u0', _KEEP)})",
         f"u2 as (select *, case when {d.like('line', URL)} then 1 else 0 end as has_url, max(case when {d.like('line', verbs)} then 1 else 0 end) over ({win} 3 preceding and 1 following) as near, max(case when {d.like('line', heading)} then 1 else 0 end) over ({win} 3 preceding and 1 preceding) as head from u1)",
         f"u3 as (select *, {context} as context from u2)",
         f"u4 as ({_each_found(d, 'u3', _KEEP + ', context, no, line', 'line', URL, 0, 'raw')})",
         f"u5 as (select *, {refang} as url from u4)",
         f"u6 as (select *, {host} as host from u5)",
-        f"u7 as (select *, {rule} as rule_id from u6 where host <> '' and host not in ('localhost', '127.0.0.1') and not startswith_(lower(url), 'http://www.w3.org/') and not startswith_(lower(url), 'https://www.w3.org/') and not {link})".replace("startswith_", "startswith" if d.name == "spark" else "starts_with"),
-        f"urls as (select {_SEGMENT}, host, rule_id, {severity} as severity, min(no) as no from u7 group by {_SEGMENT}, host, rule_id, {severity})",
+        f"decoded_ as ({d.hosts('u6')})",
+        "u6r as (select u6.*, coalesce(readable, host) as readable from u6 left join decoded_ on host = puny)",
+        f"u7 as (select * from (select *, {rule} as rule_id from u6r where host <> '' and readable not in ('localhost', '127.0.0.1') and not {licence} and not {healthy} and not startswith_(lower(url), 'http://www.w3.org/') and not startswith_(lower(url), 'https://www.w3.org/') and not {link}) classes_)".replace("startswith_", "startswith" if d.name == "spark" else "starts_with"),
+        f"u8 as (select {_SEGMENT}, case when rule_id in ('D-15D', 'D-15H') then host else readable end as host, rule_id, no from u7)",
+        f"urls as (select {_SEGMENT}, host, rule_id, {severity} as severity, min(no) as no from u8 group by {_SEGMENT}, host, rule_id, {severity})",
     ]
 
 
@@ -134,29 +151,41 @@ def _prerequisites(d) -> list[str]:
     return [external, declared, f"helpers as ({helper})", f"prerequisites as (select distinct {segment}, lower(helper) as helper, case when {danger} then 'dangerous' else 'undeclared' end as why from helpers h left join exists_url e on h.segment_id = e.segment_id left join declared c on h.skill_id = c.skill_id and lower(helper) = c.name where not reference_example and lower(helper) not in ({_list(HELPER_ALLOWED)}) and {d.like('content', REQUIRED)} and ({danger} or ({d.like('content', DELIVERY)} and e.segment_id is not null and c.name is null)))"]
 
 
-def density(d, col: str) -> tuple[str, str, str]:
-    """Bytes of a text, of its comments, and of characters that take no room."""
+@functools.cache
+def wide() -> str:
+    """A class of the characters that take two cells, by their width in Unicode's table."""
+    points = [n for n in range(0x1100, 0x40000) if unicodedata.east_asian_width(chr(n)) in "FW"]
+    ends = [k for k in range(len(points)) if k + 1 == len(points) or points[k + 1] != points[k] + 1]
+    return "[" + "".join(rf"\x{{{points[a]:X}}}-\x{{{points[b]:X}}}" for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)) + "]"
+
+
+def density(d, col: str) -> tuple[str, str, str, str]:
+    """Bytes of a text, of its comments and of characters that take no room, and the cells that the others take on a screen."""
     if d.name == "spark":
         hidden = rf"aggregate(regexp_extract_all({col}, '(?s)<!--.*?-->', 0), 0, (a, x) -> a + octet_length(x))"
         size = f"octet_length({col})"
     else:
         hidden = f"coalesce(list_sum(list_transform(regexp_extract_all({col}, '(?s)<!--.*?-->', 0), lambda x: octet_length(encode(x)))), 0)"
         size = f"octet_length(encode({col}))"
-    return size, hidden, f"{size} - " + size.replace(col, d.replace(col, r"[\p{Cf}\p{Mn}\p{Me}]", ""))
+    seen = d.replace(col, r"[\n\r\t\p{Cf}\p{Mn}\p{Me}]", "")
+    return size, hidden, f"{size} - " + size.replace(col, d.replace(col, r"[\p{Cf}\p{Mn}\p{Me}]", "")), f"2 * length({seen}) - length({d.replace(seen, wide(), '')})"
 
 
-COMMENT_HEAVY = "bytes >= 4096 and comment_bytes >= 2048 and comment_bytes >= 0.35e0 * bytes"
-INVISIBLE_HEAVY = "bytes >= 4096 and invisible_bytes >= 1024 and invisible_bytes >= 0.2e0 * bytes"
+# Least bytes and cells of a text, least bytes hidden and their share of it.
+_DENSE = "bytes >= 4096 and cells >= 500"
+COMMENT_HEAVY = f"{_DENSE} and comment_bytes >= 2048 and comment_bytes >= 0.35e0 * bytes"
+INVISIBLE_HEAVY = f"{_DENSE} and invisible_bytes >= 1024 and invisible_bytes >= 0.2e0 * bytes"
+OPAQUE = f"{_DENSE} and comment_bytes >= 2048 and bytes >= 3 * cells"
 
 
 def found(d) -> tuple[list[str], str]:
     """Common table expressions over `ctx` (segments with context), and their union as findings: _SEGMENT but start_line, context, rule_id, severity, category, line and match."""
     one = lambda frm, rule, severity, match, where="true", line="start_line", category="supply_chain": f"select {_SEGMENT.replace(' start_line,', '')}, {rule} as rule_id, {severity} as severity, '{category}' as category, cast({line} as int) as line, {match} as match from {frm} where {where}"
-    size, hidden, invisible = density(d, "content")
+    size, hidden, invisible, cells = density(d, "content")
     parts = [
         *_urls(d), *_mentions(d), *_squats(d), *_overrides(d), *_prerequisites(d),
         f"confused as (select {_SEGMENT}, max(case when package like '@%' then 1 else 0 end) as scoped from mentions where ecosystem in ('python', 'javascript') and segment_id in (select segment_id from targets_ where rule_id in ('D-20A', 'D-20B')) group by {_SEGMENT})",
-        f"weights_ as (select {_SEGMENT}, {size} as bytes, {hidden} as comment_bytes, {invisible} as invisible_bytes from ctx where segment_type = 'original' and length(content) > 1000)",
+        f"weights_ as (select {_SEGMENT}, {size} as bytes, {hidden} as comment_bytes, {invisible} as invisible_bytes, {cells} as cells from ctx where segment_type = 'original' and length(content) > 1000)",
     ]
     union = [
         one("urls", "rule_id", "severity", "host", line="start_line + no", category="structural"),
@@ -166,6 +195,7 @@ def found(d) -> tuple[list[str], str]:
         one("prerequisites", "'D-20H'", "'high'", "helper || ' ' || why"),
         one("weights_", "'D-23A'", "case when comment_bytes >= 0.6e0 * bytes then 'high' else 'medium' end", "''", COMMENT_HEAVY, category="obfuscation"),
         one("weights_", "'D-23B'", "'high'", "''", INVISIBLE_HEAVY, category="obfuscation"),
+        one("weights_", "'D-23C'", "'medium'", "''", OPAQUE, category="obfuscation"),
     ]
     return parts, " union all ".join(union)
 
@@ -175,8 +205,11 @@ def findings(segments: DataFrame) -> DataFrame:
     from ..plans.dialect import Spark
 
     parts, last = found(Spark)
-    segments.createOrReplaceTempView("ctx")
-    out = segments.sparkSession.sql("with " + ",\n".join(parts) + "\n" + last)
+    hosts.register(segments.sparkSession)
+    name = f"ctx_{uuid.uuid4().hex}"  # a name of its own: other threads and the caller's views are left alone
+    segments.createOrReplaceTempView(name)
+    out = segments.sparkSession.sql(re.sub(r"\bctx\b", name, "with " + ",\n".join(parts) + "\n" + last))
+    segments.sparkSession.catalog.dropTempView(name)
     return out.withColumns({
         "flags": F.lit(","), "soft": F.col("rule_id").isin(*fixed.SOFT_RULES),
         "finding_id": F.md5(F.concat_ws("::", "segment_id", "rule_id", F.lit("0"), "match").cast("binary")),

@@ -27,6 +27,17 @@ class Spark:
     def replace(cls, col: str, pattern: str, by: str) -> str:
         return f"regexp_replace({col}, {cls.text(pattern)}, {cls.text(by)})"
 
+    @classmethod
+    def unquote(cls, col: str) -> str:
+        """Percent-encoded bytes as the characters they are."""
+        code = cls.text("(?:%[0-9A-Fa-f]{2})+")
+        return f"array_join(zip_with(split({col}, {code}, -1), concat(regexp_extract_all({col}, {code}, 0), array('')), (plain, code) -> concat(plain, make_valid_utf8(cast(unhex(replace(code, '%', '')) as string)))), '')"
+
+    @staticmethod
+    def hosts(frm: str) -> str:
+        """(puny, readable) of the distinct hosts of `frm` that are written in Punycode; `hosts.register` makes the function known."""
+        return f"select host as puny, readable_host(host) as readable from (select distinct host from {frm} where host like '%xn--%') p"
+
     @staticmethod
     def each(array: str, alias: str) -> str:
         """The rows of an array, as a lateral table with one column."""
@@ -57,6 +68,15 @@ class Ansi(Spark):
     def replace(cls, col: str, pattern: str, by: str) -> str:
         return f"regexp_replace({col}, {cls.text(pattern)}, {cls.text(by)}, 'g')"
 
+    @classmethod
+    def unquote(cls, col: str) -> str:
+        return f"url_decode(replace({col}, '+', '%2B'))"
+
+    @staticmethod
+    def hosts(frm: str) -> str:
+        """This engine has no such function: the hosts of the test data, by hand."""
+        return "select * from (values ('xn--e1afmkfd.test', 'пример.test')) t(puny, readable)"
+
     @staticmethod
     def each(array: str, alias: str) -> str:
         return f", unnest({array}) as t_{alias}({alias})"

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import fixed
-from ..operators.supply import COMMENT_HEAVY, INVISIBLE_HEAVY, _mentions, _near, _OVERRIDDEN, _overrides, _prerequisites, _squats, _urls, density
+from ..functions import fixed, hosts
+from ..operators.supply import COMMENT_HEAVY, INVISIBLE_HEAVY, OPAQUE, _mentions, _near, _OVERRIDDEN, _overrides, _prerequisites, _squats, _urls, density
 from . import twins
 from .dialect import Ansi, Spark
 from .scans import kept
@@ -46,8 +46,13 @@ def _q_prerequisite(d):
 
 
 def _q_density(d):
-    size, hidden, invisible = density(d, "html")
-    return [f"m as (select page_id, {size} as bytes, {hidden} as comment_bytes, {invisible} as invisible_bytes from pages)"], f"select page_id, cast(bytes as bigint) as bytes, cast(comment_bytes as bigint) as comment_bytes, cast(invisible_bytes as bigint) as invisible_bytes, case when {COMMENT_HEAVY} then case when comment_bytes >= 0.6e0 * bytes then 'high' else 'medium' end end as d23a, case when {INVISIBLE_HEAVY} then 'high' end as d23b from m"
+    """Pages, some with planted comments: plain words, wide characters, and characters without room."""
+    planted = "select page_id, html || case page_id % 4 when 0 then '<!-- ' || repeat('hidden words ', 400) || '-->' when 1 then '<!--' || repeat('密', 2000) || '-->' when 2 then '<!--' || repeat('\u200b\u200ba', 1200) || '-->' else '' end as html from pages"
+    size, hidden, invisible, cells = density(d, "html")
+    seen = [f"planted as ({planted})", f"m as (select page_id, {size} as bytes, {hidden} as comment_bytes, {invisible} as invisible_bytes, {cells} as cells from planted)"]
+    numbers = ", ".join(f"cast({x} as bigint) as {x}" for x in ("bytes", "comment_bytes", "invisible_bytes", "cells"))
+    rules = f"case when {COMMENT_HEAVY} then case when comment_bytes >= 0.6e0 * bytes then 'high' else 'medium' end end as d23a, case when {INVISIBLE_HEAVY} then 'high' end as d23b, case when {OPAQUE} then 'medium' end as d23c"
+    return seen, f"select page_id, {numbers}, {rules} from m"
 
 
 _PLANS: dict[str, Callable] = {"url_classes": _q_urls, "page_url_classes": _q_page_urls, "package_mentions": _q_mentions, "typosquat_packages": _q_squat, "typosquat_bundles": _q_bundle_squat, "index_overrides": _q_index, "prerequisite_helpers": _q_prerequisite, "density_anomalies": _q_density}
@@ -58,6 +63,7 @@ def _spark(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:
         parts, last = plan(Spark)
         if "ctx" in parts:
             kept(spark, sf_dir, "segments").createOrReplaceTempView("ctx")
+            hosts.register(spark)
         for name in ("pages", "documents"):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
         rest = [p for p in parts if p != "ctx"]

@@ -7,10 +7,11 @@ import re
 import unicodedata
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, hosts, text
+from ..functions import fixed, hosts, prefilter, text
+from ..lineage import cut
 from ..functions.prefilter import needed
 
 # Patterns.
@@ -185,7 +186,7 @@ def found(d) -> tuple[list[str], str]:
     parts = [
         *_urls(d), *_mentions(d), *_squats(d), *_overrides(d), *_prerequisites(d),
         f"confused as (select {_SEGMENT}, max(case when package like '@%' then 1 else 0 end) as scoped from mentions where ecosystem in ('python', 'javascript') and segment_id in (select segment_id from targets_ where rule_id in ('D-20A', 'D-20B')) group by {_SEGMENT})",
-        f"weights_ as (select {_SEGMENT}, {size} as bytes, {hidden} as comment_bytes, {invisible} as invisible_bytes, {cells} as cells from ctx where segment_type = 'original' and length(content) > 1000)",
+        f"weights_ as (select {_SEGMENT}, {size} as bytes, {hidden} as comment_bytes, {invisible} as invisible_bytes, {cells} as cells from ctx where segment_type = 'original' and {size} >= 4096)",
     ]
     union = [
         one("urls", "rule_id", "severity", "host", line="start_line + no", category="structural"),
@@ -200,10 +201,20 @@ def found(d) -> tuple[list[str], str]:
     return parts, " union all ".join(union)
 
 
+def _may_find() -> Column:
+    """Whether a segment can have a finding of these rules: each has a sign that its text or path must hold."""
+    c, low = F.col("content"), F.lower("content")
+    patterns = [URL, *PACKAGES.values(), *(p for _, ps in INDEX.values() for p in ps)]
+    signs = [prefilter.found(c, low, p) for p in patterns] + [prefilter.may_match(low, HELPER) & prefilter.found(c, low, REQUIRED)]
+    dense = (F.octet_length(c) >= 4096) & (c.contains("<!--") | c.rlike(r"[\p{Cf}\p{Mn}\p{Me}]"))
+    return functools.reduce(lambda a, b: a | b, signs) | dense | F.col("path").rlike(r"requirements[^/]*\.txt$|Cargo\.toml$")
+
+
 def findings(segments: DataFrame) -> DataFrame:
-    """Findings of the URL, package and density rules in segments with context, with the columns of other findings."""
+    """Findings of the URL, package and density rules in segments with context, with the columns of other findings. Segments without any sign of them are passed over at once; the rest, which the rules read again and again, are kept in the shared folder."""
     from ..plans.dialect import Spark
 
+    segments = cut(segments.where(_may_find()))
     parts, last = found(Spark)
     hosts.register(segments.sparkSession)
     name = f"ctx_{uuid.uuid4().hex}"  # a name of its own: other threads and the caller's views are left alone

@@ -47,9 +47,15 @@ def from_table(df: DataFrame, bundle: Column, path: Column, text: Column) -> Dat
     return df.select(bundle.alias("skill_id"), path.alias("path"), file_type(path).alias("file_type"), F.coalesce(text, F.lit("")).alias("content"))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A table of one to a few row groups is dealt out by its key, since scans cost far more than the rows' way; one of more splits than cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, *by) if df.rdd.getNumPartitions() <= cores else df
+
+
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as Markdown files, bundles by source, with a payload on a line of its own at the end of some."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), "doc_id")
     slot = F.pmod("doc_id", F.lit(2 * len(PAYLOADS)))
     payload = F.element_at(F.array([F.lit("")] + [F.lit("\n" + p) for p in PAYLOADS]), F.when(slot < len(PAYLOADS), slot + 2).otherwise(1).cast("int"))
     return from_table(docs, F.col("source"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")), F.concat("text", payload))

@@ -148,7 +148,9 @@ def audit(docs: DataFrame, least_docs: int = 3, scale: int = 1_000_000_000, top:
 
     paths = items.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("no", "n", "p", "p0"))).alias("path"))
     paths = paths.where(F.size("path") > 1).groupBy("lang", "path").agg(F.count("*").alias("m"))
-    both = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").mapInArrow(corrections, "lang string, a long, b long, value long")
+    # ranges by the first items alone, so that the samples that Spark takes for them are small
+    head = F.transform(F.slice("path", 1, 3), lambda x: F.struct(x["no"], x["n"]))
+    both = paths.repartitionByRange("lang", head).sortWithinPartitions("lang", "path").mapInArrow(corrections, "lang string, a long, b long, value long")
     other = few.select("lang", F.col("no").alias("other"), F.col("p0").alias("q0"))
     alone = items.groupBy("lang", "no", "p", "p0").agg(F.count("*").alias("k")).join(other, "lang").where("no <> other")
     p, p0, q0, k = (F.col(c) for c in ("p", "p0", "q0", "k"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,20 +69,47 @@ def hidden_content(segments: DataFrame, found: DataFrame) -> DataFrame:
 _COLUMNS = ("finding_id", "skill_id", "path", "segment_id", "segment_type", "rule_id", "severity", "category", "flags", "soft", "line", "column", "context", "source_kind", "reference_example", "bootstrap")
 
 
-def all_findings(segments: DataFrame, policy: tuple = CHAINS, files: DataFrame | None = None) -> DataFrame:
-    """Findings of the text rules, of normalisation, of URLs, packages and density, of hidden content and of chains, with references (absorbed parts) and layer; of layout and frontmatter too, if the bundles' `files` are given."""
+#: Rules that follow from any other finding below them.
+SUBTREE = ("D-21A", "D-22A", "D-5C")
+_SUPPLY = r"D-15.|D-20[A-FH]|D-23."
+
+
+def needs(rule_id: str, policy: tuple = CHAINS) -> set[str] | None:
+    """The rules that must be evaluated for one rule's findings, itself included: a chain needs the rules with its flags, a rule on hidden parts needs all (None)."""
+    if rule_id in SUBTREE:
+        return None
+    flags = {f for c in policy if c[1] == rule_id for f in c[3:]}
+    return {rule_id} | {r.rule_id for r in rules.RULES if flags & set(r.flags)}
+
+
+def evaluate_one(segments: DataFrame, rule_id: str, policy: tuple = CHAINS, files: DataFrame | None = None) -> DataFrame:
+    """The findings of one rule, as `all_findings` gives them, by evaluating only the rules that it needs. An unknown rule is an error."""
+    if rule_id not in {r.rule_id for r in rules.RULES} | {r[0] for r in OTHER_RULES} | {c[1] for c in policy}:
+        raise ValueError(f"no rule {rule_id}")
+    return all_findings(segments, policy, files, needs(rule_id, policy)).where(F.col("rule_id") == rule_id)
+
+
+def all_findings(segments: DataFrame, policy: tuple = CHAINS, files: DataFrame | None = None, only: set[str] | None = None) -> DataFrame:
+    """Findings of the text rules, of normalisation, of URLs, packages and density, of hidden content and of chains, with references (absorbed parts) and layer; of layout and frontmatter too, if the bundles' `files` are given.
+
+    only: the rules to evaluate, with all that they need (`needs`); None for all."""
     none = F.array().cast("array<string>").alias("references")
-    first = rules.evaluate(segments)
+    wanted = lambda pattern: only is None or any(re.fullmatch(pattern, r) for r in only)
+    # without any rule the empty table of the first one's findings
+    first = rules.evaluate(segments, rules.RULES if only is None else tuple(r for r in rules.RULES if r.rule_id in only) or rules.RULES[:1])
+    first = first if only is None else first.where(F.col("rule_id").isin(*only))
     # findings hold no texts; they are kept once, and what follows joins them
-    for extra in (mixed_script_words(segments), split_keywords(segments), normalisation_changes(segments)):
-        first = first.unionByName(extra.drop("content", "self_limiting"), allowMissingColumns=True)
-    chained = segments.select("segment_id", "parent_id", "ancestors", "chain")
-    first = first.unionByName(supply.findings(segments).join(chained, "segment_id"), allowMissingColumns=True)
-    if files is not None:
+    for pattern, make in (("D-2A", mixed_script_words), ("D-6A", split_keywords), ("NC-3A", normalisation_changes)):
+        if wanted(pattern):
+            first = first.unionByName(make(segments).drop("content", "self_limiting"), allowMissingColumns=True)
+    if wanted(_SUPPLY):
+        first = first.unionByName(supply.findings(segments).join(segments.select("segment_id", "parent_id", "ancestors", "chain"), "segment_id"), allowMissingColumns=True)
+    if files is not None and wanted(r"D-1[34].|D-18C"):
         first = first.unionByName(structure.findings(files), allowMissingColumns=True)
     first = cut(first)
-    hidden = hidden_content(segments, first)
-    found = cut(first.select(*_COLUMNS, none).unionByName(hidden.select(*_COLUMNS, "references")))
+    found = first.select(*_COLUMNS, none)
+    if only is None:
+        found = cut(found.unionByName(hidden_content(segments, first).select(*_COLUMNS, "references")))
     linked = chains.linked(found, chains.headings(segments), policy=policy)
     anchor = linked.select(
         F.md5(F.concat_ws("::", "skill_id", "rule_id").cast("binary")).alias("finding_id"), "skill_id", F.concat("skill_id", F.lit("/SKILL.md")).alias("path"), F.lit(None).cast("string").alias("segment_id"), F.lit("original").alias("segment_type"), "rule_id", "severity", "category",

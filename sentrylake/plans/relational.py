@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators.ranks import numbered
 from . import twins
 from .dialect import Ansi, Spark
 from .scans import kept
@@ -376,3 +378,13 @@ def _ansi(plan: Callable) -> str:
 
 QUERIES = {name: _spark(plan) for name, plan in _PLANS.items()}
 ORACLE_SQL = {name: _ansi(plan) for name, plan in _PLANS.items()}
+
+
+def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as the plan for the other engine, by row numbers in two levels: no task sees all rows, nor all of a source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    place = numbered(numbered(docs, "round_", "doc_id", within=("source",)), "place", "round_", "source")
+    return place.select("doc_id", "source", "place", F.expr("case when place <= 20 then 'smoke' when place <= 50 then 'standard' else 'full' end").alias("tier"))
+
+
+QUERIES["tier_round_robin"] = _tiers

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..lineage import cut
-from ..operators import changes, chains, postrules, rules, segments
+from ..operators import changes, chains, expectations, postrules, rules, segments
 from ..sources import tables
 from . import twins
 
@@ -245,3 +245,33 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"findings_json": _findings_json, "sarif_docs": _sarif, "review_excerpts": _excerpts, "text_chunks": _chunks}
+
+
+def _one_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text rule, a rule on normalised text and a chain, each evaluated with what it needs alone."""
+    seg = kept(spark, sf_dir, "segments")
+    found = [postrules.evaluate_one(seg, rule) for rule in SINGLE]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("finding_id", "skill_id", "path", "rule_id", "severity", "line")
+
+
+SINGLE = ("D-12B", "D-2A", "D-19A")
+#: Details that the planted texts' findings must have, by slot; the path comes from the document.
+DETAILS = ((0, "D-11A", "high"), (1, "D-11B", "medium"), (3, "D-12A", "high"), (15, "D-7B", "high"), (15, "D-7B", "low"), (20, "D-10C", "high"), (5, "D-11A", "high"))
+
+
+def _expected_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = lambda *names: F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("string"))])
+    slots = F.broadcast(spark.createDataFrame([(*d, n) for n, d in enumerate(DETAILS)], "slot int, rule_id string, severity string, n int"))
+    docs = tables.planted(spark, sf_dir).withColumn("slot", F.pmod(F.regexp_extract("path", r"(-?[0-9]+)\.md$", 1).cast("long"), F.lit(2 * len(tables.PAYLOADS))))
+    expected = docs.join(slots, "slot").select(F.concat_ws(" ", "path", "n").alias("expected_id"), pair("path", "rule_id", "severity").alias("details"))
+    found = kept(spark, sf_dir, "findings").select("finding_id", pair("path", "rule_id", "severity", "category", "context", "line").alias("details"))
+    return expectations.matched(expected, found)
+
+
+QUERIES |= {"rule_single": _one_rule, "expected_details": _expected_details}
+_details = ", ".join(f"({n}, {s}, '{r}', '{v}')" for n, (s, r, v) in enumerate(DETAILS))
+ORACLE_SQL |= {
+    "rule_single": twins.scan() + f"select finding_id, skill_id, path, rule_id, severity, line from everything where rule_id in ({', '.join(map(repr, SINGLE))})",
+    "expected_details": twins.scan() + f"""select d.source || '/' || d.doc_id || '.md ' || x.n as expected_id, count(e.finding_id) as n, min(e.finding_id) as first_id
+from (values {_details}) x(n, slot, rule_id, severity) join documents d on d.doc_id % {2 * len(tables.PAYLOADS)} = x.slot left join everything e on e.path = d.source || '/' || d.doc_id || '.md' and e.rule_id = x.rule_id and e.severity = x.severity group by 1""",
+}

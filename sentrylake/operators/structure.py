@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -42,14 +42,38 @@ def layout(files: DataFrame) -> DataFrame:
     return first.unionByName(one(F.col("is_executable") & (F.col("top") != "scripts"), "D-14D", "medium")).unionByName(one(binary, "D-14E", "high")).unionByName(one(archive & ~excused, "D-14F", "medium"))
 
 
-def frontmatter(files: DataFrame) -> DataFrame:
-    """(skill_id, path, key, value, line, times): top-level fields of each manifest's frontmatter, as written; times: how often the key occurs."""
+def frontmatter_lines(files: DataFrame) -> DataFrame:
+    """(skill_id, path, no, line_text): the lines of each manifest's frontmatter, from 0."""
     block = F.regexp_extract("content", FRONTMATTER, 1)
-    lines = files.where(F.col("path").rlike(r"(?:^|/)SKILL\.md$")).withColumn("block", block).where("block <> ''").select("skill_id", "path", F.posexplode(F.split("block", "\n")).alias("no", "line_text"))
+    return files.where(F.col("path").rlike(r"(?:^|/)SKILL\.md$")).withColumn("block", block).where("block <> ''").select("skill_id", "path", F.posexplode(F.split("block", "\n")).alias("no", "line_text"))
+
+
+def frontmatter(files: DataFrame) -> DataFrame:
+    """(skill_id, path, key, value, line, times, nth): top-level fields of each manifest's frontmatter, as written; times: how often the key occurs, nth: the how manieth of them this is."""
+    lines = frontmatter_lines(files)
     pairs = lines.where(F.col("line_text").rlike(r"^[A-Za-z_][A-Za-z0-9_-]*\s*:"))
     pairs = pairs.select("skill_id", "path", F.regexp_extract("line_text", r"^([A-Za-z_][A-Za-z0-9_-]*)\s*:", 1).alias("key"), F.trim(F.regexp_extract("line_text", r"^[^:]*:(.*)$", 1)).alias("value"), (F.col("no") + 2).alias("line"))
     times = pairs.groupBy("skill_id", "path", "key").agg(F.count("*").alias("times"))
-    return pairs.join(times, ["skill_id", "path", "key"])
+    return pairs.join(times, ["skill_id", "path", "key"]).withColumn("nth", F.row_number().over(Window.partitionBy("skill_id", "path", "key").orderBy("line")))
+
+
+def frontmatter_marks(files: DataFrame) -> DataFrame:
+    """(skill_id, path, line, mark): merge keys, document markers, and anchors, aliases and tags of nested values in each manifest's frontmatter. A sign within quotes, in a comment or in a block of text is none."""
+    text_of = F.col("line_text")
+    value = r"^\s+(?:-\s+)*(?:[^\s#\"'][^:#\"']*:\s+)?"
+    marks = F.array(
+        F.when(text_of.rlike(r"^\s*<<\s*:"), F.lit("merge_key")), F.when(text_of.rlike(r"^\s*(?:---|\.\.\.)\s*$"), F.lit("document_marker")), F.when(text_of.rlike(value + r"&[A-Za-z0-9_-]"), F.lit("anchor")), F.when(text_of.rlike(value + r"\*[A-Za-z0-9_-]"), F.lit("alias")), F.when(text_of.rlike(value + r"![A-Za-z!]"), F.lit("tag")),
+    )
+    lines = frontmatter_lines(files)
+    # a block of text: what is indented deeper than the key that ends in | or >
+    depth = F.length(F.regexp_extract("line_text", r"^( *)", 1))
+    before = Window.partitionBy("skill_id", "path").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    shallow = lines.withColumn("depth", F.when(F.trim("line_text") == "", F.lit(None)).otherwise(depth)).withColumn("opens", text_of.rlike(r":\s+[|>][+-]?[0-9]?\s*$"))
+    last = shallow.withColumn("opened", F.last(F.when(F.col("opens"), F.struct("no", "depth")), ignorenulls=True).over(before))
+    closed = F.max(F.when(~F.col("opens") & F.col("depth").isNotNull() & (F.col("depth") <= F.col("opened.depth")), F.col("no"))).over(before)
+    inside = F.col("opened").isNotNull() & (F.col("depth") > F.col("opened.depth")) & (F.coalesce(F.col("closed"), F.lit(-1)) < F.col("opened.no"))
+    found = last.withColumn("closed", closed).where(~F.coalesce(inside, F.lit(False)))
+    return found.select("skill_id", "path", (F.col("no") + 2).alias("line"), F.explode(F.array_compact(marks)).alias("mark"))
 
 
 def bundle_names(files: DataFrame) -> DataFrame:
@@ -66,7 +90,7 @@ def frontmatter_findings(files: DataFrame, long_description: int = 500) -> DataF
     boolean, number = F.col("value").rlike("(?i)^(?:true|false|yes|no|on|off)$"), F.col("value").rlike(r"^-?[0-9]+(?:\.[0-9]+)?$")
     other = F.col("value").rlike(r"^[\[{]")
     wrong = (F.col("key").isin(*fixed.FRONTMATTER_STRINGS) & (boolean | number | other)) | (F.col("key").isin(*fixed.FRONTMATTER_BOOLEANS) & ~boolean)
-    tricks = F.col("value").rlike(r"^(?:[&*!][A-Za-z]|%)") | (F.col("times") > 1)
+    tricks = F.col("value").rlike(r"^(?:[&*!][A-Za-z]|%)") | (F.col("nth") > 1)
     family = lambda c: text.any_of(tuple(p for r in RULES if r.category == c for p in r.patterns))
     found = F.array(
         F.when(~F.col("key").isin(*fixed.FRONTMATTER_FIELDS), F.struct(F.lit("D-13A").alias("rule_id"), F.lit("low").alias("severity"))),
@@ -75,7 +99,9 @@ def frontmatter_findings(files: DataFrame, long_description: int = 500) -> DataF
         F.when(tricks, F.struct(F.lit("D-13D").alias("rule_id"), F.lit("high").alias("severity"))),
         F.when((F.col("key") == "description") & plain.rlike(family("prompt_injection")), F.struct(F.lit("D-13E").alias("rule_id"), F.lit("high").alias("severity"))).when((F.col("key") == "description") & plain.rlike(family("suppression")), F.struct(F.lit("D-13E").alias("rule_id"), F.lit("medium").alias("severity"))),
     )
-    return f.select("skill_id", "path", "line", F.col("key").alias("detail"), F.explode(F.array_compact(found)).alias("x")).select("skill_id", "path", "x.rule_id", "x.severity", "line", "detail")
+    keys = f.select("skill_id", "path", "line", F.col("key").alias("detail"), F.explode(F.array_compact(found)).alias("x")).select("skill_id", "path", "x.rule_id", "x.severity", "line", "detail")
+    marks = frontmatter_marks(files).select("skill_id", "path", F.lit("D-13D").alias("rule_id"), F.lit("high").alias("severity"), "line", F.col("mark").alias("detail"))
+    return keys.unionByName(marks)
 
 
 def broad_description(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..lineage import cut
-from ..operators import changes, chains, expectations, postrules, rules, segments
+from ..operators import changes, chains, expectations, postrules, rules, segments, structure
 from ..sources import tables
 from . import twins
 
@@ -275,3 +275,19 @@ ORACLE_SQL |= {
     "expected_details": twins.scan() + f"""select d.source || '/' || d.doc_id || '.md ' || x.n as expected_id, count(e.finding_id) as n, min(e.finding_id) as first_id
 from (values {_details}) x(n, slot, rule_id, severity) join documents d on d.doc_id % {2 * len(tables.PAYLOADS)} = x.slot left join everything e on e.path = d.source || '/' || d.doc_id || '.md' and e.rule_id = x.rule_id and e.severity = x.severity group by 1""",
 }
+
+
+def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.findings(tables.planted_bundles(spark, sf_dir)).select("skill_id", "path", "rule_id", "severity", F.col("line").cast("int").alias("line"))
+
+
+#: What the planted bundles must give, by hand: (slot, path, rule, severity, line); a manifest's path is within its bundle.
+_EXPECTED = (
+    (1, "SKILL.md", "D-13D", "high", 3), (1, "SKILL.md", "D-13A", "low", 5), (2, "SKILL.md", "D-13B", "medium", 2), (2, "SKILL.md", "D-13E", "high", 3), (2, "SKILL.md", "D-13B", "medium", 4), (3, "SKILL.md", "D-13D", "high", 4),
+    (4, "SKILL.md", "D-13D", "high", 4), (4, "SKILL.md", "D-13D", "high", 7), (4, "SKILL.md", "D-13D", "high", 7), (5, "sub/SKILL.md", "D-14A", "medium", 1), (5, "sub", "D-14B", "low", 1), (5, ".hidden", "D-14G", "medium", 1), (5, ".secret", "D-14G", "low", 1),
+    (5, "node_modules", "D-14B", "medium", 1), (5, "extra", "D-14B", "low", 1), (5, "notes.xyz", "D-14C", "low", 1), (5, "run.sh", "D-14C", "low", 1), (5, "run.sh", "D-14D", "medium", 1), (5, "tool.zip", "D-14C", "low", 1), (5, "tool.zip", "D-14F", "medium", 1),
+    (5, "lib.so", "D-14C", "low", 1), (5, "lib.so", "D-14E", "high", 1), (6, "SKILL.md", "D-13C", "low", 3), (7, "SKILL.md", "D-18C", "medium", 1),
+)
+QUERIES["bundle_structure"] = _structure
+ORACLE_SQL["bundle_structure"] = f"""select 'b' || doc_id as skill_id, case when path = 'SKILL.md' then 'b' || doc_id || '/' || path else path end as path, rule_id, severity, line
+from documents join (values {', '.join(map(repr, _EXPECTED))}) x(slot, path, rule_id, severity, line) on doc_id % {2 * len(tables.BUNDLES)} = slot"""

@@ -83,3 +83,13 @@ def test_opaque_texts_by_display_cells(spark):
     rows = spark.createDataFrame([("s", f"s/{p}.md", "markdown", c) for p, c in files.items()], "skill_id string, path string, file_type string, content string")
     found = supply.findings(segments.with_context(segments.original(rows)))
     assert sorted((r.path, r.rule_id, r.severity) for r in found.where("rule_id like 'D-23%'").collect()) == [("s/a.md", "D-23A", "high"), ("s/a.md", "D-23B", "high"), ("s/a.md", "D-23C", "medium"), ("s/b.md", "D-23A", "high")]
+
+
+def test_marks_of_frontmatter(spark):
+    from sentrylake.operators import structure
+
+    head = "---\nname: n\nnotes: |\n  <<: no\n  a: *no\n\n  still: &no\ntools:\n  - &one x\n  b: *one\n  <<: *one\n  c: !!str 1\n  d: 'quoted *no'\n  # e: *no\nmore: >\n  ...\n...\nname: again\n---\nbody"
+    files = spark.createDataFrame([("s", "s/SKILL.md", "SKILL.md", head), ("t", "t/SKILL.md", "SKILL.md", "no header"), ("u", "u/SKILL.md", "SKILL.md", None)], "skill_id string, path string, relative_path string, content string")
+    got = sorted((r.line, r.mark) for r in structure.frontmatter_marks(files).collect())
+    assert got == [(9, "anchor"), (10, "alias"), (11, "alias"), (11, "merge_key"), (12, "tag"), (17, "document_marker")]
+    assert [(r.line, r.nth) for r in structure.frontmatter(files).where("key = 'name'").orderBy("line").collect()] == [(2, 1), (18, 2)]

@@ -93,3 +93,21 @@ def test_marks_of_frontmatter(spark):
     got = sorted((r.line, r.mark) for r in structure.frontmatter_marks(files).collect())
     assert got == [(9, "anchor"), (10, "alias"), (11, "alias"), (11, "merge_key"), (12, "tag"), (17, "document_marker")]
     assert [(r.line, r.nth) for r in structure.frontmatter(files).where("key = 'name'").orderBy("line").collect()] == [(2, 1), (18, 2)]
+
+
+def test_documents_written_piece_by_piece(spark, tmp_path):
+    import json
+
+    from sentrylake.sources import sinks
+
+    rows = [(f"{k:06}", "hot" if k % 3 else f'odd "{k % 2}" }}', f"p/{k % 7}.md", k % 50, "D-11A" if k % 2 else "D-2A", ("high", "low", "info")[k % 3], "c", ["000001", "000002"] if k % 500 == 0 else None) for k in range(6000)]
+    found = spark.createDataFrame(rows, "finding_id string, skill_id string, path string, line int, rule_id string, severity string, category string, references array<string>").repartition(5)
+    for kind, whole in (("json", sinks.findings_json), ("sarif", sinks.sarif)):
+        sinks.write_documents(found, str(tmp_path / kind), kind)
+        want = {r.skill_id: json.loads(r.document) for r in whole(found).collect()}
+        texts = spark.read.text(str(tmp_path / kind), wholetext=True).collect()
+        assert {r.skill_id: json.loads(r.value) for r in texts} == want and len(texts) == 3
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_documents(found, str(tmp_path / "json"))
+    with pytest.raises(ValueError):
+        sinks.write_documents(found, str(tmp_path / "x"), "xml")

@@ -199,29 +199,26 @@ def _shift(past: np.ndarray, start: np.ndarray, by: int) -> np.ndarray:
     return np.where(pos < by, _BEFORE, out)
 
 
-def positions(docs: DataFrame, table: Table, stride: int) -> DataFrame:
-    """(part, data): of every training text, one token in `stride` from a hashed start, as rows of four 16-bit numbers: the token's word id and the three ids before. part is a hash of id and text, so that copies start at different tokens and are dealt out."""
+def positions(docs: DataFrame, table: Table) -> DataFrame:
+    """(part, data): of every training text the history ids of all its tokens as 16-bit numbers, of which `_histories` makes positions. part is a hash of id and text, which deals copies out."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            parts, kept = [], []
-            for raw, part in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-                found = tokens(raw)
-                at = np.arange((part >> 8) % stride, len(found), stride)
-                if not len(at):
-                    continue
-                near = sorted({k for a in at.tolist() for k in range(max(0, a - 3), a + 1)}) if stride > 4 else list(range(len(found)))
-                _, word, past = table.ids([found[k] for k in near])
-                full_w, full_p = np.zeros(len(found), np.int64), np.full(len(found) + 3, _BEFORE)
-                full_w[near], full_p[np.array(near) + 3] = word, past
-                parts.append(np.stack((full_w[at], full_p[at + 2], full_p[at + 1], full_p[at]), axis=1).astype(np.int16).tobytes())
-                kept.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(parts, pa.binary())], names=["part", "data"])
+            data = [table.ids(tokens(raw))[2].astype(np.int16).tobytes() for raw in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(data, pa.binary())], names=["part", "data"])
 
     return docs.where("train").select("text", F.xxhash64("doc_id", "text").alias("part")).mapInArrow(run, "part long, data binary")
 
 
-def fit(data: DataFrame, weights: Weights, rounds: int = 3, groups: int = 32, rate: float = 0.15, slices: int = 32) -> Weights:
+def _histories(texts: list[bytes], stride: int = 1) -> np.ndarray:
+    """A row for each token of the texts, or for one in `stride`, as `positions` gives them: its word id and the three history ids before it."""
+    past = np.frombuffer(b"".join(texts), np.int16)
+    size = np.array([len(t) // 2 for t in texts], np.int64)
+    start = np.cumsum(size) - size
+    return np.stack((np.where(past < VOCAB, past, 0), *(_shift(past, start, k) for k in (1, 2, 3))), axis=1)[::stride].astype(np.int16)
+
+
+def fit(data: DataFrame, weights: Weights, rounds: int = 3, groups: int = 32, rate: float = 0.15, slices: int = 32, stride: int = 1) -> Weights:
     """Weights trained from the given ones. Iterative parameter mixing (McDonald et al., 2010): each round, every group of positions takes gradient steps from the common weights, and the
     changes are averaged by the groups' sizes. Changes are added up in Spark, by slices of the weights; the driver gets their sum, of fixed size."""
     data = data.withColumn("group", F.pmod("part", F.lit(groups)).cast("int"))
@@ -231,7 +228,7 @@ def fit(data: DataFrame, weights: Weights, rounds: int = 3, groups: int = 32, ra
         def change(it: Iterator[pa.RecordBatch], now: np.ndarray = now, step: float = rate / (1 + r)) -> Iterator[pa.RecordBatch]:
             own, n = Weights.of(now), 0
             for batch in it:
-                rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int16).reshape(-1, 4)
+                rows = _histories(batch.column(0).to_pylist(), stride)
                 own.train(rows[np.random.default_rng(len(rows)).permutation(len(rows))], step)
                 n += len(rows)
             if n:
@@ -282,14 +279,14 @@ def _scored(table: Table, weights: Weights, raws: list[bytes]) -> Iterator[tuple
             yield n, known, base, other, n_other, lm, [found[s + k] for k in np.flatnonzero(~common[s : s + n]).tolist()]
 
 
-def score(docs: DataFrame, folds: int = 10, held_out: int = 0, stride: int = 16, rounds: int = 3, common: int = COMMON, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, held_out: int = 0, stride: int = 1, rounds: int = 3, common: int = COMMON, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     Rows whose crc32 of the id, modulo `folds`, is `held_out` are not learned from; rows without an id are learned from.
     base_score is that of the unigram model with 0.1 added to every count and one unknown token; counts cover all training texts.
     score is the log10 probability by a maximum-entropy model of hashed n-gram and skip features: the probability of the class, times that of
-    the word in it. Words outside the model's vocabulary share its word 0 by their counts. The model is trained on one token in `stride` of every
-    training text, by gradient steps in all partitions (`fit`). Counts of the `common` most frequent tokens travel with the tasks, a fixed
+    the word in it. Words outside the model's vocabulary share its word 0 by their counts. The model is trained on every token of every
+    training text (a caller may ask for one in `stride`), by gradient steps in all partitions (`fit`). Counts of the `common` most frequent tokens travel with the tasks, a fixed
     number; those of all others are joined, (text, token) by token. A null text is empty and has the end token alone. Rows of equal id and text
     are scored together and returned as often as they occur. An empty table gives no rows.
     """
@@ -304,7 +301,7 @@ def score(docs: DataFrame, folds: int = 10, held_out: int = 0, stride: int = 16,
     held = float(mass.sum())
     mass[0] = n - held
     groups = int(min(1024, max(1, -(-n // (stride * GROUP_POSITIONS)))))
-    weights = fit(written(positions(rows, table, stride)), Weights.start(mass), rounds, groups)
+    weights = fit(written(positions(rows, table)), Weights.start(mass), rounds, groups, stride=stride)
     log_all, log_other = (float(np.log10(a + 0.1 * (b + 1))) for a, b in ((n, v), (max(0.0, n - held), v - in_vocab)))
     shared = docs.sparkSession.sparkContext.broadcast((table, weights))
     fields = "doc_id long, h long, held_out boolean, n_tokens long, n_common long, base double, other double, n_other long, lm double, rare array<binary>"

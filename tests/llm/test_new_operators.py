@@ -142,3 +142,21 @@ def test_documents_without_removal_keep_their_digest(spark):
 
     row = remove_repeats(spark.createDataFrame([("k", " a\tb  c ")], "name string, text string"), doc_id="name").selectExpr("*", "sha2(cast(kept as binary), 256) as h").first()
     assert (row.doc_id, row.n_words, row.n_removed, row.h) == ("k", 3, 0, hashlib.sha256(b"a b c").hexdigest())
+
+
+def test_model_learns_from_every_token(spark):
+    import numpy as np
+
+    from sentrylake.llm import lm
+
+    texts = ["a b c a rare", "b", "", "c c c c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "true as train")
+    table = lm.Table.of([(b"c", 5), (lm.END, 4), (b"a", 2), (b"b", 2)])
+    got = lm._histories([bytes(r.data) for r in lm.positions(docs, table).collect()])
+    expected = []
+    for t in texts:
+        _, word, past = table.ids(lm.tokens(t.encode()))
+        before = [lm._BEFORE] * 3 + past.tolist()
+        expected += [(w, before[k + 2], before[k + 1], before[k]) for k, w in enumerate(word.tolist())]
+    assert sorted(map(tuple, got.tolist())) == sorted(expected) and len(got) == 14
+    assert np.array_equal(lm._histories([]).shape, (0, 4))

@@ -85,3 +85,10 @@ def test_changes_have_their_places(spark):
         ("c", "keyword", 11, 2, 1, None, "e v a l", "eval"),
         ("c", "keyword", 16, 2, 6, None, "e\nv\na\nl", "eval"),
     ]
+
+
+def test_places_of_rows_with_equal_keys(spark):
+    """Files without a source share their segment's id; each match keeps the place in its own text."""
+    rows = spark.createDataFrame([(1, "a", "ab\n\nab"), (1, "b", "x\n ab"), (1, "c", None), (1, "d", "é😀ab")], "id int, own string, t string")
+    got = sorted(tuple(x) for x in located(rows, "t", F.lit("ab"), ["id"]).select("own", "match_no", "offset", "line_no", "column_no").collect())
+    assert got == [("a", 0, 0, 1, 1), ("a", 1, 4, 3, 1), ("b", 0, 3, 2, 2), ("d", 0, 2, 1, 3)]

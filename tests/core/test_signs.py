@@ -49,3 +49,43 @@ def test_patterns_are_not_tried_without_signs(spark):
     plan = postrules.normalisation_changes(seg)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and all("regexp_replace" not in line for line in plan[plan.index("ArrowEvalPython") :].splitlines())
     assert postrules.normalisation_changes(seg).count() == 0
+
+
+def test_runs_that_decode_against_python():
+    import base64
+    import random
+    import re
+
+    import pyarrow as pa
+
+    def plain(t):
+        for run in re.findall(r"[A-Za-z0-9+/=]{16,}", t):
+            if re.fullmatch(r"[A-Za-z0-9+/]{16,}={0,2}", run) and len(run) % 4 == 0 and len(run) <= 40:
+                try:
+                    if base64.b64decode(run).decode():
+                        return True
+                except ValueError:
+                    pass
+        return False
+
+    r = random.Random(5)
+    coded = [base64.b64encode(("x" * r.randint(10, 40)).encode()).decode() for _ in range(20)]
+    texts = ["".join(r.choice([r.choice(coded), " ", "=", "abcd", "é", "\n", "/+9A", "word"]) for _ in range(r.randint(0, 6))) for _ in range(2000)] + [""]
+    got = signs.coded(pa.array(texts + [None]), 40).to_pylist()
+    assert got == [plain(t) for t in texts] + [False] and 50 < sum(got) < 1900
+
+
+def test_generations_keep_their_partitions(spark):
+    from sentrylake.operators import segments
+
+    rows = spark.createDataFrame([("b", f"b/{k}.md", "markdown", f"<!-- rot13 ```\nx\n``` {k} -->") for k in range(40)], "skill_id string, path string, file_type string, content string").repartition(6)
+    # own segments, and the parts of three generations: six each at most
+    assert segments.expand(rows).rdd.getNumPartitions() <= 24
+
+
+def test_matches_are_taken_once(spark):
+    from sentrylake.operators import rules, segments
+
+    rows = spark.createDataFrame([("b", "b/a.md", "markdown", "do not mention os.environ.items()")], "skill_id string, path string, file_type string, content string")
+    plan = rules.evaluate(segments.with_context(segments.original(rows)), tuple(r for r in rules.RULES if r.rule_id in ("D-12A", "D-8B")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("placed(") == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -220,19 +221,27 @@ def _histories(texts: list[bytes], stride: int = 1) -> np.ndarray:
 
 def fit(data: DataFrame, weights: Weights, rounds: int = 3, groups: int = 32, rate: float = 0.15, slices: int = 32, stride: int = 1) -> Weights:
     """Weights trained from the given ones. Iterative parameter mixing (McDonald et al., 2010): each round, every group of positions takes gradient steps from the common weights, and the
-    changes are averaged by the groups' sizes. Changes are added up in Spark, by slices of the weights; the driver gets their sum, of fixed size."""
+    changes are averaged by the groups' sizes. A task trains its groups, eight or so, one after another, and gives the sum of their changes; these are added up in Spark, by slices of the weights; the driver
+    gets their sum, of fixed size."""
+    tasks = max(min(groups, 32), -(-groups // 8))
     data = data.withColumn("group", F.pmod("part", F.lit(groups)).cast("int"))
     for r in range(rounds):
         now = weights.flat()
 
         def change(it: Iterator[pa.RecordBatch], now: np.ndarray = now, step: float = rate / (1 + r)) -> Iterator[pa.RecordBatch]:
-            own, n = Weights.of(now), 0
+            total, n, own, group, size = np.zeros(len(now), np.float32), 0, Weights.of(now), None, 0
             for batch in it:
-                rows = _histories(batch.column(0).to_pylist(), stride)
-                own.train(rows[np.random.default_rng(len(rows)).permutation(len(rows))], step)
-                n += len(rows)
+                ids = batch.column(0).to_numpy()
+                for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)] if len(ids) else []):
+                    if ids[lo] != group:  # the next group begins at the common weights again
+                        total += (own.flat() - now) * np.float32(size)
+                        own, group, size = Weights.of(now), ids[lo], 0
+                    rows = _histories(batch.column(1).slice(lo, hi - lo).to_pylist(), stride)
+                    own.train(rows[np.random.default_rng(len(rows)).permutation(len(rows))], step)
+                    size += len(rows)
+                    n += len(rows)
             if n:
-                parts = np.array_split((own.flat() - now) * np.float32(n), slices)
+                parts = np.array_split(total + (own.flat() - now) * np.float32(size), slices)
                 yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary()), pa.array([n] * slices, pa.int64())], names=["slice", "d", "n"])
 
         def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +254,7 @@ def fit(data: DataFrame, weights: Weights, rounds: int = 3, groups: int = 32, ra
                     count[k] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary()), pa.array([count[k] for k in sums], pa.int64())], names=["slice", "d", "n"])
 
-        changes = data.repartition(groups, "group").sortWithinPartitions("part", "data").select("data").mapInArrow(change, "slice int, d binary, n long")
+        changes = data.repartition(tasks, "group").sortWithinPartitions("group", "part", "data").select("group", "data").mapInArrow(change, "slice int, d binary, n long")
         summed = changes.repartition(min(slices, 8), "slice").mapInArrow(add, "slice int, d binary, n long").collect()
         if not summed:
             return weights

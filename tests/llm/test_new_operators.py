@@ -160,3 +160,25 @@ def test_model_learns_from_every_token(spark):
         expected += [(w, before[k + 2], before[k + 1], before[k]) for k, w in enumerate(word.tolist())]
     assert sorted(map(tuple, got.tolist())) == sorted(expected) and len(got) == 14
     assert np.array_equal(lm._histories([]).shape, (0, 4))
+
+
+def test_language_model_groups_in_a_task(spark, monkeypatch):
+    """Many groups train in few tasks, each from the common weights: changes that travel are a task's, not a group's."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from sentrylake.llm import lm
+
+    r = np.random.default_rng(3)
+    texts = [(k, r.integers(0, 400, 60).astype(np.int16).tobytes()) for k in range(200)]
+    data = spark.createDataFrame([(k, bytearray(t)) for k, t in texts], "part long, data binary")
+    made, groups = [], 64
+    real = type(data).repartition
+    monkeypatch.setattr(type(data), "repartition", lambda self, n, *by: made.append(n) or real(self, n, *by))
+    got = lm.fit(data, lm.Weights.start(np.ones(lm.VOCAB)), rounds=1, groups=groups).flat()
+    start, total, n = lm.Weights.start(np.ones(lm.VOCAB)).flat(), 0.0, 0
+    for g in range(groups):
+        own = lm.Weights.of(start)
+        rows = lm._histories([t for k, t in sorted(texts) if k % groups == g])
+        own.train(rows[np.random.default_rng(len(rows)).permutation(len(rows))], 0.15)
+        total, n = total + (own.flat() - start).astype(np.float64) * len(rows), n + len(rows)
+    assert made[0] < groups and np.abs(got - (start + total / n)).max() < 1e-4

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +34,18 @@ def _digest(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
-def prefix(found: np.ndarray, common: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
-    """The first n - ceil(n * least) + 1 shingles, those in `common` (sorted) last: of two sets that are alike, some shingle is in both prefixes, whatever `common` is."""
+def prefix(found: np.ndarray, common: np.ndarray, least: tuple[int, int] = LEAST, times: np.ndarray | None = None) -> np.ndarray:
+    """The first n - ceil(n * least) + 1 shingles, those in `common` (sorted) last, by their `times` if given: of two sets that are alike, some shingle is in both prefixes, whatever `common` and `times` are."""
     n = len(found)
     if not n:
         return found
     size = n - -(-n * least[0] // least[1]) + 1
     if not len(common):
         return found[:size]
-    last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
-    return np.concatenate((found[~last], found[last]))[:size]
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    last = common[at] == found
+    often = found[last] if times is None else found[last][np.argsort(times[at[last]], kind="stable")]
+    return np.concatenate((found[~last], often))[:size]
 
 
 def bitmap(found: np.ndarray) -> bytes:
@@ -144,28 +147,71 @@ def _open(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([int((size**2).sum() - (same**2).sum()) // 2], pa.int64())], names=["rows", "pairs"])
 
 
+def _undecided(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the runs whose sets are in more than one component."""
+    for rows in _whole_runs(it, 5):
+        start = _starts(rows)
+        several = np.minimum.reduceat(rows[:, 4], start) != np.maximum.reduceat(rows[:, 4], start)
+        rows = rows[np.repeat(several, np.diff(np.append(start, len(rows))))]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(5)], names=["key", "part", "n", "digest", "c"])
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    return bits[..., : bits.shape[-1] // 2] | bits[..., bits.shape[-1] // 2 :]
+
+
 def _crossing(least: tuple[int, int]):
-    """All pairs (a, b) of fitting size and different components inside each (key, part) run of a sorted partition."""
+    """The pairs (a, b) of fitting size and different components inside each (key, part) run of a sorted partition, whose bitmaps leave room for enough common shingles (as in `most_common`, a set against many at once), so that a large run of sets that are not alike makes few rows. Holds one run and its bitmaps."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_runs(it, 5):
-            start = _starts(rows)
+        left, more = np.zeros((0, 5), np.int64), []
+        for batch in itertools.chain(it, [None]):
+            if batch is not None:
+                left = np.concatenate((left, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])))
+                more += batch.column(5).to_pylist()
+            if not len(left):
+                continue
+            ends = [*_starts(left).tolist(), len(left)]
             out = []
-            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(rows)]):
-                for k in range(s + 1, e):
-                    x = rows[s:k]
-                    ok = (least[1] * x[:, 2] >= least[0] * rows[k, 2]) & (x[:, 4] != rows[k, 4])  # sets of a run come by size
-                    if ok.any():
-                        out.append((x[ok, 3], np.full(int(ok.sum()), rows[k, 3])))
+            for s, e in itertools.pairwise(ends if batch is None else ends[:-1]):
+                for a, b in _room(left[s:e], more[s:e], least):
+                    out.append((left[s:e][a, 3], left[s:e][b, 3]))
                 if sum(len(a) for a, _ in out) > 1 << 18:
                     yield _pairs(*(np.concatenate(x) for x in zip(*out)))
                     out = []
             if out:
                 yield _pairs(*(np.concatenate(x) for x in zip(*out)))
+            done = ends[-1 if batch is None else -2]
+            left, more = left[done:], more[done:]
 
     return run
 
 
+def _room(rows: np.ndarray, bits: list[bytes], least: tuple[int, int], words: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs in a run (key, part, n, digest, c), by size, that may be alike. Sets of fitting sizes have bitmaps of one length or of twice that."""
+    n, c = rows[:, 2], rows[:, 4]
+    size = np.array([len(x) // 8 for x in bits])
+    starts = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1])))
+    for at, s in enumerate(starts.tolist()):
+        e = int(starts[at + 1]) if at + 1 < len(starts) else len(rows)
+        own = np.frombuffer(b"".join(bits[s:e]), np.uint64).reshape(e - s, -1)
+        sides = [(s, own, own)]
+        if at and 2 * size[s - 1] == size[s]:
+            sides.append((int(starts[at - 1]), np.frombuffer(b"".join(bits[int(starts[at - 1]) : s]), np.uint64).reshape(-1, int(size[s - 1])), _folded(own)))
+        for first, those, mine in sides:
+            ones, ones_mine = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (those, mine))
+            for k in range(s, e):
+                x = np.arange(max(first, int(np.searchsorted(n, -(-least[0] * n[k] // least[1])))), min(k, first + len(those)))
+                x = x[c[x] != c[k]]
+                step = max(1, words // those.shape[1])
+                for j in range(0, len(x), step):
+                    y = x[j : j + step]
+                    both = np.bitwise_count(those[y - first] & mine[k - s]).sum(axis=1, dtype=np.int64) + np.minimum(n[y] - ones[y - first], n[k] - ones_mine[k - s])
+                    y = y[(least[0] + least[1]) * both >= least[0] * (n[y] + n[k])]
+                    if len(y):
+                        yield y, np.full(len(y), k)
+
+
 def _may_be_alike(least: tuple[int, int]):
     """Of pairs (a, b, t_a, t_b, n_a, n_b, bits_a, bits_b) those whose bitmaps leave room for enough common shingles."""
 
@@ -218,11 +264,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: tuple[int, int] = LE
     some = docs.where(F.pmod(F.shiftright("t", 8), F.lit(1 << 40)) < share * float(1 << 40)).groupBy("t").agg(F.first("text").alias("text"))
     often = _sets(some, width).select(F.explode("found").alias("key")).groupBy("key").agg(F.count("*").alias("times")).where("times >= 3")
     often = cut(often.orderBy(F.desc("times"), "key").limit(COMMON))
-    common = np.sort(often.select("key").toArrow()["key"].to_numpy().view(np.uint64))
-    given = docs.sparkSession.sparkContext.broadcast(common)
+    counted = often.select("key", F.col("times").cast("int").alias("times")).toArrow()
+    keys, times = counted["key"].to_numpy().view(np.uint64), counted["times"].to_numpy()
+    given = docs.sparkSession.sparkContext.broadcast((keys[order := np.argsort(keys)], times[order]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = given.value, set()
+        (common, times), seen = given.value, set()
         for batch in slices(it):
             digest, fp, n, keys, bits = [], [], [], [], []
             for raw in utf8(batch.column(1)):
@@ -232,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: tuple[int, int] = LE
                 digest.append(d)
                 fp.append(majority(h))
                 n.append(len(found))
-                keys.append(found[:0] if d in seen else prefix(found, common, least))
+                keys.append(found[:0] if d in seen else prefix(found, common, least, times))
                 bits.append(None if d in seen else bitmap(found))
                 if len(seen) >= _SEEN:
                     seen.clear()
@@ -300,7 +347,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: tuple[int, int] = LE
             break
         edges = edges.unionByName(found)
         linked = cut(components(edges))
-    left = runs(linked).mapInArrow(_crossing(least), "a long, b long").distinct()
+    open_ = cut(runs(linked).mapInArrow(_undecided, "key long, part long, n long, digest long, c long"))
+    bits = sets.join(bounded(open_.select("digest").distinct(), 1_000_000), "digest", "left_semi").groupBy("digest").agg(F.first("bits").alias("bits"))
+    left = open_.join(bits, "digest").select("key", "part", "n", "digest", "c", "bits").repartition("key", "part").sortWithinPartitions("key", "part", "n")
+    left = left.mapInArrow(_crossing(least), "a long, b long").distinct()
     linked = cut(components(edges.unionByName(alike(cut(left.join(both_ways(tried), ["a", "b"], "left_anti"))))))
     of = classes.join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("c", F.coalesce("component", "digest"))
     first = of.groupBy("c").agg(F.min("first").alias("component_id"))

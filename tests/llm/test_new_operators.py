@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,27 @@ def test_language_model_groups_in_a_task(spark, monkeypatch):
         own.train(rows[np.random.default_rng(len(rows)).permutation(len(rows))], 0.15)
         total, n = total + (own.flat() - start).astype(np.float64) * len(rows), n + len(rows)
     assert made[0] < groups and np.abs(got - (start + total / n)).max() < 1e-4
+
+
+def test_runs_make_only_pairs_that_bitmaps_allow():
+    from sentrylake.llm import shingles
+
+    r = np.random.default_rng(5)
+    base = r.integers(1, 1 << 62, 90)
+    sets = [np.unique(np.concatenate((base[: r.integers(20, 80)], r.integers(1, 1 << 62, r.integers(1, 60))))).astype(np.uint64) for _ in range(150)]
+    sets.sort(key=len)
+    bits = [shingles.bitmap(x) for x in sets]
+    rows = np.array([(1, 0, len(x), k, k % 7) for k, x in enumerate(sets)], np.int64)
+    fits = [(a, b) for b in range(150) for a in range(b) if rows[a, 4] != rows[b, 4] and 5 * len(sets[a]) >= 4 * len(sets[b])]
+    want = {(a, b) for a, b in fits if 9 * shingles.most_common(bits[a], bits[b], len(sets[a]), len(sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    batches = [pa.RecordBatch.from_arrays([*(pa.array(rows[s, k].copy()) for k in range(5)), pa.array(bits[s], pa.binary())], names=["key", "part", "n", "digest", "c", "bits"]) for s in (slice(0, 64), slice(64, 150))]
+    got = {p for out in shingles._crossing((4, 5))(iter(batches)) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    assert got == want and len(want) < len(fits) / 2
+    assert {tuple(x) for y in shingles._room(rows, bits, (4, 5), words=64) for x in zip(*(z.tolist() for z in y))} == want
+
+
+def test_the_rarest_of_frequent_shingles_come_first():
+    from sentrylake.llm import shingles
+
+    found, common = np.arange(1, 101, dtype=np.uint64), np.arange(1, 101, dtype=np.uint64)
+    assert shingles.prefix(found, common, (4, 5), np.arange(100, 0, -1)).tolist() == list(range(100, 79, -1))

@@ -36,3 +36,5 @@ def test_portable_patterns(spark):
     rows = [("édan", r"\bdan\b"), ("dans", r"\bdan\b"), ("a\u000bb", r"a\sb"), ("ab\n", "ab$"), ("a\rb", "a.b"), ("a\rb", "(?m)^b"), ("a b", r"a[\s]b"), ("x(run)", r"\b(?:run|go)\b"), ("xrun", r"\b(?:run|go)\b")]
     table = spark.createDataFrame([(k, t, portable(p)) for k, (t, p) in enumerate(rows)], "k int, t string, p string")
     assert [x.m for x in table.selectExpr("k", "regexp_like(t, p) as m").orderBy("k").collect()] == [True, False, False, False, True, False, False, True, False]
+    assert portable(r"(?i)\b(?:run|go)\b") == r"(?i)(?<!\w)(?:run|go)(?!\w)"
+    assert portable(r"\b(?:run|)x") == r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))(?:run|)x" and portable(r"(?:a|-)\b") == r"(?:a|-)(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"

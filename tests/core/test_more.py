@@ -121,3 +121,23 @@ def test_documents_written_piece_by_piece(spark, tmp_path):
         sinks.write_documents(found, str(tmp_path / "json"))
     with pytest.raises(ValueError):
         sinks.write_documents(found, str(tmp_path / "x"), "xml")
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """A file whose rows are all in one row group, read in more splits than there are cores: all but one of them are empty."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 4000
+    ids, texts = list(range(n)), [f"{k} {k * 7919}" for k in range(n)]
+    pq.write_table(pa.table({"doc_id": ids, "source": ["s"] * n, "text": texts}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"page_id": ids, "html": texts}), tmp_path / "pages.parquet")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        for df in (tables.planted(spark, str(tmp_path)), tables.planted_bundles(spark, str(tmp_path)), tables.pages(spark, str(tmp_path))):
+            counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(counts) < sum(counts) / 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

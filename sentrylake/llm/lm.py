@@ -82,13 +82,40 @@ def _mix(kind: int, *ids: np.ndarray) -> np.ndarray:
     return h
 
 
+def _row(n: int, h: np.ndarray) -> np.ndarray:
+    return 1 + (h % np.uint64(n - 1)).astype(np.int64)
+
+
+#: Rows of the features of one id alone: three of the class weights, two of the word weights.
+_IDS = np.arange(_HASHED)
+_OF_ONE = tuple(_row(n, _mix(kind, _IDS)) for kind, n in ((1, CLASS_ROWS), (3, CLASS_ROWS), (4, CLASS_ROWS), (5, WORD_ROWS), (6, WORD_ROWS)))
+
+
 def features(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class weights (n x 5) and of the word weights (n x 3) that a history sets: a bias, the last token, the last two, and skips to the second and third last."""
-    rows = lambda n, h: 1 + (h % np.uint64(n - 1)).astype(np.int64)
+    """Rows of the class weights (5 x n) and of the word weights (3 x n) that a history sets: a bias, the last token, the last two, and skips to the second and third last."""
     none = np.zeros(len(h1), np.int64)
-    classes = (none, *(rows(CLASS_ROWS, h) for h in (_mix(1, h1), _mix(2, h1, h2), _mix(3, h2), _mix(4, h3))))
-    words = (none, rows(WORD_ROWS, _mix(5, h1)), rows(WORD_ROWS, _mix(6, h2)))
-    return np.stack(classes, axis=1), np.stack(words, axis=1)
+    classes = (none, _OF_ONE[0].take(h1), _row(CLASS_ROWS, _mix(2, h1, h2)), _OF_ONE[1].take(h2), _OF_ONE[2].take(h3))
+    return np.stack(classes), np.stack((none, _OF_ONE[3].take(h1), _OF_ONE[4].take(h2)))
+
+
+def summed(g: np.ndarray, rows: np.ndarray, few: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in `rows` (features x positions, below 2^15), and of each the sum of the rows of `g` (32 bits, an even number of columns) at its positions. Sums of up to `few` are added turn by turn for all at once."""
+    flat = rows.astype(np.int16).ravel()
+    order = np.argsort(flat, kind="stable")  # of 16 bits, by radix
+    sorted_, at = flat[order], order % len(g)
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    size = np.diff(np.append(first, len(flat)))
+    out = g.take(at[first], axis=0)
+    light = np.flatnonzero((size > 1) & (size <= few))
+    for k in range(1, few):
+        light = light[size[light] > k]
+        out[light] += g.take(at[first[light] + k], axis=0)
+    heavy = size > few
+    if heavy.any():
+        n = size[heavy]
+        # two columns as one complex number: half as many steps
+        out[heavy] = np.add.reduceat(g.take(at[np.repeat(heavy, size)], axis=0).view(np.complex64), np.cumsum(n) - n, axis=0).view(np.float32)
+    return sorted_[first].astype(np.int64), out
 
 
 @dataclass
@@ -118,20 +145,21 @@ class Weights:
     def forward(self, target: np.ndarray, fc: np.ndarray, fw: np.ndarray) -> tuple[np.ndarray, ...]:
         """Log probability (natural) of each target, the two distributions, and the rows of word weights."""
         cls, word, at = target // PER_CLASS, target % PER_CLASS, np.arange(len(target))
-        rows = fw * CLASSES + cls[:, None]
-        a, b = self.classes[fc[:, 0]], self.words[rows[:, 0]]
-        for k in range(1, fc.shape[1]):
-            a = a + self.classes[fc[:, k]]
-        for k in range(1, fw.shape[1]):
-            b = b + self.words[rows[:, k]]
+        rows = fw * CLASSES + cls
+        a, b = self.classes[0] + self.classes.take(fc[1], axis=0), self.words.take(rows[0], axis=0)
+        for r in fc[2:]:
+            a += self.classes.take(r, axis=0)
+        for r in rows[1:]:
+            b += self.words.take(r, axis=0)
         logp = np.zeros(len(target))
         dists = []
         for z, pick in ((a, cls), (b, word)):
             z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(axis=1)
-            logp += z[at, pick] - np.log(total)
-            dists.append(e / total[:, None])
+            picked = z[at, pick]
+            total = np.exp(z, out=z).sum(axis=1)
+            logp += picked - np.log(total)
+            z /= total[:, None]
+            dists.append(z)
         return logp, dists[0], dists[1], rows
 
     def train(self, data: np.ndarray, rate: float, batch: int = 1024) -> None:
@@ -146,14 +174,11 @@ class Weights:
             pa_[np.arange(len(x)), x[:, 0] // PER_CLASS] -= 1
             pb[np.arange(len(x)), x[:, 0] % PER_CLASS] -= 1
             for w, s, r, g in ((self.classes, sums[0], fc, pa_), (self.words, sums[1], rows, pb)):
-                flat = r.T.ravel()
-                order = np.argsort(flat, kind="stable")
-                sorted_ = flat[order]
-                first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-                g = np.add.reduceat(g[order % len(x)], first, axis=0)
-                u = sorted_[first]
-                s[u] += (g * g).mean(axis=1)
-                w[u] -= (rate / np.sqrt(s[u]))[:, None] * g
+                u, g = summed(g, r)
+                now = s.take(u) + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+                s[u] = now
+                g *= (rate / np.sqrt(now))[:, None].astype(np.float32)
+                w[u] = w.take(u, axis=0) - g
 
 
 @dataclass(frozen=True)

@@ -686,3 +686,23 @@ def test_bitmaps_bound_the_common_shingles():
         a, b = np.unique(x[:n]), np.unique(x[n - both :])
         common = len(np.intersect1d(a, b))
         assert common <= most_common(bitmap(a), bitmap(b), len(a), len(b)) == most_common(bitmap(b), bitmap(a), len(b), len(a))
+
+
+def test_gradients_are_summed_by_row():
+    """Sums for rows that stand once, a few times and very often, and features from tables as from their hashes."""
+    from sentrylake.llm import lm
+
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 1024):
+        rows = np.stack((np.zeros(n, np.int64), rng.integers(1, 40, n), rng.zipf(1.5, n) % 8192))
+        g = rng.standard_normal((n, 16)).astype(np.float32)
+        want = np.zeros((8192, 16))
+        for r in rows:
+            np.add.at(want, r, g)
+        u, got = lm.summed(g, rows)
+        assert u.tolist() == np.unique(rows).tolist() and np.allclose(got, want[u], atol=1e-4)
+    h1, h2, h3 = rng.integers(0, 4096, (3, 500))
+    classes, words = lm.features(h1, h2, h3)
+    row = lambda m, h: (1 + (h % np.uint64(m - 1)).astype(np.int64)).tolist()
+    assert classes[1].tolist() == row(lm.CLASS_ROWS, lm._mix(1, h1)) and classes[4].tolist() == row(lm.CLASS_ROWS, lm._mix(4, h3))
+    assert classes[2].tolist() == row(lm.CLASS_ROWS, lm._mix(2, h1, h2)) and words[2].tolist() == row(lm.WORD_ROWS, lm._mix(6, h2)) and not words[0].any()

@@ -11,6 +11,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +21,13 @@ from .embed import spherical_kmeans
 
 K1, B = 1.2, 0.75
 #: A shard takes documents, 64 at a time, until it has so many, or more bytes of text.
-SHARD_DOCS, SHARD_BYTES = 4096, 8 << 20
+SHARD_DOCS, SHARD_BYTES = 4096, 6 << 20
 #: Documents of a block, and queries that are scored together.
 BLOCK, QUERIES = 32, 512
 #: Terms of such a group of queries, about: what a task holds of them at a time.
 QUERY_TERMS = 200_000
 #: Blocks that are multiplied at a time, postings that are summed at a time, about, and documents that are scored in double precision at a time.
-TOGETHER, POSTINGS, CANDIDATES = 4, 200_000, 1024
-#: Posting lists of so many documents at most are columns of a table.
-SHORT = 8
+TOGETHER, POSTINGS, CANDIDATES = 8, 200_000, 1024
 #: A term in at least this share of a shard's documents is a column of the shard's matrix; the others are posting lists.
 DENSE = 1 / 20
 #: Groups of documents alike in their frequent words; blocks hold documents of one group, so that their maxima tell them apart.
@@ -52,10 +51,10 @@ class _Shard:
         self.size = 0
 
     def add(self, ids: list[int], raws: list[bytes]) -> None:
-        words = [raw.lower().split() for raw in raws]
+        found, ends = _split(raws)
         self.ids += ids
-        self.lengths += map(len, words)
-        self.words.append(pa.array([w for ws in words for w in ws], pa.binary()))
+        self.lengths += np.diff(ends).tolist()
+        self.words.append(found)
         self.size += sum(map(len, raws))
 
     def full(self) -> bool:
@@ -93,6 +92,16 @@ def _buffers(tokens: pa.Array) -> tuple[bytes, np.ndarray]:
     return tokens.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes(), ends[1:] - ends[0]
 
 
+def _split(raws: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased (A-Z) words of all texts, as `bytes.split` gives them, and 0 and where each text's words end."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(raws, pa.binary()).view(pa.string())))
+    words, ends = parts.values, parts.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(words), 0)
+    if not (whole := full.to_numpy(zero_copy_only=False)).all():
+        words, ends = words.filter(full), np.concatenate(([0], np.cumsum(whole)))[ends]
+    return words.view(pa.binary()), ends
+
+
 def _keys(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Both halves of the tokens' 128-bit hashes (XXH3), by rising first half, and the tokens' places in that order."""
     halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, _tokens(*_buffers(tokens)))), np.uint64).reshape(-1, 2)
@@ -135,10 +144,12 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 if shard.full():
                     yield out()
                     shard = _Shard()
+                    pa.default_memory_pool().release_unused()
         if shard.ids:
             yield out()
 
-    return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _INDEX))
+    with settings(docs.sparkSession, arrow="4m"):
+        return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _INDEX))
 
 
 def _tokens(raw: bytes, ends: np.ndarray) -> list[bytes]:
@@ -250,7 +261,7 @@ class Shard:
         self.tops = self.near.reshape(-1, self.blocks, BLOCK).max(axis=2)
         #: Sums in single precision are short of the true ones by this share at most.
         self.slack = (2 * len(dense) + 64) * 2.0**-24
-        #: Posting lists of a like length are rows of a table (up to SHORT, columns), filled up with impacts of zero. `kind`: 0 for a word that the shard lacks, 1 for a column of the matrix, else 2 and the number of the word's table; `at`: its column or row.
+        #: Posting lists of a like length are rows of a table, filled up with impacts of zero. `kind`: 0 for a word that the shard lacks, 1 for a column of the matrix, else 2 and the number of the word's table; `at`: its column or row.
         asked = np.zeros(len(df) + 1, bool)
         asked[here] = True
         asked[-1] = False
@@ -270,8 +281,7 @@ class Shard:
         docs, impacts = np.zeros(int(wide.sum()), np.int64), np.zeros(int(wide.sum()))
         docs[to], impacts[to] = doc[post], impact[post]
         ends = np.cumsum(number * sizes)
-        of_size = [(s, docs[e - m * s : e].reshape(m, s), impacts[e - m * s : e].reshape(m, s)) for s, m, e in zip(sizes.tolist(), number.tolist(), ends.tolist())]
-        self.lists = [(s, *(x if s > SHORT else np.ascontiguousarray(x.T) for x in both)) for s, *both in of_size]
+        self.lists = [(s, docs[e - m * s : e].reshape(m, s), impacts[e - m * s : e].reshape(m, s)) for s, m, e in zip(sizes.tolist(), number.tolist(), ends.tolist())]
 
 
 def _list_sizes(most: int) -> np.ndarray:
@@ -298,12 +308,12 @@ def _rare(shard: Shard, q: np.ndarray, table: np.ndarray, at: np.ndarray, w: np.
         done = 0
         for (s, docs, impacts), x, y in zip(shard.lists, bounds.tolist(), bounds[1:].tolist()):
             if x < y:
-                to, axis = slice(done, done := done + (y - x) * s), int(s <= SHORT)
-                c, v = (z[to].reshape((s, y - x) if axis else (y - x, s)) for z in (cell, value))
-                np.take(docs, row[x:y], axis=axis, out=c, mode="clip")
-                np.take(impacts, row[x:y], axis=axis, out=v, mode="clip")
-                c += place[x:y] if axis else place[x:y, None]
-                v *= weight[x:y] if axis else weight[x:y, None]
+                to = slice(done, done := done + (y - x) * s)
+                c, v = (z[to].reshape(y - x, s) for z in (cell, value))
+                np.take(docs, row[x:y], axis=0, out=c, mode="clip")
+                np.take(impacts, row[x:y], axis=0, out=v, mode="clip")
+                c += place[x:y, None]
+                v *= weight[x:y, None]
         out[first:last, : shard.n] = np.bincount(cell, value, minlength=(last - first) * shard.n).reshape(last - first, shard.n)
         first = last
     return out
@@ -334,13 +344,13 @@ def search_shard(shard: Shard, queries: Queries, k: int, skipped: list[int] | No
         near, docs = near[:, columns], shard.near[columns]
         bound = near @ shard.tops[columns] + rare.reshape(rows, -1, BLOCK).max(axis=2)
         live = bound >= need[:, None]
-        score, pairs = np.zeros(rare.shape, np.float32), 0
+        score, pairs = rare.astype(np.float32), 0
         for b in range(0, shard.blocks, TOGETHER):
             of, of_docs = np.flatnonzero(live[:, b : b + TOGETHER].any(axis=1)), slice(b * BLOCK, (b + TOGETHER) * BLOCK)
             if len(of):
+                pairs += len(of) * BLOCK * min(TOGETHER, shard.blocks - b)
                 of = of if len(of) < rows else slice(0, rows)
-                score[of, of_docs] = part_of = near[of] @ docs[:, of_docs] + rare[of, of_docs]
-                pairs += part_of.size
+                score[of, of_docs] += near[of] @ docs[:, of_docs]
         if skipped is not None:
             skipped[0] += score.size - pairs
             skipped[1] += pairs

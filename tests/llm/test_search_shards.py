@@ -97,3 +97,15 @@ def test_words_whose_keys_are_alike_in_their_first_half(monkeypatch):
     monkeypatch.setattr(s, "xxhash", Alike)
     got, _ = found(s, shards_of(s, texts, 30), block_of(s, texts, [0, 50]), mean, 4)
     assert got == {q: brute(texts, q, mean, 4) for q in (0, 50)}
+
+
+def test_words_of_odd_texts_are_those_of_split():
+    from sentrylake.llm import search as s
+
+    r = random.Random(6)
+    letters = [bytes([i]) for i in range(256)] + [b" "] * 60 + [b"A", b"\xc3\x84", b"\xc2\xa0", b"\xe2\x80\x83"] * 10
+    for _ in range(60):
+        raws = [b"".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(r.randint(0, 8))]
+        words, ends = s._split(raws)
+        words, ends = words.to_pylist(), ends.tolist()
+        assert [words[a:b] for a, b in zip(ends, ends[1:])] == [x.lower().split() for x in raws]
